@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from relscope.llm import decontaminate, warc
 from relscope.llm.embed_dedup import op4_lattice
+from relscope.llm.mixing import op9_mix
 from relscope.llm.simhash import op3_simhash
+from relscope.llm.token_count import op6_tokens
 
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_lattice": op4_lattice,
+    "op6_tokens": op6_tokens,
+    "op7_warc": warc.op7_warc,
+    "op9_mix": op9_mix,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 OP4_SQL = """
@@ -29,4 +36,4 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN least ON v.vec_id = least.a
 """
 
-ORACLE = {"op4_lattice": OP4_SQL}
+ORACLE = {"op4_lattice": OP4_SQL, "op7_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL}
