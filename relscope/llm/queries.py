@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from relscope.llm import decontaminate, warc
 from relscope.llm.embed_dedup import op4_lattice
+from relscope.llm.language_id import op2_language
 from relscope.llm.mixing import op9_mix
+from relscope.llm.quality import op8_quality
 from relscope.llm.simhash import op3_simhash
 from relscope.llm.token_count import op6_tokens
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_lattice": op4_lattice,
     "op6_tokens": op6_tokens,
     "op7_warc": warc.op7_warc,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
