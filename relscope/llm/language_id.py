@@ -213,5 +213,16 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_id.lang_pred", "lang_id.score")
 
 
+def known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.35) -> DataFrame:
+    """docs whose language can be told: texts with a letter and a score of at least `least`; columns as they were.
+
+    If no row has a language to learn from, only texts without a letter go.
+    """
+    model = fit(docs, doc_id, text, lang)
+    rated = identified(docs, model, text, "__language")
+    enough = F.col("__language.score") >= least if model else F.lit(True)
+    return rated.where(F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}") & enough).drop("__language")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(read(spark, sf_dir, "documents"))

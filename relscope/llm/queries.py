@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from relscope.llm import decontaminate, warc
 from relscope.llm.embed_dedup import op4_lattice
+from relscope.llm.html_extract import op1_main_text
 from relscope.llm.language_id import op2_language
 from relscope.llm.mixing import op9_mix
 from relscope.llm.quality import op8_quality
 from relscope.llm.simhash import op3_simhash
+from relscope.llm.substring_dedup import op5_passages
 from relscope.llm.token_count import op6_tokens
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_lattice": op4_lattice,
+    "op5_passages": op5_passages,
     "op6_tokens": op6_tokens,
     "op7_warc": warc.op7_warc,
     "op8_quality": op8_quality,
