@@ -253,7 +253,8 @@ def instability(fan_in: Column, fan_out: Column) -> Column:
 
 def whole_days(earlier: Column, later: Column) -> Column:
     """Whole days between two instants, towards zero."""
-    return F.expr("bigint(0)") + ((F.unix_micros(later) - F.unix_micros(earlier)) / 86_400_000_000).cast("long")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return ((micros(later) - micros(earlier)) / 86_400_000_000).cast("long")
 
 
 def log_bucket(value: Column, top: Column, buckets: int = 5) -> Column:

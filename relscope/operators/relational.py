@@ -214,11 +214,11 @@ def dropped_duplicates(rows: DataFrame, keys: Sequence[str], order: Sequence[str
 
 def hot_rows(rows: DataFrame, value: str) -> DataFrame:
     """Rows whose value reaches the one at place max(1, n div 10) of the descending order; of fewer than 20 rows, the maximum."""
-    ranked = rows.groupBy(value).agg(F.count("*").alias("n"))
+    ranked = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     place = F.greatest(F.lit(1), F.expr("__all div 10"))
     # values at or above a value: the threshold is the largest one that enough rows reach
-    above = ranked.withColumn("reach", F.sum("n").over(Window.orderBy(F.desc(value)))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
-    cut = above.where(F.col("reach") >= place).agg(F.max(value).alias("__cut"))
+    above = ranked.withColumn("__reach", F.sum("__n").over(Window.orderBy(F.desc("__v")))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
+    cut = above.where(F.col("__reach") >= place).agg(F.max("__v").alias("__cut"))
     return rows.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("__cut")).drop("__cut")
 
 

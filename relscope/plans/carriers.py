@@ -1,6 +1,525 @@
-"""Registered queries of the catalog operators on the parquet tables, each with its SQL."""
+"""Registered queries: the catalog operators applied to the parquet tables, each with its SQL.
+
+A carrier is a table that plays the part of a catalog relation; the operators take column names, so they run unchanged.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relscope.functions import scalars as S
+from relscope.operators import graph as G
+from relscope.operators import query_lang
+from relscope.operators import relational as R
+from relscope.streaming import counters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name], ORACLE[name] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- carriers -----------------------------------------------------------------------------------------------------
+
+KINDS = {"view": "read", "signup": "insert", "purchase": "update", "click": "delete", "error": "exec-dynamic"}
+
+
+def event_deps(spark: SparkSession, d: str) -> DataFrame:
+    """Dependencies: a user acts on one of ten targets; the event type is the kind."""
+    kind = F.create_map(*[F.lit(x) for p in KINDS.items() for x in p])[F.col("event_type")]
+    target = F.concat(F.lit("t"), F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(10)).cast("string"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("from_object_id"), target.alias("to_object_id"), kind.alias("kind"))
+
+
+DEPS_SQL = """deps AS (
+  SELECT CAST(user_id AS VARCHAR) AS actor, 't' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 10) AS target,
+    CASE event_type WHEN 'view' THEN 'read' WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'update' WHEN 'click' THEN 'delete' WHEN 'error' THEN 'exec-dynamic' END AS kind
+  FROM events)"""
+
+
+def nation_edges(spark: SparkSession, d: str, few: bool = True) -> DataFrame:
+    """Edges from a customer's nation to a supplier's; few takes large, discounted, taxed lines only."""
+    line = table(spark, d, "lineitem")
+    if few:
+        line = line.where("l_quantity >= 50 and l_discount >= 0.09 and l_tax >= 0.08")
+    o, c, s, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "nation")
+    names = n.select(F.col("n_nationkey").alias("k"), "n_name")
+    rows = line.join(o, line.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, line.l_suppkey == s.s_suppkey)
+    pairs = rows.select("c_nationkey", "s_nationkey").distinct()
+    return pairs.join(names.toDF("c_nationkey", "src"), "c_nationkey").join(names.toDF("s_nationkey", "dst"), "s_nationkey").select("src", "dst", F.lit("read").alias("kind"))
+
+
+FEW_SQL = "l_quantity >= 50 AND l_discount >= 0.09 AND l_tax >= 0.08"
+
+
+def edges_sql(few: bool = True) -> str:
+    return f"""e AS (
+  SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey {f"WHERE {FEW_SQL}" if few else ""})"""
+
+
+def nation_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_name").alias("id"))
+
+
+# ---- aggregates ---------------------------------------------------------------------------------------------------
+
+
+@query("crud_matrix", f"""WITH {DEPS_SQL}
+SELECT target, actor, string_agg(DISTINCT letter, '' ORDER BY letter) AS ops, false AS is_blind_spot
+FROM (SELECT *, CASE kind WHEN 'read' THEN 'R' WHEN 'insert' THEN 'C' WHEN 'update' THEN 'U' WHEN 'delete' THEN 'D' END AS letter FROM deps) WHERE letter IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT DISTINCT '', actor, '?', true FROM deps WHERE kind = 'exec-dynamic'""")
+def crud_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return R.crud_matrix(event_deps(spark, d))
+
+
+@query("crud_display", f"""WITH {DEPS_SQL}
+SELECT target, actor, (CASE WHEN bool_or(kind = 'insert') THEN 'C' ELSE '' END) || (CASE WHEN bool_or(kind = 'read') THEN 'R' ELSE '' END) || (CASE WHEN bool_or(kind = 'update') THEN 'U' ELSE '' END) || (CASE WHEN bool_or(kind = 'delete') THEN 'D' ELSE '' END) AS ops
+FROM deps WHERE kind <> 'exec-dynamic' GROUP BY 1, 2""")
+def crud_display(spark: SparkSession, d: str) -> DataFrame:
+    return R.crud_matrix(event_deps(spark, d)).where("not is_blind_spot").select("target", "actor", S.display_ops(F.col("ops")).alias("ops"))
+
+
+@query("references", f"WITH {edges_sql()} SELECT src AS id, string_agg(DISTINCT dst, ',' ORDER BY dst) AS refs FROM e GROUP BY src")
+def references(spark: SparkSession, d: str) -> DataFrame:
+    return R.references(nation_edges(spark, d)).select("id", F.array_join("refs", ",").alias("refs"))
+
+
+FAN_SQL = """SELECT n_name AS id, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) > 0 THEN coalesce(o.n, 0) / CAST(coalesce(i.n, 0) + coalesce(o.n, 0) AS DOUBLE) ELSE 0.0 END AS instability
+FROM nation LEFT JOIN (SELECT dst, count(*) AS n FROM e {w} GROUP BY 1) i ON n_name = dst LEFT JOIN (SELECT src, count(*) AS n FROM e {w} GROUP BY 1) o ON n_name = src"""
+
+
+@query("fan_counts", f"WITH {edges_sql(False)} {FAN_SQL.format(w='')}")
+def fan_counts(spark: SparkSession, d: str) -> DataFrame:
+    return R.fan_counts(nation_edges(spark, d, False), nation_nodes(spark, d))
+
+
+@query("coupling", f"WITH {edges_sql()} {FAN_SQL.format(w='WHERE src <> dst')}")
+def coupling(spark: SparkSession, d: str) -> DataFrame:
+    return R.fan_counts(nation_edges(spark, d), nation_nodes(spark, d), self_edges=False)
+
+
+@query("touch_counts", f"WITH {edges_sql()} SELECT id, count(*) AS touches FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id")
+def touch_counts(spark: SparkSession, d: str) -> DataFrame:
+    return R.touch_counts(nation_edges(spark, d))
+
+
+@query("dialect_lines", "SELECT lang AS dialect, CAST(sum(n_chars) AS BIGINT) AS total, sum(n_chars) / CAST((SELECT sum(n_chars) FROM documents) AS DOUBLE) AS share FROM documents GROUP BY lang")
+def dialect_lines(spark: SparkSession, d: str) -> DataFrame:
+    return R.share_of_total(table(spark, d, "documents"), "lang", "n_chars").withColumnRenamed("lang", "dialect")
+
+
+@query("overall_dialect", "SELECT CASE WHEN count(DISTINCT lang) = 0 THEN 'unknown' WHEN count(DISTINCT lang) = 1 THEN min(lang) ELSE 'mixed' END AS dialect FROM documents WHERE n_chars > 0")
+def overall_dialect(spark: SparkSession, d: str) -> DataFrame:
+    return R.overall_dialect(table(spark, d, "documents").select(F.col("n_chars").alias("loc"), F.col("lang").alias("dialect")))
+
+
+@query("file_purposes", """SELECT slug, string_agg(n || ' ' || kind || CASE WHEN n = 1 THEN '' ELSE 's' END, ', ' ORDER BY n DESC, kind) AS purpose
+FROM (SELECT source AS slug, lang AS kind, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY slug""")
+def file_purposes(spark: SparkSession, d: str) -> DataFrame:
+    return R.file_purposes(table(spark, d, "documents").select("source", F.col("lang").alias("kind")), "source")
+
+
+@query("issue_concentration", "SELECT lower(split_part(url, '.', 1)) AS schema, count(*) AS issues FROM pages GROUP BY 1")
+def issue_concentration(spark: SparkSession, d: str) -> DataFrame:
+    return R.concentration(table(spark, d, "pages").select(F.col("url").alias("object_id")))
+
+
+@query("index_inventory", """SELECT '1.' || l_orderkey AS object_id, l_returnflag AS name, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linestatus = 'O') AS keys,
+  string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_linestatus <> 'O') AS included, max(l_quantity >= 25) AS is_unique, max(l_tax >= 0.04) AS is_clustered
+FROM lineitem GROUP BY 1, 2""")
+def index_inventory(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(
+        F.lit("1").alias("schema"), F.col("l_orderkey").cast("string").alias("table"), F.col("l_returnflag").alias("index_name"), (F.col("l_quantity") >= 25).alias("is_unique"), F.lit(False).alias("is_primary_key"),
+        F.when(F.col("l_tax") >= 0.04, "clustered").otherwise("nonclustered").alias("type_desc"), F.lit(False).alias("is_disabled"), F.col("l_partkey").cast("string").alias("column_name"),
+        F.col("l_linenumber").alias("key_ordinal"), (F.col("l_linestatus") != "O").alias("is_included"),
+    )
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return R.index_inventory(rows).select("object_id", "name", text("key_columns").alias("keys"), text("included_columns").alias("included"), "is_unique", "is_clustered")
+
+
+DOMAIN_SQL = """p AS (SELECT p_partkey AS id, coalesce(nullif(split_part(p_name, ' ', 1), ''), '(ungrouped)') AS domain, CASE WHEN p_size < 25 THEN 'table' ELSE 'procedure' END AS kind FROM part),
+ed AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2),
+pair AS (SELECT x.domain AS f, y.domain AS t, count(*) AS n FROM ed JOIN p x ON src = x.id JOIN p y ON dst = y.id GROUP BY 1, 2)"""
+
+
+def part_domains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, "table").otherwise("procedure").alias("kind"))
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    edges = line.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")).join(line.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey")
+    return R.domains(own, edges, " ")
+
+
+@query("domains", f"""WITH {DOMAIN_SQL}
+SELECT domain, count(*) AS objects, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'procedure') AS programmables,
+  CAST(coalesce((SELECT sum(n) FROM pair WHERE f = domain AND t = domain), 0) AS BIGINT) AS internal, CAST(coalesce((SELECT sum(n) FROM pair WHERE f = domain AND t <> domain), 0) AS BIGINT) AS outgoing,
+  CAST(coalesce((SELECT sum(n) FROM pair WHERE t = domain AND f <> domain), 0) AS BIGINT) AS incoming FROM p GROUP BY domain""")
+def domains(spark: SparkSession, d: str) -> DataFrame:
+    return part_domains(spark, d)[0]
+
+
+@query("domain_cross_edges", f"WITH {DOMAIN_SQL} SELECT f AS from_domain, t AS to_domain, n AS edges FROM pair WHERE f <> t")
+def domain_cross_edges(spark: SparkSession, d: str) -> DataFrame:
+    return part_domains(spark, d)[1]
+
+
+@query("severity_bands", """SELECT CAST(s AS INTEGER) AS severity, count(o_orderkey) AS findings FROM range(0, 4) r(s)
+LEFT JOIN orders ON s = o_orderkey % 3 AND o_orderstatus = 'F' GROUP BY s""")
+def severity_bands(spark: SparkSession, d: str) -> DataFrame:
+    from relscope.operators import rules
+
+    return rules.by_severity(table(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 3).cast("int").alias("severity")))
+
+
+@query("score_status", """SELECT source, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS bad, CASE WHEN sum(toxic) = 0 THEN 0 WHEN sum(toxic) <= count(*) // 10 + 1 THEN 1 ELSE 2 END AS status
+FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def score_status(spark: SparkSession, d: str) -> DataFrame:
+    from relscope.operators import rules
+
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    return rows.withColumn("status", rules._status(F.col("bad"), F.col("n"), F.expr("n div 10 + 1")))
+
+
+# ---- joins --------------------------------------------------------------------------------------------------------
+
+
+@query("resolve_targets", """WITH s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+SELECT coalesce(CAST(s_suppkey AS VARCHAR), '') AS to_object_id, CASE WHEN s_suppkey IS NULL THEN CAST(l_suppkey AS VARCHAR) ELSE '' END AS external_target, count(*) AS n
+FROM lineitem LEFT JOIN s ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
+    deps = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_object_id"), F.col("l_suppkey").cast("string").alias("to_object_id"), F.lit("").alias("external_target"))
+    known = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("id"))
+    return R.resolve(deps, known).groupBy("to_object_id", "external_target").agg(F.count("*").alias("n"))
+
+
+@query("dead_objects", """SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)
+AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase')""")
+def dead_objects(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    called = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id"))
+    ran = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"))
+    return R.except_rows(R.except_rows(own, called, ["id"]), ran, ["id"])
+
+
+@query("surviving_rows", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def surviving_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.surviving(table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").where("c_acctbal > 5000"), "o_custkey", "c_custkey")
+
+
+INDEX_SQL = """ix AS (SELECT o_custkey AS object_id, CAST(o_orderkey AS VARCHAR) AS name, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS k
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) <= 3)"""
+
+
+@query("index_pairs", f"""WITH {INDEX_SQL}
+SELECT a.object_id, a.name AS first, b.name AS second, CASE WHEN a.k = b.k THEN 'identical' ELSE 'prefix' END AS relation FROM ix a JOIN ix b ON a.object_id = b.object_id AND a.name < b.name
+WHERE a.k[1:least(len(a.k), len(b.k))] = b.k[1:least(len(a.k), len(b.k))]""")
+def index_pairs(spark: SparkSession, d: str) -> DataFrame:
+    line, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    rows = line.join(o, line.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("object_id"), F.col("o_orderkey").cast("string").alias("name"))
+    ix = rows.agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("key_columns"), F.count("*").alias("n")).where("n <= 3")
+    return R.index_pairs(ix)
+
+
+@query("unused_indexes", """SELECT '' || c_custkey AS object_id, c_mktsegment AS name, u AS user_updates FROM customer
+JOIN (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS u, count(*) FILTER (event_type IN ('view', 'click')) AS r FROM events GROUP BY 1) ON c_custkey = user_id WHERE r <= 25 AND u > 0 AND c_acctbal > 0""")
+def unused_indexes(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    static = c.select(F.col("c_custkey").cast("string").alias("object_id"), F.col("c_mktsegment").alias("name"), F.lit(False).alias("is_primary_key"), (F.col("c_acctbal") <= 0).alias("is_disabled"))
+    reads = F.count_if(F.col("event_type").isin("view", "click"))
+    u = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.when(reads <= 25, 0).otherwise(reads).cast("long").alias("user_seeks"), F.count_if(F.col("event_type") == "purchase").alias("user_updates"))
+    usage = u.join(c, "c_custkey").select(F.col("c_custkey").cast("string").alias("object_id"), F.col("c_mktsegment").alias("index_name"), "user_seeks", F.lit(0).cast("long").alias("user_scans"), F.lit(0).cast("long").alias("user_lookups"), "user_updates")
+    return R.unused_indexes(static, usage)
+
+
+COLUMNS = [("nation", "regionkey"), ("nation", "nationkey"), ("customer", "nationkey"), ("supplier", "Nation_Key"), ("orders", "custkey"), ("orders", "customer_key"), ("lineitem", "orderkey"), ("lineitem", "part-key"), ("lineitem", "supplierkey"), ("events", "key"), ("pages", "regionskey")]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
+
+
+@query("infer_relationships", f"""WITH c(from_id, col) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in COLUMNS)}), t(id) AS (VALUES {', '.join(f"('{x}')" for x in TABLES)}),
+s AS (SELECT from_id, col, regexp_replace(col[1:len(col) - 3], '^[_. -]+|[_. -]+$', '', 'g') AS stem FROM c WHERE lower(col) LIKE '%key' AND len(col) > 3),
+k AS (SELECT id, CASE WHEN id LIKE '%s' THEN id[1:len(id) - 1] ELSE id END AS k FROM t)
+SELECT from_id, col AS from_column, id AS to_id, CASE WHEN lower(stem) = id THEN 'high' ELSE 'medium' END AS confidence
+FROM s JOIN k ON (CASE WHEN lower(stem) LIKE '%s' THEN lower(stem)[1:len(stem) - 1] ELSE lower(stem) END) = k WHERE from_id <> id AND NOT (from_id = 'lineitem' AND id = 'orders')""")
+def infer_relationships(spark: SparkSession, d: str) -> DataFrame:
+    columns = spark.createDataFrame(COLUMNS, "id string, column string")
+    tables = spark.createDataFrame([(x, x) for x in TABLES], "id string, name string")
+    return R.infer_relationships(columns, tables, spark.createDataFrame([("lineitem", "orders")], "from_id string, to_id string"), "key")
+
+
+@query("edges_within", f"WITH {edges_sql()} SELECT src, dst FROM e WHERE src IN (SELECT n_name FROM nation WHERE n_regionkey < 4) AND dst IN (SELECT n_name FROM nation WHERE n_regionkey < 4)")
+def edges_within(spark: SparkSession, d: str) -> DataFrame:
+    shown = table(spark, d, "nation").where("n_regionkey < 4").select(F.col("n_name").alias("id"))
+    return R.within(nation_edges(spark, d).select("src", "dst"), shown)
+
+
+TYPES = ["int", "varchar", "bigint", "smallint", "nvarchar", "numeric"]
+
+
+@query("schema_diff", f"""WITH o AS (SELECT *, ['{"', '".join(TYPES)}'] AS ty FROM part WHERE p_partkey % 10 <> 0), n AS (SELECT *, ['{"', '".join(TYPES)}'] AS ty FROM part WHERE p_partkey % 10 <> 1),
+oc AS (SELECT 'p' || p_partkey AS id, 'C' || (p_size % 3) AS col, ty[p_size % 6 + 1] AS t, p_size % 2 = 0 AS nl FROM o), nc AS (SELECT 'p' || p_partkey AS id, 'c' || (p_size % 4) AS col, ty[p_size % 5 + 1] AS t, p_size % 7 = 0 AS nl FROM n),
+j AS (SELECT coalesce(oc.id, nc.id) AS id, oc.col AS a, nc.col AS b, oc.t AS ot, nc.t AS nt, oc.nl AS onl, nc.nl AS nnl FROM (SELECT * FROM oc WHERE id IN (SELECT id FROM nc)) oc FULL JOIN (SELECT * FROM nc WHERE id IN (SELECT id FROM oc)) nc ON oc.id = nc.id AND lower(oc.col) = lower(nc.col)),
+c AS (SELECT *, CASE WHEN ot = nt THEN 'Same' WHEN (ot, nt) IN (('int', 'bigint'), ('smallint', 'int'), ('varchar', 'nvarchar')) THEN 'Compatible' ELSE 'Narrowing' END AS cmp FROM j WHERE a IS NOT NULL AND b IS NOT NULL),
+fo AS (SELECT DISTINCT 'p' || p_partkey || '->' || p_brand || ':' || 'k' AS x FROM o WHERE p_size < 10), fn AS (SELECT DISTINCT 'p' || p_partkey || '->' || p_brand || ':' || 'k' AS x FROM n WHERE p_size < 8)
+SELECT 'object-dropped' AS kind, id AS target, 2 AS risk, 'table removed' AS detail FROM oc WHERE id NOT IN (SELECT id FROM nc) UNION ALL SELECT 'object-added', id, 0, 'table added' FROM nc WHERE id NOT IN (SELECT id FROM oc)
+UNION ALL SELECT 'column-dropped', id || '.' || a, 2, 'column removed' FROM j WHERE b IS NULL UNION ALL SELECT 'column-added', id || '.' || b, CASE WHEN nnl THEN 0 ELSE 2 END, CASE WHEN nnl THEN 'nullable column added' ELSE 'NOT NULL column added' END FROM j WHERE a IS NULL
+UNION ALL SELECT 'column-type-narrowed', id || '.' || a, 2, ot || ' to ' || nt FROM c WHERE cmp = 'Narrowing' UNION ALL SELECT 'column-type-widened', id || '.' || a, 0, ot || ' to ' || nt FROM c WHERE cmp = 'Compatible'
+UNION ALL SELECT 'column-not-null-tightened', id || '.' || a, 2, 'NULL to NOT NULL' FROM c WHERE onl AND NOT nnl UNION ALL SELECT 'fk-dropped', x, 1, 'foreign key removed' FROM fo WHERE x NOT IN (SELECT x FROM fn)""")
+def schema_diff(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    old, new = part.where("p_partkey % 10 <> 0"), part.where("p_partkey % 10 <> 1")
+    types = F.array(*[F.lit(t) for t in TYPES])
+    cols = lambda p, name, m, k, n: p.select("id", F.concat(F.lit(name), (F.col("p_size") % m).cast("string")).alias("column"), F.get(types, F.col("p_size") % k).alias("data_type"), (F.col("p_size") % n == 0).alias("nullable"))
+    fks = lambda p, n: p.where(F.col("p_size") < n).select(F.col("id").alias("from_id"), F.col("p_brand").alias("to_id"), F.array(F.lit("k")).alias("columns"))
+    kinds = lambda p: p.select("id", F.lit("table").alias("kind"))
+    return R.diff(kinds(old), kinds(new), cols(old, "C", 3, 6, 2), cols(new, "c", 4, 5, 7), fks(old, 10), fks(new, 8))
+
+
+@query("baseline_suppression", """SELECT kind, target FROM (SELECT o_orderstatus AS kind, CAST(o_orderkey AS VARCHAR) AS target FROM orders) WHERE sha256(kind || '|' || target) NOT IN (SELECT sha256('F|' || l_orderkey) FROM lineitem WHERE l_quantity > 45)""")
+def baseline_suppression(spark: SparkSession, d: str) -> DataFrame:
+    changes = table(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").cast("string").alias("target"))
+    baseline = table(spark, d, "lineitem").where("l_quantity > 45").select(S.sha_key(F.lit("F"), F.col("l_orderkey").cast("string")).alias("key"))
+    return R.unsuppressed(changes, baseline)
+
+
+# ---- filters, sets, windows, limits -------------------------------------------------------------------------------
+
+
+@query("exclude_globs", "SELECT p_partkey, p_name FROM part WHERE NOT (lower(p_name) LIKE '%a_e%' OR lower(p_brand) LIKE 'brand#1%' OR lower(p_name) LIKE '%.%')")
+def exclude_globs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part")
+    return R.exclude(R.exclude(rows, ["*A?e*", "*.*"], "p_name", "p_name"), ["brand#1*"], "p_brand", "p_brand").select("p_partkey", "p_name")
+
+
+@query("edges_not_touching", "SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def edges_not_touching(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    rows = R.not_touching(rows, table(spark, d, "supplier").where("s_acctbal < 0"), ["l_suppkey"], "s_suppkey")
+    return R.not_touching(rows, table(spark, d, "part").where("p_size > 40"), ["l_partkey"], "p_partkey")
+
+
+@query("search_rows", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog') AND page_id >= 10")
+def search_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.compare(R.search_rows(table(spark, d, "pages"), "url", "Blog"), "page_id", ">=", 10).select("page_id", "url")
+
+
+@query("set_operations", "SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT user_id FROM events")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")).distinct()
+    return R.intersect_rows(a, table(spark, d, "events").select(F.col("user_id").alias("id")), ["id"])
+
+
+@query("distinct_edges", """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS src, o_orderstatus AS dst, 'read' AS kind FROM orders
+UNION SELECT CAST(c_custkey AS VARCHAR), c_mktsegment, CASE WHEN c_acctbal > 0 THEN 'fk-cascade' ELSE 'fk' END FROM customer""")
+def distinct_edges(spark: SparkSession, d: str) -> DataFrame:
+    deps = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("from_object_id"), F.col("o_orderstatus").alias("to_object_id"), F.lit("read").alias("kind"))
+    fks = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("from_object_id"), F.col("c_mktsegment").alias("to_object_id"), F.when(F.col("c_acctbal") > 0, "CASCADE").otherwise("NoAction").alias("on_delete"))
+    return R.distinct_edges(deps, fks)
+
+
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("keep_first", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(LINE_ORDER)}) AS n FROM lineitem) WHERE n = 1""")
+def keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return R.keep_first(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("dropped_duplicates", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
+SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(LINE_ORDER)}) AS n FROM lineitem) WHERE n > 1""")
+def dropped_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return R.dropped_duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("hot_rows", """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT * FROM c
+WHERE n >= (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM c) WHERE r = greatest(1, (SELECT count(*) FROM c) // 10))""")
+def hot_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.hot_rows(event_counts(spark, d), "n")
+
+
+@query("heat_buckets", """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), b AS (SELECT *, CAST(greatest(0, least(4, CAST(floor(5 * ln(1 + n) / ln(1 + (SELECT max(n) FROM c))) AS INTEGER))) AS INTEGER) AS bucket FROM c)
+SELECT user_id, n, bucket, CAST(round(0.15 + 0.175 * bucket, 6) AS DOUBLE) AS alpha FROM b""")
+def heat_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return R.heat_buckets(event_counts(spark, d), "n").withColumn("alpha", F.round("alpha", 6))
+
+
+@query("top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def top_k(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_k(table(spark, d, "part").select("p_partkey", "p_retailprice"), 25, F.desc("p_retailprice"), "p_partkey")
+
+
+@query("most_connected", f"""WITH {edges_sql()} SELECT n_name AS id, coalesce(t, 0) AS touches FROM nation LEFT JOIN (SELECT id, count(*) AS t FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id) x ON n_name = x.id
+ORDER BY 2 DESC, 1 LIMIT 12""")
+def most_connected(spark: SparkSession, d: str) -> DataFrame:
+    return R.most_connected(nation_nodes(spark, d), nation_edges(spark, d), 12)
+
+
+@query("table_page", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25 OFFSET 50")
+def table_page(spark: SparkSession, d: str) -> DataFrame:
+    return R.page_of(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 3, 25, True)
+
+
+# ---- graph --------------------------------------------------------------------------------------------------------
+
+CHAIN_SQL = "ch AS (SELECT CAST(o_orderkey AS VARCHAR) AS src, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS dst FROM orders)"
+
+
+@query("impact", f"""WITH RECURSIVE {CHAIN_SQL}, h(root, object_id, depth) AS (SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), 0 FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT root, src, depth + 1 FROM h JOIN ch ON dst = object_id WHERE depth < 32)
+SELECT root, object_id, CAST(depth AS INTEGER) AS depth, 'fk' AS via_kind, max(depth) OVER (PARTITION BY root) >= 32 AS capped FROM h WHERE depth > 0""")
+def impact(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = o.select(F.col("o_orderkey").cast("string").alias("src"), before.cast("string").alias("dst"), F.lit("fk").alias("kind")).where("dst is not null")
+    return G.impact(edges, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("root")))
+
+
+REACH_SQL = "r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)"
+
+
+@query("strong_components", f"""WITH RECURSIVE {edges_sql()}, {REACH_SQL}, m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
+c AS (SELECT a AS id, least(a, min(b)) AS component_id FROM m GROUP BY a) SELECT component_id, id, count(*) OVER (PARTITION BY component_id) AS size FROM c""")
+def strong_components(spark: SparkSession, d: str) -> DataFrame:
+    return G.strong_components(nation_edges(spark, d))
+
+
+@query("reach", f"WITH RECURSIVE {edges_sql()}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT n_name AS seed, b AS id FROM r JOIN nation ON a = n_name WHERE n_regionkey < 3 AND a <> b")
+def reach(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("seed"))
+    return G.reach(nation_edges(spark, d), seeds).select("seed", "id")
+
+
+@query("path_length", f"""WITH RECURSIVE {edges_sql()}, w(a, b, n) AS (SELECT src, dst, 1 FROM e UNION SELECT w.a, e.dst, n + 1 FROM w JOIN e ON w.b = e.src WHERE n < 26),
+f AS (SELECT min(src) AS s, max(dst) AS g FROM e) SELECT s AS start, g AS goal, CAST(coalesce((SELECT min(n) + 1 FROM w WHERE a = s AND b = g), 0) AS BIGINT) AS nodes FROM f""")
+def path_length(spark: SparkSession, d: str) -> DataFrame:
+    edges = nation_edges(spark, d)
+    ends = edges.agg(F.min("src").alias("s"), F.max("dst").alias("g")).first()
+    path = G.shortest_path(edges, ends["s"], ends["g"])
+    return spark.createDataFrame([(ends["s"], ends["g"], len(path))], "start string, goal string, nodes long")
+
+
+@query("orphans", f"WITH {edges_sql()} SELECT n_name AS id FROM nation WHERE n_name NOT IN (SELECT src FROM e) AND n_name NOT IN (SELECT dst FROM e)")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    return G.orphans(nation_nodes(spark, d), nation_edges(spark, d))
+
+
+@query("neighbours", f"WITH {edges_sql()} SELECT DISTINCT dst AS id FROM e JOIN nation ON src = n_name WHERE n_regionkey = 1")
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return G.neighbours(nation_edges(spark, d), table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("id")))
+
+
+@query("neighbourhood", f"""WITH RECURSIVE {edges_sql()}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), f AS (SELECT min(src) AS c FROM e),
+h(id, d) AS (SELECT c, 0 FROM f UNION SELECT dst, d + 1 FROM h JOIN u ON src = id WHERE d < 2) SELECT id, CAST(min(d) AS INTEGER) AS depth FROM h GROUP BY id""")
+def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    edges = nation_edges(spark, d)
+    return G.neighbourhood(edges, edges.agg(F.min("src").alias("c")).first()["c"], 2)[0].select("id", "depth")
+
+
+def _graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_name").alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("schema"))
+    full = n.withColumn("path", F.concat_ws(".", "schema", "id")).withColumn("kind", F.lit("table")).withColumn("loc", F.length("id")).withColumn("cog", F.lit(1))
+    return full.join(R.fan_counts(nation_edges(spark, d), nation_nodes(spark, d)), "id")
+
+
+def _ask(name: str, text: str, sql: str) -> None:
+    query(name, sql)(lambda spark, d: query_lang.query(_graph_nodes(spark, d), nation_edges(spark, d).select("src", "dst"), text).select("id", "path"))
+
+
+_PATH = "SELECT n_name AS id, 'r' || n_regionkey || '.' || n_name AS path FROM nation"
+_ask("ask_numeric", "fanin >= 1", f"WITH {edges_sql()} {_PATH} WHERE n_name IN (SELECT dst FROM e)")
+_ask("ask_folder", "schema: R2", f"{_PATH} WHERE n_regionkey = 2")
+_ask("ask_orphans", "orphans in r1", f"WITH {edges_sql()} {_PATH} WHERE n_regionkey = 1 AND n_name NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
+_ask("ask_usedby", "usedby: r3.", f"WITH {edges_sql()} {_PATH} WHERE n_name IN (SELECT src FROM e JOIN nation ON dst = n_name WHERE n_regionkey = 3)")
+_ask("ask_reachedby", "reachedby: r0.", f"WITH RECURSIVE {edges_sql()}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) {_PATH} WHERE n_name IN (SELECT a FROM r JOIN nation x ON b = x.n_name WHERE x.n_regionkey = 0 AND a <> b)")
+
+
+# ---- scalars ------------------------------------------------------------------------------------------------------
+
+
+def _count_sql(text: str, marker: str) -> str:
+    return f"((len(lower({text})) - len(replace(lower({text}), '{marker.lower()}', ''))) // {len(marker)})"
+
+
+def _select(name: str, source: str, key: str, columns: dict[str, tuple[Column, str]]) -> None:
+    """Register a projection: for each output its Column and its SQL."""
+    sql = f"SELECT {key}, " + ", ".join(f"{s} AS {n}" for n, (_, s) in columns.items()) + f" FROM {source}"
+    query(name, sql)(lambda spark, d: table(spark, d, source).select(key, *[c.alias(n) for n, (c, _) in columns.items()]))
+
+
+_t = F.col("text")
+_select("text_measures", "documents", "doc_id", {
+    "loc": (S.count_lines(_t), "CAST(CASE WHEN text = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS INTEGER)"),
+    "bytes": (S.utf8_bytes(_t), "CAST(strlen(text) AS BIGINT)"), "estimated": (S.estimated_lines(S.utf8_bytes(_t)), "CAST(strlen(text) // 40 AS INTEGER)"),
+    "cyclomatic": (S.cyclomatic(_t), "CAST(1 + " + " + ".join(_count_sql("text", m) for m in ("IF ", "WHILE ", "CASE ", "CATCH")) + " AS INTEGER)"),
+    "sha": (F.sha2(_t, 256), "sha256(text)"), "megabytes": (S.megabytes(S.utf8_bytes(_t)), "printf('%.1f', strlen(text) / 1048576.0)"),
+})
+_tok = S.tokens(_t)
+_select("text_tokens", "documents", "doc_id", {
+    "n_tokens": (F.size(_tok).cast("long"), r"CAST(len(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+')) AS BIGINT)"), "has_of_the": (S.has_token(_tok, "OF", "THE"), r"contains(' ' || array_to_string(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+'), ' ') || ' ', ' OF THE ')"),
+    "stripped": (F.length(S.strip_comments_and_strings(_t)), r"CAST(len(regexp_replace(text, '(?s)--[^\n]*|/\*.*?(?:\*/|$)|''[^'']*(?:''|$)', ' ', 'g')) AS INTEGER)"),
+})
+_scores = {d: " + ".join(_count_sql("text", m.replace("\n", "' || chr(10) || '")) if "\n" not in m else "((len(lower(text)) - len(replace(lower(text), 'go' || chr(10), ''))) // 3)" for m in ms) for d, ms in S.DIALECT_MARKERS.items()}
+_select("dialects", "documents", "doc_id", {"dialect": (S.detect_dialect(_t), f"CASE WHEN ({_scores['tsql']}) >= ({_scores['mysql']}) AND ({_scores['tsql']}) >= ({_scores['postgres']}) THEN 'tsql' WHEN ({_scores['mysql']}) >= ({_scores['postgres']}) THEN 'mysql' ELSE 'postgres' END")})
+_u = F.col("url")
+_select("slugs", "pages", "page_id", {
+    "slug": (S.make_slug(_u), r"CASE WHEN len(regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')) > 100 THEN regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')[1:91] || '_' || sha256(url)[1:8] ELSE regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g') END"),
+    "alnum": (S.alnum_only(_u), r"regexp_replace(url, '[^\p{L}\p{Nd}]', '', 'g')"), "encoded": (S.html_encode(_u), "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"),
+    "schema": (S.schema_of(_u), "CASE WHEN instr(url, '.') > 1 THEN split_part(url, '.', 1) ELSE url END"),
+})
+_n = F.col("p_name")
+_select("name_rules", "part", "p_partkey", {
+    "domain": (S.domain_of(_n, " "), "coalesce(nullif(split_part(trim(p_name), ' ', 1), ''), '(ungrouped)')"),
+    "singular": (S.canonical_singular(_n), "CASE WHEN lower(p_name) LIKE '%ies' AND len(p_name) > 3 THEN lower(p_name)[1:len(p_name) - 3] || 'y' WHEN regexp_matches(lower(p_name), '(s|x|ch|sh)es$') THEN lower(p_name)[1:len(p_name) - 2] WHEN lower(p_name) LIKE '%s' AND lower(p_name) NOT LIKE '%ss' AND len(p_name) > 1 THEN lower(p_name)[1:len(p_name) - 1] ELSE lower(p_name) END"),
+    "bad": (S.bad_name(_n), r"regexp_matches(p_name, ' |^\p{Nd}')"), "purpose": (S.object_purpose(F.concat(F.when(F.col("p_size") > 40, "usp_").otherwise(""), _n, F.when(F.col("p_size") < 5, "_LOG").otherwise("")), F.when(F.col("p_size") > 20, "view").otherwise("table")), "CASE WHEN p_size > 40 THEN 'Stored procedure' WHEN p_size < 5 THEN 'Log table' WHEN p_size > 20 THEN 'View' ELSE 'Table' END"),
+    "score": (S.palette_score(_n, F.col("p_type"), "an"), "CAST(CASE WHEN instr(lower(p_name), 'an') = 1 THEN 100 WHEN instr(lower(p_name), 'an') > 1 THEN 60 - least(40, instr(lower(p_name), 'an') - 1) WHEN contains(lower(p_type), 'an') THEN 10 WHEN regexp_matches(lower(p_name), 'a.*n') THEN 5 ELSE 0 END AS INTEGER)"),
+    "id": (S.normalize_id(F.concat(F.lit("["), F.col("p_brand"), F.lit("]")), F.concat(F.lit(' "'), _n, F.lit('" '))), "lower(p_brand || '.' || p_name)"),
+    "default_id": (S.normalize_id(F.lit(""), _n, F.lit("postgres")), "lower('public.' || p_name)"),
+})
+_ty = F.get(F.array(*[F.lit(t) for t in ("varchar", "NVARCHAR", "decimal", "datetime", "binary")]), F.col("p_size") % 5)
+_ln = F.when(F.col("p_size") % 3 == 0, -1).otherwise(F.col("p_size") * 10)
+_tysql, _lnsql = "(['varchar', 'nvarchar', 'decimal', 'datetime', 'binary'])[p_size % 5 + 1]", "(CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size * 10 END)"
+_select("type_rules", "part", "p_partkey", {
+    "type": (S.type_text(_ty, _ln, F.col("p_size"), F.lit(2)), f"CASE {_tysql} WHEN 'decimal' THEN 'decimal(' || p_size || ',2)' WHEN 'datetime' THEN 'datetime' ELSE {_tysql} || '(' || CASE WHEN {_lnsql} = -1 THEN 'max' WHEN {_tysql} = 'nvarchar' THEN CAST({_lnsql} // 2 AS VARCHAR) ELSE CAST({_lnsql} AS VARCHAR) END || ')' END"),
+    "compared": (S.compare_types(F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 6), F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 5)), f"CASE WHEN p_size % 6 = p_size % 5 THEN 'Same' WHEN (p_size % 6, p_size % 5) IN ((0, 2), (3, 0), (1, 4)) THEN 'Compatible' WHEN (p_size % 5, p_size % 6) IN ((0, 2), (3, 0), (1, 4)) THEN 'Narrowing' ELSE 'Incompatible' END"),
+    "level": (S.sarif_level(F.col("p_size") % 4), "CASE WHEN p_size % 4 <= 1 THEN 'error' WHEN p_size % 4 = 2 THEN 'warning' ELSE 'note' END"),
+    "clamped": (S.clamp(F.col("p_size"), 10, 40), "least(greatest(p_size, 10), 40)"),
+})
+_conn = F.concat(F.lit("Server="), F.col("c_name"), F.lit(";Database=db"), F.col("c_nationkey").cast("string"), F.lit("; PWD = x"), F.col("c_custkey").cast("string"), F.lit(";Timeout=3"))
+_select("redacted", "customer", "c_custkey", {
+    "shown": (S.redact(_conn), "'Server=<redacted>;Database=db' || c_nationkey || '; PWD =<redacted>;Timeout=3'"), "database": (S.database_name(_conn), "'db' || c_nationkey"), "balance": (S.one_decimal(F.round(F.col("c_acctbal"))), "printf('%.1f', round(c_acctbal))"),
+})
+_select("whole_days", "events", "event_id", {"days": (S.whole_days(F.col("ts"), F.lit("2030-01-01 00:00:00").cast("timestamp")), "CAST((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(ts)) // 86400000000 AS BIGINT)")})
+
+
+# ---- counters -----------------------------------------------------------------------------------------------------
+
+
+@query("windowed_counters", "SELECT event_type AS key, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def windowed_counters(spark: SparkSession, d: str) -> DataFrame:
+    return counters.windowed(table(spark, d, "events"), "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("counter_increments", """WITH a AS (SELECT l_partkey AS k, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS k, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT b.k, CASE WHEN b.n >= coalesce(a.n, 0) THEN b.n - coalesce(a.n, 0) ELSE b.n END AS n FROM b LEFT JOIN a USING (k)""")
+def counter_increments(spark: SparkSession, d: str) -> DataFrame:
+    sums = lambda w: table(spark, d, "lineitem").where(w).groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    return counters.increments(sums("l_returnflag = 'A'"), sums("l_returnflag <> 'N'"), ["k"], ["n"])
