@@ -93,6 +93,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels
 
 
-def hash_order(col: Column | str, seed: int) -> Column:
-    """A reproducible pseudo-random order key of a column."""
-    return F.xxhash64(F.lit(seed), F.col(col) if isinstance(col, str) else col)
+def in_share(order: Column, share: float) -> Column:
+    """Whether a hash (a long) falls in the lowest share of all hashes.
+
+    Put before orderBy(hash).limit(n): without it every task would send n rows to the one that merges them.
+    """
+    return F.shiftrightunsigned(order.bitwiseXOR(F.lit(-(1 << 63))), 11) < int(min(1.0, share) * 2**53)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm.common import ASCII_LOWER, read
+from relscope.llm.common import ASCII_LOWER, in_share, read
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 #: Training sample: rows at most, windows a row, passes, learning rate, seed.
@@ -182,7 +182,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = docs.where(~held_out(doc_id, 5, 0) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     place = lambda i: (F.pmod(F.xxhash64(F.lit(i), F.col(doc_id)), F.greatest(F.lit(1), F.char_length(text) - WINDOW + 1)) + 1).cast("int")
     pieces = F.array(*[F.col(text).substr(place(i), F.lit(WINDOW)) for i in range(PER_ROW)])
-    got = rows.select(F.xxhash64(F.lit(SEED), F.col(doc_id)).alias("o"), F.col(lang).alias("l"), pieces.alias("p")).orderBy("o", "l").limit(sample).collect()
+    order = F.xxhash64(F.lit(SEED), F.col(doc_id))
+    labelled = docs.where(F.col(lang).isNotNull()).count()  # a little more than the share that fills the sample, so tasks send few rows
+    got = rows.where(in_share(order, 2 * sample / max(1, labelled))).select(order.alias("o"), F.col(lang).alias("l"), pieces.alias("p")).orderBy("o", "l").limit(sample).collect()
     both = [(t, r["l"]) for r in got for t in dict.fromkeys(r["p"]) if LETTER.search(t)]
     return train([t for t, _ in both], [x for _, x in both])
 

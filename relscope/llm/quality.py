@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm.common import read
+from relscope.llm.common import in_share, read
 from relscope.llm.language_id import held_out
 
 #: Bytes of a passage; hidden and attention sizes.
@@ -126,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     A training bag holds at most BAG passages, evenly spaced over the whole document, so what reaches the driver is bounded.
     """
     rows = labels.where(~held_out(doc_id, 3, 1) & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-    chosen = rows.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(SEED), F.col(doc_id)).alias("__o")).orderBy("__o", "y").limit(sample)
+    order = F.xxhash64(F.lit(SEED), F.col(doc_id))
+    some = rows.where(in_share(order, 2 * sample / max(1, labels.count())))
+    chosen = some.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"), order.alias("__o")).orderBy("__o", "y").limit(sample)
     found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
