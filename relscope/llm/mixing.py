@@ -58,7 +58,8 @@ def running_start(rows: DataFrame, group: str, order: str, value: str, n_rows: i
     sums = dealt.groupBy(group, "__bucket").agg(F.sum(value).alias("__sum"))
     level = _before(sums, group, bits)
     ties = [c for c in rows.columns if c not in (group, order)]
-    inner = Window.partitionBy(group, "__bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    unsigned = F.col(order).bitwiseXOR(F.lit(-(1 << 63)))  # as the buckets are cut
+    inner = Window.partitionBy(group, "__bucket").orderBy(unsigned, *ties).rowsBetween(Window.unboundedPreceding, -1)
     same = dealt[group].eqNullSafe(level["__g"]) & (dealt["__bucket"] == level["__b"])
     local = dealt.withColumn("__local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return local.join(level, same).withColumn(out, F.col("__local") + F.col("__before")).drop("__local", "__before", "__g", "__b", "__bucket")
