@@ -115,7 +115,12 @@ def run(a: argparse.Namespace) -> int:
         t = live.jdbc_tables(spark, url, a.timeout)
         rows = {"objects": live.objects(t), "columns": live.columns(t), "primary_keys": live.primary_keys(t), "foreign_keys": live.foreign_keys(t), "modules": live.modules(t), "index_columns": live.index_columns(t)}
         now = datetime.now(timezone.utc)
-        for key, query in {"table_stats": live.table_stats, "stats_age": live.stats_age, "fragmentation": live.fragmentation}.items():
+        here = t("(SELECT DB_ID() AS id, DB_NAME() AS name) d").first()
+        queries = {
+            "table_stats": live.table_stats, "stats_age": live.stats_age, "fragmentation": live.fragmentation, "proc_stats": lambda t: live.proc_stats(t, here["id"]),
+            "index_usage": lambda t: live.index_usage(t, here["id"]), "missing_indexes": lambda t: live.missing_indexes(t, here["id"]), "backups": lambda t: live.backups(t, here["name"]),
+        }
+        for key, query in queries.items():
             df, ok = live.allowed(spark, lambda query=query: query(t), live.ROWS[key])
             if ok:
                 rows[key] = df

@@ -133,6 +133,12 @@ def orphans(nodes: DataFrame, edges: DataFrame, referenced_only: bool = False) -
     return out if referenced_only else out.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
 
 
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with an edge to or from another node."""
+    ends = edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return nodes.join(ends, "id", "left_semi")
+
+
 def neighbours(edges: DataFrame, anchors: DataFrame, forward: bool = True) -> DataFrame:
     """(id): distinct ids one edge away from the anchors (id)."""
     a, b = ("src", "dst") if forward else ("dst", "src")

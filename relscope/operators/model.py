@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from relscope.functions import scalars as S
 from relscope.operators import relational as R
 from relscope.operators.lineage import cut
+from relscope.sources import tsql
 
 SCHEMA_VERSION = 6
 #: Scripts above this many bytes are counted, not parsed.
@@ -91,10 +92,13 @@ def with_rows(model: Model, spark: SparkSession, **rows: Sequence[dict]) -> Mode
     return replace(model, **out)
 
 
+#: Analysers by dialect: (path, text) to tsql.Facts; they must not raise. Register another to parse another dialect.
+ANALYZERS: dict[str, Callable[[str, str], tsql.Facts]] = {"tsql": tsql.analyze}
+
+
 def parse_scripts(units: DataFrame) -> DataFrame:
     """units (rel_path, content, dialect) with the facts of each script; large and foreign scripts are only counted."""
-    from relscope.sources import tsql
-
+    analyzers = dict(ANALYZERS)
     schema = units.sparkSession.createDataFrame([], FACTS).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,10 +108,10 @@ def parse_scripts(units: DataFrame) -> DataFrame:
                 size = len((content or "").encode())
                 if size > PARSE_LIMIT:
                     f = tsql.Facts(diagnostics=[f"{path}: {size / (1 << 20):.1f} MB exceeds the limit; counted but not parsed"], parsed_cleanly=False)
-                elif dialect != "tsql":
+                elif dialect not in analyzers:
                     f = tsql.Facts(diagnostics=[f"{path}: {dialect} is recorded but not parsed"], parsed_cleanly=False)
                 else:
-                    f = tsql.analyze(path, content or "")
+                    f = analyzers[dialect](path, content or "")
                 rows.append((path, f.objects, f.foreign_keys, f.dependencies, f.diagnostics, f.statement_count, f.parsed_cleanly, f.has_credential))
             yield pd.DataFrame(rows, columns=schema.names)
 

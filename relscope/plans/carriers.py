@@ -422,6 +422,11 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return G.orphans(nation_nodes(spark, d), nation_edges(spark, d))
 
 
+@query("connected", f"WITH {edges_sql()} SELECT n_name AS id FROM nation WHERE n_name IN (SELECT src FROM e WHERE src <> dst UNION SELECT dst FROM e WHERE src <> dst)")
+def connected(spark: SparkSession, d: str) -> DataFrame:
+    return G.connected(nation_nodes(spark, d), nation_edges(spark, d))
+
+
 @query("neighbours", f"WITH {edges_sql()} SELECT DISTINCT dst AS id FROM e JOIN nation ON src = n_name WHERE n_regionkey = 1")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbours(nation_edges(spark, d), table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("id")))
@@ -459,55 +464,55 @@ def _count_sql(text: str, marker: str) -> str:
     return f"((len(lower({text})) - len(replace(lower({text}), '{marker.lower()}', ''))) // {len(marker)})"
 
 
-def _select(name: str, source: str, key: str, columns: dict[str, tuple[Column, str]]) -> None:
-    """Register a projection: for each output its Column and its SQL."""
+def _select(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """Register a projection: for each output what makes its Column (there may be no session yet) and its SQL."""
     sql = f"SELECT {key}, " + ", ".join(f"{s} AS {n}" for n, (_, s) in columns.items()) + f" FROM {source}"
-    query(name, sql)(lambda spark, d: table(spark, d, source).select(key, *[c.alias(n) for n, (c, _) in columns.items()]))
+    query(name, sql)(lambda spark, d: table(spark, d, source).select(key, *[c().alias(n) for n, (c, _) in columns.items()]))
 
 
-_t = F.col("text")
+_t = lambda: F.col("text")
 _select("text_measures", "documents", "doc_id", {
-    "loc": (S.count_lines(_t), "CAST(CASE WHEN text = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS INTEGER)"),
-    "bytes": (S.utf8_bytes(_t), "CAST(strlen(text) AS BIGINT)"), "estimated": (S.estimated_lines(S.utf8_bytes(_t)), "CAST(strlen(text) // 40 AS INTEGER)"),
-    "cyclomatic": (S.cyclomatic(_t), "CAST(1 + " + " + ".join(_count_sql("text", m) for m in ("IF ", "WHILE ", "CASE ", "CATCH")) + " AS INTEGER)"),
-    "sha": (F.sha2(_t, 256), "sha256(text)"), "megabytes": (S.megabytes(S.utf8_bytes(_t)), "printf('%.1f', strlen(text) / 1048576.0)"),
+    "loc": (lambda: S.count_lines(_t()), "CAST(CASE WHEN text = '' THEN 0 ELSE len(text) - len(replace(text, chr(10), '')) + CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END END AS INTEGER)"),
+    "bytes": (lambda: S.utf8_bytes(_t()), "CAST(strlen(text) AS BIGINT)"), "estimated": (lambda: S.estimated_lines(S.utf8_bytes(_t())), "CAST(strlen(text) // 40 AS INTEGER)"),
+    "cyclomatic": (lambda: S.cyclomatic(_t()), "CAST(1 + " + " + ".join(_count_sql("text", m) for m in ("IF ", "WHILE ", "CASE ", "CATCH")) + " AS INTEGER)"),
+    "sha": (lambda: F.sha2(_t(), 256), "sha256(text)"), "megabytes": (lambda: S.megabytes(S.utf8_bytes(_t())), "printf('%.1f', strlen(text) / 1048576.0)"),
 })
-_tok = S.tokens(_t)
+_tok = lambda: S.tokens(_t())
 _select("text_tokens", "documents", "doc_id", {
-    "n_tokens": (F.size(_tok).cast("long"), r"CAST(len(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+')) AS BIGINT)"), "has_of_the": (S.has_token(_tok, "OF", "THE"), r"contains(' ' || array_to_string(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+'), ' ') || ' ', ' OF THE ')"),
-    "stripped": (F.length(S.strip_comments_and_strings(_t)), r"CAST(len(regexp_replace(text, '(?s)--[^\n]*|/\*.*?(?:\*/|$)|''[^'']*(?:''|$)', ' ', 'g')) AS INTEGER)"),
+    "n_tokens": (lambda: F.size(_tok()).cast("long"), r"CAST(len(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+')) AS BIGINT)"), "has_of_the": (lambda: S.has_token(_tok(), "OF", "THE"), r"contains(' ' || array_to_string(regexp_extract_all(upper(text), '[\p{L}\p{Nd}@_]+'), ' ') || ' ', ' OF THE ')"),
+    "stripped": (lambda: F.length(S.strip_comments_and_strings(_t())), r"CAST(len(regexp_replace(text, '(?s)--[^\n]*|/\*.*?(?:\*/|$)|''[^'']*(?:''|$)', ' ', 'g')) AS INTEGER)"),
 })
 _scores = {d: " + ".join(_count_sql("text", m.replace("\n", "' || chr(10) || '")) if "\n" not in m else "((len(lower(text)) - len(replace(lower(text), 'go' || chr(10), ''))) // 3)" for m in ms) for d, ms in S.DIALECT_MARKERS.items()}
-_select("dialects", "documents", "doc_id", {"dialect": (S.detect_dialect(_t), f"CASE WHEN ({_scores['tsql']}) >= ({_scores['mysql']}) AND ({_scores['tsql']}) >= ({_scores['postgres']}) THEN 'tsql' WHEN ({_scores['mysql']}) >= ({_scores['postgres']}) THEN 'mysql' ELSE 'postgres' END")})
-_u = F.col("url")
+_select("dialects", "documents", "doc_id", {"dialect": (lambda: S.detect_dialect(_t()), f"CASE WHEN ({_scores['tsql']}) >= ({_scores['mysql']}) AND ({_scores['tsql']}) >= ({_scores['postgres']}) THEN 'tsql' WHEN ({_scores['mysql']}) >= ({_scores['postgres']}) THEN 'mysql' ELSE 'postgres' END")})
+_u = lambda: F.col("url")
 _select("slugs", "pages", "page_id", {
-    "slug": (S.make_slug(_u), r"CASE WHEN len(regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')) > 100 THEN regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')[1:91] || '_' || sha256(url)[1:8] ELSE regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g') END"),
-    "alnum": (S.alnum_only(_u), r"regexp_replace(url, '[^\p{L}\p{Nd}]', '', 'g')"), "encoded": (S.html_encode(_u), "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"),
-    "schema": (S.schema_of(_u), "CASE WHEN instr(url, '.') > 1 THEN split_part(url, '.', 1) ELSE url END"),
+    "slug": (lambda: S.make_slug(_u()), r"CASE WHEN len(regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')) > 100 THEN regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g')[1:91] || '_' || sha256(url)[1:8] ELSE regexp_replace(url, '[^\p{L}\p{Nd}]', '_', 'g') END"),
+    "alnum": (lambda: S.alnum_only(_u()), r"regexp_replace(url, '[^\p{L}\p{Nd}]', '', 'g')"), "encoded": (lambda: S.html_encode(_u()), "replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"),
+    "schema": (lambda: S.schema_of(_u()), "CASE WHEN instr(url, '.') > 1 THEN split_part(url, '.', 1) ELSE url END"),
 })
-_n = F.col("p_name")
+_n = lambda: F.col("p_name")
 _select("name_rules", "part", "p_partkey", {
-    "domain": (S.domain_of(_n, " "), "coalesce(nullif(split_part(trim(p_name), ' ', 1), ''), '(ungrouped)')"),
-    "singular": (S.canonical_singular(_n), "CASE WHEN lower(p_name) LIKE '%ies' AND len(p_name) > 3 THEN lower(p_name)[1:len(p_name) - 3] || 'y' WHEN regexp_matches(lower(p_name), '(s|x|ch|sh)es$') THEN lower(p_name)[1:len(p_name) - 2] WHEN lower(p_name) LIKE '%s' AND lower(p_name) NOT LIKE '%ss' AND len(p_name) > 1 THEN lower(p_name)[1:len(p_name) - 1] ELSE lower(p_name) END"),
-    "bad": (S.bad_name(_n), r"regexp_matches(p_name, ' |^\p{Nd}')"), "purpose": (S.object_purpose(F.concat(F.when(F.col("p_size") > 40, "usp_").otherwise(""), _n, F.when(F.col("p_size") < 5, "_LOG").otherwise("")), F.when(F.col("p_size") > 20, "view").otherwise("table")), "CASE WHEN p_size > 40 THEN 'Stored procedure' WHEN p_size < 5 THEN 'Log table' WHEN p_size > 20 THEN 'View' ELSE 'Table' END"),
-    "score": (S.palette_score(_n, F.col("p_type"), "an"), "CAST(CASE WHEN instr(lower(p_name), 'an') = 1 THEN 100 WHEN instr(lower(p_name), 'an') > 1 THEN 60 - least(40, instr(lower(p_name), 'an') - 1) WHEN contains(lower(p_type), 'an') THEN 10 WHEN regexp_matches(lower(p_name), 'a.*n') THEN 5 ELSE 0 END AS INTEGER)"),
-    "id": (S.normalize_id(F.concat(F.lit("["), F.col("p_brand"), F.lit("]")), F.concat(F.lit(' "'), _n, F.lit('" '))), "lower(p_brand || '.' || p_name)"),
-    "default_id": (S.normalize_id(F.lit(""), _n, F.lit("postgres")), "lower('public.' || p_name)"),
+    "domain": (lambda: S.domain_of(_n(), " "), "coalesce(nullif(split_part(trim(p_name), ' ', 1), ''), '(ungrouped)')"),
+    "singular": (lambda: S.canonical_singular(_n()), "CASE WHEN lower(p_name) LIKE '%ies' AND len(p_name) > 3 THEN lower(p_name)[1:len(p_name) - 3] || 'y' WHEN regexp_matches(lower(p_name), '(s|x|ch|sh)es$') THEN lower(p_name)[1:len(p_name) - 2] WHEN lower(p_name) LIKE '%s' AND lower(p_name) NOT LIKE '%ss' AND len(p_name) > 1 THEN lower(p_name)[1:len(p_name) - 1] ELSE lower(p_name) END"),
+    "bad": (lambda: S.bad_name(_n()), r"regexp_matches(p_name, ' |^\p{Nd}')"), "purpose": (lambda: S.object_purpose(F.concat(F.when(F.col("p_size") > 40, "usp_").otherwise(""), _n(), F.when(F.col("p_size") < 5, "_LOG").otherwise("")), F.when(F.col("p_size") > 20, "view").otherwise("table")), "CASE WHEN p_size > 40 THEN 'Stored procedure' WHEN p_size < 5 THEN 'Log table' WHEN p_size > 20 THEN 'View' ELSE 'Table' END"),
+    "score": (lambda: S.palette_score(_n(), F.col("p_type"), "an"), "CAST(CASE WHEN instr(lower(p_name), 'an') = 1 THEN 100 WHEN instr(lower(p_name), 'an') > 1 THEN 60 - least(40, instr(lower(p_name), 'an') - 1) WHEN contains(lower(p_type), 'an') THEN 10 WHEN regexp_matches(lower(p_name), 'a.*n') THEN 5 ELSE 0 END AS INTEGER)"),
+    "id": (lambda: S.normalize_id(F.concat(F.lit("["), F.col("p_brand"), F.lit("]")), F.concat(F.lit(' "'), _n(), F.lit('" '))), "lower(p_brand || '.' || p_name)"),
+    "default_id": (lambda: S.normalize_id(F.lit(""), _n(), F.lit("postgres")), "lower('public.' || p_name)"),
 })
-_ty = F.get(F.array(*[F.lit(t) for t in ("varchar", "NVARCHAR", "decimal", "datetime", "binary")]), F.col("p_size") % 5)
-_ln = F.when(F.col("p_size") % 3 == 0, -1).otherwise(F.col("p_size") * 10)
+_ty = lambda: F.get(F.array(*[F.lit(t) for t in ("varchar", "NVARCHAR", "decimal", "datetime", "binary")]), F.col("p_size") % 5)
+_ln = lambda: F.when(F.col("p_size") % 3 == 0, -1).otherwise(F.col("p_size") * 10)
 _tysql, _lnsql = "(['varchar', 'nvarchar', 'decimal', 'datetime', 'binary'])[p_size % 5 + 1]", "(CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size * 10 END)"
 _select("type_rules", "part", "p_partkey", {
-    "type": (S.type_text(_ty, _ln, F.col("p_size"), F.lit(2)), f"CASE {_tysql} WHEN 'decimal' THEN 'decimal(' || p_size || ',2)' WHEN 'datetime' THEN 'datetime' ELSE {_tysql} || '(' || CASE WHEN {_lnsql} = -1 THEN 'max' WHEN {_tysql} = 'nvarchar' THEN CAST({_lnsql} // 2 AS VARCHAR) ELSE CAST({_lnsql} AS VARCHAR) END || ')' END"),
-    "compared": (S.compare_types(F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 6), F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 5)), f"CASE WHEN p_size % 6 = p_size % 5 THEN 'Same' WHEN (p_size % 6, p_size % 5) IN ((0, 2), (3, 0), (1, 4)) THEN 'Compatible' WHEN (p_size % 5, p_size % 6) IN ((0, 2), (3, 0), (1, 4)) THEN 'Narrowing' ELSE 'Incompatible' END"),
-    "level": (S.sarif_level(F.col("p_size") % 4), "CASE WHEN p_size % 4 <= 1 THEN 'error' WHEN p_size % 4 = 2 THEN 'warning' ELSE 'note' END"),
-    "clamped": (S.clamp(F.col("p_size"), 10, 40), "least(greatest(p_size, 10), 40)"),
+    "type": (lambda: S.type_text(_ty(), _ln(), F.col("p_size"), F.lit(2)), f"CASE {_tysql} WHEN 'decimal' THEN 'decimal(' || p_size || ',2)' WHEN 'datetime' THEN 'datetime' ELSE {_tysql} || '(' || CASE WHEN {_lnsql} = -1 THEN 'max' WHEN {_tysql} = 'nvarchar' THEN CAST({_lnsql} // 2 AS VARCHAR) ELSE CAST({_lnsql} AS VARCHAR) END || ')' END"),
+    "compared": (lambda: S.compare_types(F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 6), F.get(F.array(*[F.lit(t) for t in TYPES]), F.col("p_size") % 5)), f"CASE WHEN p_size % 6 = p_size % 5 THEN 'Same' WHEN (p_size % 6, p_size % 5) IN ((0, 2), (3, 0), (1, 4)) THEN 'Compatible' WHEN (p_size % 5, p_size % 6) IN ((0, 2), (3, 0), (1, 4)) THEN 'Narrowing' ELSE 'Incompatible' END"),
+    "level": (lambda: S.sarif_level(F.col("p_size") % 4), "CASE WHEN p_size % 4 <= 1 THEN 'error' WHEN p_size % 4 = 2 THEN 'warning' ELSE 'note' END"),
+    "clamped": (lambda: S.clamp(F.col("p_size"), 10, 40), "least(greatest(p_size, 10), 40)"),
 })
-_conn = F.concat(F.lit("Server="), F.col("c_name"), F.lit(";Database=db"), F.col("c_nationkey").cast("string"), F.lit("; PWD = x"), F.col("c_custkey").cast("string"), F.lit(";Timeout=3"))
+_conn = lambda: F.concat(F.lit("Server="), F.col("c_name"), F.lit(";Database=db"), F.col("c_nationkey").cast("string"), F.lit("; PWD = x"), F.col("c_custkey").cast("string"), F.lit(";Timeout=3"))
 _select("redacted", "customer", "c_custkey", {
-    "shown": (S.redact(_conn), "'Server=<redacted>;Database=db' || c_nationkey || '; PWD =<redacted>;Timeout=3'"), "database": (S.database_name(_conn), "'db' || c_nationkey"), "balance": (S.one_decimal(F.round(F.col("c_acctbal"))), "printf('%.1f', round(c_acctbal))"),
+    "shown": (lambda: S.redact(_conn()), "'Server=<redacted>;Database=db' || c_nationkey || '; PWD =<redacted>;Timeout=3'"), "database": (lambda: S.database_name(_conn()), "'db' || c_nationkey"), "balance": (lambda: S.one_decimal(F.round(F.col("c_acctbal"))), "printf('%.1f', round(c_acctbal))"),
 })
-_select("whole_days", "events", "event_id", {"days": (S.whole_days(F.col("ts"), F.lit("2030-01-01 00:00:00").cast("timestamp")), "CAST((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(ts)) // 86400000000 AS BIGINT)")})
+_select("whole_days", "events", "event_id", {"days": (lambda: S.whole_days(F.col("ts"), F.lit("2030-01-01 00:00:00").cast("timestamp")), "CAST((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(ts)) // 86400000000 AS BIGINT)")})
 
 
 # ---- counters -----------------------------------------------------------------------------------------------------
