@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from relscope.operators.lineage import cut
 
 DEPTH_CAP = 32
+#: Levels after which what was seen so far is written as one table again.
+COMPACT = 16
+
+
+def _grown(seen: DataFrame, level: DataFrame, depth: int) -> DataFrame:
+    """seen with the rows of a level. Both are cut off already, so a union is enough but for every COMPACT-th level."""
+    both = seen.union(level)
+    return cut(both) if depth % COMPACT == 0 else both
 
 
 def impact(edges: DataFrame, roots: DataFrame, max_depth: int = DEPTH_CAP) -> DataFrame:
@@ -30,7 +38,7 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = DEPTH_CAP) -> Da
         level = cut(new.select("root", "object_id", F.lit(depth).alias("depth"), F.col("f.kind").alias("via_kind"), F.row_number().over(order).cast("long").alias("rank")))
         if level.isEmpty():
             break
-        seen = cut(seen.union(level.drop("rank")))
+        seen = _grown(seen, level.drop("rank"), depth)
         frontier = level.select("root", F.col("object_id").alias("at"), "rank")
     hits = seen.where("depth > 0")
     at_cap = hits.groupBy("root").agg((F.max("depth") >= max_depth).alias("capped"))
@@ -49,7 +57,7 @@ def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, max_depth: i
         frontier = cut(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
+        seen = _grown(seen, frontier, depth)
     return seen.where("depth > 0")
 
 
@@ -69,7 +77,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
         levels.append(level)
         if not level.where(F.col("id") == goal).isEmpty():
             break
-        seen = cut(seen.union(level.select("id")))
+        seen = _grown(seen, level.select("id"), len(levels))
     path = [goal]
     for level in reversed(levels[1:]):  # one row a level
         path.append(level.where(F.col("id") == path[-1]).first()["parent"])
