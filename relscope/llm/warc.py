@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm.common import new_path, read
+from relscope.llm.common import new_path, read, saved
 
 #: The skippable frame that holds the dictionary, and the frame of plain Zstandard data.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -121,9 +121,9 @@ def _store(uri: str):
 
 def classed(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, kind, refers_to): of equal payloads the largest page_id is the response."""
-    # the two sides of the join meet by digest and length; a payload that a third of the pages share is split by AQE
     own = pages.withColumn("digest", F.sha1("payload"))
-    last = own.groupBy("digest").agg(F.max("page_id").alias("last"))
+    # written before it is joined: a join of plain exchanges can split the partition of a payload that many pages share
+    last, _ = saved(own.groupBy("digest").agg(F.max("page_id").alias("last")), "responses")
     first = F.col("page_id").eqNullSafe(F.col("last"))
     return own.join(last, "digest").select("page_id", "url", "payload", F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("last")).alias("refers_to"))
 
