@@ -220,3 +220,15 @@ def test_documents_without_rest_go(spark):
     df = spark.createDataFrame([(1, " ".join(p), "en", "s", 1), (2, " ".join(p), "en", "s", 1)], DOCS)
     got = substring_dedup.without_passages(df, substring_dedup.repeated_passages(df))
     assert [r["doc_id"] for r in got.collect()] == [1]
+
+
+@pytest.mark.parametrize("n", [0, 1, 6])
+def test_passage_with_older_half_similar_variants(spark, n):
+    p = passage(4, 60)
+    rows = [(50, [*filler(90, 40), *p, *filler(91, 40)]), (51, [*filler(92, 70), *p, *filler(93, 10)])]
+    for i in range(n):  # every twelfth word changed: some min-hashes are the same, no window reaches the similarity
+        rows.append((i, [*filler(100 + i, 30), *[f"v{i}x{j}" if j % 12 == i % 12 else w for j, w in enumerate(p)], *filler(200 + i, 30)]))
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], DOCS)
+    got = {(r["doc_id"], r["first_doc_id"]): r for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(got) == {(51, 50)}
+    assert abs(got[51, 50]["start_word"] - 70) <= 12 and abs(got[51, 50]["n_words"] - 60) <= 24
