@@ -148,6 +148,21 @@ def test_recall_at_the_threshold():
     assert hit.mean() > 0.97
 
 
+@pytest.mark.parametrize("n", [1 << 19, 1 << 22, 1 << 30])
+def test_recall_at_every_size(n):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    blocks, hit = embed_dedup.lattice_blocks(n), np.zeros(len(a), bool)
+    for (_, own, near), (_, own2, near2) in zip(*[embed_dedup.cells(x, blocks, embed_dedup.tables_for(blocks), embed_dedup.PROBES) for x in (a, b)], strict=True):
+        hit |= (own == own2) | (near == own2[:, None]).any(axis=1) | (near2 == own[:, None]).any(axis=1)
+    print(n, blocks, hit.mean())
+    assert hit.mean() > 0.97
+
+
 def test_e8_decoding_matches_brute_force():
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, (300, 8))
