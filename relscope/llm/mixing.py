@@ -1,20 +1,22 @@
 """Mixing sources to target weights with a low-discrepancy schedule (operator 9).
 
-Each source's documents are shuffled by a hash and cut into blocks of equal word counts. Slots 0, 1, 2, ... of the mix
-map the golden-ratio sequence frac((i + 1/2) * phi) through the cumulative target weights to a source; a slot's rank
+Each source's documents are shuffled by a hash and cut into blocks of equal word counts (smaller ones for a source that would have too few). Slots 0, 1, 2, ... of the mix
+map the golden-ratio sequence frac((i + 1/2) * phi) through the cumulative targets, in blocks, to a source; a slot's rank
 within its source names the block it takes, starting over when the source's blocks are used up. Running sums and ranks
 are computed in levels of bounded groups, so no window ever spans a source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relscope.llm.common import read, saved
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 9
-#: A source's target spans this many slots at least, unless the mix would need more than MAX_SLOTS.
+#: A source's target spans this many slots at least (or a slot a word); beyond MAX_SLOTS only small sources add slots.
 SLOTS_OF_LEAST, MAX_SLOTS = 2048, 50_000_000
 #: Slots are ranked in runs of this length.
 RUN = 4096
@@ -78,15 +80,22 @@ def _before(sums: DataFrame, group: str, bits: int, fan: int = 12) -> DataFrame:
 
 
 def plan(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> tuple[list[dict], int, int]:
-    """For (source, size) rows in order: a row per source with its target and cut; the block size; the slots."""
+    """For (source, size) rows in order: a row per source with its target, block size and cut; the largest block; the slots.
+
+    Where MAX_SLOTS makes blocks larger, a source whose target would span less than SLOTS_OF_LEAST of them has smaller ones
+    and as many more slots.
+    """
     goals = targets([n for _, n in totals], weights, repeats)
     total, least = sum(n for _, n in totals), min((g for g in goals if g > 0), default=0.0)
     block = max(1, int(least // SLOTS_OF_LEAST), total // MAX_SLOTS)
-    slots, at, out = -(-total // block), 0.0, []
-    for i, ((source, size), goal) in enumerate(zip(totals, goals, strict=True)):
-        lo, at = at, at + goal
-        cut = lambda x: int(x / total * 2**53) if total else 0
-        out.append({"sid": i, "source": source, "source_size": size, "target": goal, "lo": cut(lo), "hi": cut(at) if i + 1 < len(totals) else 2**53, "blocks": -(-size // block)})
+    own = [max(1, min(block, int(g // SLOTS_OF_LEAST))) if g else block for g in goals]
+    shares = [g / b for g, b in zip(goals, own, strict=True)]
+    whole, at, out = total / block if all(b == block for b in own) else sum(shares), 0.0, []
+    for i, ((source, size), goal, mine, share) in enumerate(zip(totals, goals, own, shares, strict=True)):
+        lo, at = at, at + share
+        cut = lambda x: int(x / whole * 2**53) if whole else 0
+        out.append({"sid": i, "source": source, "source_size": size, "target": goal, "block": mine, "lo": cut(lo), "hi": cut(at) if i + 1 < len(totals) else 2**53, "blocks": -(-size // mine)})
+    slots = math.ceil(whole)
     return out, block, slots
 
 
@@ -121,13 +130,13 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sources, block, slots = plan([(r["source"], int(r["size"])) for r in totals], weights, repeats)
-    facts = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"]) for s in sources], "sid int, source string, source_size long, target double")
+    facts = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"], s["block"]) for s in sources], "sid int, source string, source_size long, target double, words long")
     facts = facts.withColumnRenamed("source", "__name")
-    known = sized.join(F.broadcast(facts) if len(sources) < 10_000 else facts, sized["source"].eqNullSafe(facts["__name"])).select("doc_id", "sid", "order", "size", "source_size", "target")
+    known = sized.join(F.broadcast(facts) if len(sources) < 10_000 else facts, sized["source"].eqNullSafe(facts["__name"])).select("doc_id", "sid", "order", "size", "source_size", "target", "words")
     placed = running_start(known, "sid", "order", "size", sum(r["n"] for r in totals), "start")
     # each document meets the blocks that it overlaps, each block its uses in the schedule
-    spans = placed.where("size > 0").select("doc_id", "sid", "order", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    spans = placed.where("size > 0").select("doc_id", "sid", "order", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
+    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
     uses = schedule(spark, sources, slots, block, repeats).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     taken = spans.withColumn("part", part).join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("part") * F.col("uses")).alias("got"))
     joined = placed.join(taken, ["sid", "start"], "left")

@@ -92,6 +92,22 @@ def test_mix(spark):
     assert M.mixed(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_small_source_meets_its_target_where_slots_are_bounded(spark, monkeypatch, place):
+    monkeypatch.setattr(M, "MAX_SLOTS", 5000)
+    names = ["b", "c"]
+    names.insert(place, "small")
+    rows = [(i, " ".join(["w"] * 1000), "en", s, 1) for i, s in enumerate(n for n in names if n != "small" for _ in range(250))]
+    rows.append((9000, " ".join(["w"] * 20), "en", "small", 1))
+    rows = [(i, t, lang, f"{names.index(s)}{s}", n) for i, t, lang, s, n in rows]
+    taken, goal = defaultdict(int), {}
+    for r in M.mixed(spark.createDataFrame(rows, DOCS)).collect():
+        name = "small" if r["doc_id"] == 9000 else r["doc_id"] // 250
+        taken[name] += r["taken"]
+        goal[name] = r["target"]
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] + 4 for s in goal) and goal["small"] > 10
+
+
 def test_schedule_follows_the_golden_ratio(spark):
     sources, block, slots = M.plan([("a", 4000), ("b", 2000), (None, 1000)])
     got = sorted((r["slot"], r["sid"], r["rank"], r["block"]) for r in M.schedule(spark, sources, slots, block).collect())
