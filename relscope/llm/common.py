@@ -19,12 +19,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else the fallback."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, else the context's checkpoint folder.
+
+    A session without either gets a folder of this machine if it runs on this machine alone; on a cluster that raises.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = jvm_dir.get() if jvm_dir.isDefined() else FALLBACK_DIR
-    return got.rstrip("/")
+        got = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not got and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (got or FALLBACK_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -49,6 +54,50 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder; when the block ends all are deleted but those that were kept.
+
+    with Scratch(spark) as scratch:
+        rows = scratch.save(rows, "rows")
+        return scratch.keep(result, "result")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back; a table of the same name from before goes once the new one is written."""
+        out, path = saved(df, name)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, name: str) -> None:
+        if name in self.paths:
+            dropped(self.spark, self.paths.pop(name))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as a table that outlives the block; whoever owns the shared folder clears it."""
+        return saved(df, name)[0]
+
+
+#: A side up to this many bytes is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df with a broadcast hint if its measured size in bytes is within the bound, else df as it is."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def word_blocks(data: bytes, size: int = 1 << 20):
     """Lists of the words of data (split at \\x20 and \\x09-\\x0D), block by block of about `size` bytes.
 
@@ -64,13 +113,13 @@ def word_blocks(data: bytes, size: int = 1 << 20):
     yield data[at:].split()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """Connected components of an undirected edge list: (node, component), component = smallest node.
 
     Min-label propagation with pointer jumping: each round takes the least label of a node's neighbours, then the
     label's own label, so a chain of length n settles in about log n rounds. Every step is a join or an aggregate
     with map-side combine; labels are written to the shared folder each round. Nodes without an edge don't appear.
-    An empty edge list gives an empty table.
+    An empty edge list gives an empty table; edges with a null end are left out. The labels go with scratch, if given.
     """
     spark = edges.sparkSession
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a)))
@@ -90,6 +139,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         dropped(spark, path)
         path = newer
     dropped(spark, edge_path)
+    if scratch is not None:
+        scratch.paths[path] = path
     return labels
 
 
