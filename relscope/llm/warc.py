@@ -24,6 +24,8 @@ from relscope.llm.common import new_path, read, saved
 #: The skippable frame that holds the dictionary, and the frame of plain Zstandard data.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 FILE_BYTES, DICT_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 10, 4 << 20
+#: Pieces of records that a dictionary is trained on at least, if the records have as many.
+SAMPLES = 256
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -31,18 +33,22 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit has the response's HTTP header and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}",
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}",
     ]
     if url is not None:
         head.insert(4, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -62,23 +68,39 @@ def parse(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != said or digest32(payload) != digest):
         raise ValueError("payload and header disagree")
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x else None
+    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x and x != _urn(None) else None
     return {
         "page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload_bytes": said,
         "payload_digest": digest, "refers_to": page(fields.get("WARC-Refers-To")), "payload": payload if kind == "response" else None,
     }
 
 
+def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
+    """A dictionary of what records have in common; None for a single record and where there is too little to learn from.
+
+    Samples are pieces of bounded length from every record, more of each where records are few, so that an archive of a few
+    large records has as many samples as one of many small ones.
+    """
+    if len(records) < 2:
+        return None
+    total = sum(map(len, records))
+    size = min(128 << 10, max(64, min(total, SAMPLE_BYTES) // SAMPLES))
+    each = max(1, SAMPLES // len(records), min(total, SAMPLE_BYTES) // size // len(records))
+    step = max(1, len(records) * each * size // SAMPLE_BYTES)
+    sample = []
+    for i, r in enumerate(records):
+        places = range(0, len(r), max(size, -(-len(r) // each)))
+        sample += [r[at : at + size] for k, at in enumerate(places) if (i + k) % step == 0]
+    known = sum(map(len, sample))
+    try:
+        return zstandard.train_dictionary(max(256, min(DICT_BYTES, known // 8)), sample)
+    except zstandard.ZstdError:
+        return None
+
+
 def archive(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes of an archive and each record's (offset, length). Few or tiny records get no dictionary."""
-    step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
-    sample = [r[: 128 << 10] for r in records[::step]]
-    head, trained = b"", None
-    if len(sample) >= 16:
-        try:
-            trained = zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, sample)) // 8), sample)
-        except zstandard.ZstdError:  # too little in common to learn from
-            trained = None
+    """The bytes of an archive and each record's (offset, length)."""
+    head, trained = b"", _dictionary(records)
     if trained is not None:
         packed = zstandard.ZstdCompressor(level=19).compress(trained.as_bytes())
         head = struct.pack("<II", DICT_MAGIC, len(packed)) + packed
@@ -120,7 +142,10 @@ def _store(uri: str):
 
 
 def classed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, kind, refers_to): of equal payloads the largest page_id is the response."""
+    """(page_id, url, payload, kind, refers_to): of equal payloads the largest page_id is the response.
+
+    Rows without an id revisit a row with one; if no row of a payload has an id, all are responses.
+    """
     own = pages.withColumn("digest", F.sha1("payload"))
     # written before it is joined: a join of plain exchanges can split the partition of a payload that many pages share
     last, _ = saved(own.groupBy("digest").agg(F.max("page_id").alias("last")), "responses")
@@ -131,8 +156,9 @@ def classed(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages as archives below folder; returns (uri, n_records) of every archive, once it is read.
 
-    A null html is an empty payload, equal to every other empty one. A null url leaves the header out. Rows without a
-    page_id can't be named in a record and raise an error. Repeated rows: all are responses if they are the largest id.
+    A null html is an empty payload, equal to every other empty one. A null url leaves the header out. A row without a
+    page_id is a record without a number, never named by another. Repeated rows: all are responses if they are the largest
+    id. Other columns are not read, so clashing names don't matter.
     """
     given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
 
@@ -152,10 +178,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if pd.isna(row.page_id):
-                    raise ValueError("a page without page_id")
                 payload = bytes(row.payload)
-                held.append(record(row.kind, int(row.page_id), row.url, payload, digest32(payload), None if pd.isna(row.refers_to) else int(row.refers_to)))
+                number = lambda x: None if x is None else int(x)
+                held.append(record(row.kind, number(row.page_id), row.url, payload, digest32(payload), number(row.refers_to)))
                 size += len(held[-1])
                 if size >= file_bytes:
                     yield flush()
@@ -163,7 +188,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
         if held:
             yield flush()
 
-    return classed(given).mapInPandas(write_all, "uri string, n_records long")
+    # ids travel as text: beside nulls pandas would turn them to floating point
+    named = classed(given).select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "kind", F.col("refers_to").cast("string").alias("refers_to"))
+    return named.mapInPandas(write_all, "uri string, n_records long")
 
 
 def load(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -188,7 +215,7 @@ def load(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def _table(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in names})
-        return out.astype({"refers_to": "Int64", "page_id": "int64", "payload_bytes": "int64"})
+        return out.astype({"refers_to": "Int64", "page_id": "Int64", "payload_bytes": "int64"})
 
     return archives.select("uri").repartition("uri").mapInPandas(read_all, ", ".join(f"{n} {kinds[n]}" for n in names))
 
@@ -196,9 +223,8 @@ def load(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Write pages to archives in the shared folder and read them back. An empty table gives an empty result."""
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
-    listed = write(pages, folder).collect()  # one row an archive of 32 MB
-    return load(spark.createDataFrame(listed, "uri string, n_records long"), payloads=False)
+    listed, _ = saved(write(pages, new_path(spark, "warc")), "archives")  # a row an archive
+    return load(listed, payloads=False)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
