@@ -46,8 +46,12 @@ def test_archive_of_few_records_and_offsets():
     records = [W.record("response", i, "u", b"abc" * i, W.digest32(b"abc" * i), None) for i in range(5)]
     data, places = W.archive(records)
     assert list(W.frames(io.BytesIO(data))) == records
+    size = struct.unpack("<II", data[:8])[1]
+    known = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
     at, n = places[3]
-    assert zstandard.ZstdDecompressor().decompressobj().decompress(data[at : at + n]) == records[3]
+    assert zstandard.ZstdDecompressor(dict_data=known).decompressobj().decompress(data[at : at + n]) == records[3]
+    one, ((at, n),) = W.archive(records[3:4])
+    assert zstandard.ZstdDecompressor().decompressobj().decompress(one[at : at + n]) == records[3] and list(W.frames(io.BytesIO(one))) == records[3:4]
     many = [W.record("response", i, "u", f"<p>page {i} of the site</p>".encode() * 9, "D", None) for i in range(300)]
     data, _ = W.archive(many)
     assert list(W.frames(io.BytesIO(data))) == many
@@ -55,6 +59,23 @@ def test_archive_of_few_records_and_offsets():
         list(W.frames(io.BytesIO(data[:-5])))
 
 
+@pytest.mark.parametrize(("n", "size"), [(2, 300_000), (3, 40_000), (100, 287_000), (40, 3_000)])
+def test_few_and_large_records_have_a_dictionary(n, size):
+    rng = random.Random(n)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(4000)]
+    body = " ".join(rng.choice(words) for _ in range(size // 11)).encode()
+    records = [W.record("response", i, f"http://h/{i}", b"<p>%d</p>" % i + body, "D", None) for i in range(n)]
+    data, places = W.archive(records)
+    assert struct.unpack("<I", data[:4])[0] == W.DICT_MAGIC and list(W.frames(io.BytesIO(data))) == records and len(places) == n
+
+
+def test_pages_without_an_id(spark):
+    big = (1 << 61) + 1
+    rows = [(big, "u", "same", "x"), (None, "v", "same", "x"), (3, None, "same", "x"), (None, "w", "own", "x"), (None, None, "own", "x"), (5, "u", None, "x"), (7, "u", "", "x"), (7, "u", "", "x")]
+    got = sorted(((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in W.archived(spark.createDataFrame(rows, PAGES)).collect()), key=repr)
+    assert got == sorted([("3", "revisit", big), ("5", "revisit", 7), ("7", "response", None), ("7", "response", None), (str(big), "response", None), ("None", "response", None), ("None", "response", None), ("None", "revisit", big)], key=repr)
+
+
 def test_no_pages(spark):
     assert W.archived(spark.createDataFrame([], PAGES)).count() == 0
 

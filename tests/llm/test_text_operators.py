@@ -1,6 +1,7 @@
 """Main text, language, tokens and quality on small fixtures."""
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -29,8 +30,70 @@ def test_main_text(page, want):
 
 
 def test_tree_learns_its_table():
-    rows = np.array([r.split() for r in H.TABLE.split("\n") if r], float)
-    assert np.mean([H.says(H.tree(), tuple(r[:-1])) == r[-1] for r in rows]) >= 0.95
+    rows, labels = H.labelled()
+    assert np.mean([H.says(H.tree(), tuple(r)) == y for r, y in zip(rows, labels, strict=True)]) >= 0.95
+    assert {"words", "links", "next_words", "hint"} <= H.used(H.tree()) and H.used(H.tree()) & {"prev_words", "prev_links"}
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="has-sidebar"><article>{}</article></div>', '<div class="layout no-sidebar"><article>{}</article></div>', '<div class="page-header-share"><article>{}</article></div>',
+    '<article><div class="social-science">{}</div></article>', '<form id="aspnetForm"><article>{}</article></form>', '<form id="aspnetForm"><div>{}</div></form>',
+    '<div class="sidebar"><nav><a href=/>Home</a></nav><main>{}</main></div>', '<body class="menu-open"><div id="content">{}</div></body>',
+])
+def test_wrappers_keep_their_article(wrapper):
+    article = f"<h1>Title here</h1><p>{LONG}</p><p>Short.</p><p>{LONG} <a href=x>link</a></p>"
+    assert H.main_text(wrapper.format(article)) == f"Title here\n{LONG}\nShort.\n{LONG} link"
+
+
+def test_links_stay_in_the_article_and_asides_go():
+    page = (
+        f"<article><p>{LONG}</p><p><a href=x>Read the long report on it</a></p><ul><li><a href=1>First linked source text</a><li><a href=2>Second linked source text</a></ul><p>{LONG}</p>"
+        f"<div class=share-buttons><a href=f>Facebook</a></div><section class=comments><article class=comment><p>Great read {LONG}</p></article></section></article><aside class=related><article><p>Teaser {LONG}</p></article></aside>"
+    )
+    assert H.main_text(page) == f"{LONG}\nRead the long report on it\nFirst linked source text\nSecond linked source text\n{LONG}"
+
+
+class SlowReader(HTMLParser):
+    """Blocks of the article of a page as the parser of the standard library sees it."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside = self.silent = 0
+        self.parts, self.out = [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text and self.inside else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "article", "div", "li", "ul", "nav", "footer"):
+            self.end_block()
+        self.inside += tag == "article"
+        self.silent += tag in ("script", "style", "title")
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article", "div", "li", "ul", "nav", "footer"):
+            self.end_block()
+        self.inside -= tag == "article"
+        self.silent -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.parts.append(data)
+
+
+def test_pages_match_a_slow_reader(spark):
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in H.op1_main_text(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        reader = SlowReader()
+        reader.feed(r["html"] or "")
+        text = "\n".join(reader.out)
+        assert got[r["page_id"]] == (text, len(text))
 
 
 def test_long_and_broken_pages():
@@ -134,6 +197,21 @@ def test_texts_without_a_boundary(counter):
         assert counter.huge(t) == len(counter.tok.encode(t, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("alphabet", ["日本語の文章を書く", "日本語。文章、", "abcXYZ0189+/", "ab\n"])
+def test_long_texts_without_spaces_take_time_in_proportion(alphabet):
+    c, rng, seen = K.Counter(K.default_path(), chunk=1000, overlap=64), random.Random(3), []
+    text = "".join(rng.choice(alphabet) for _ in range(150_000))
+    want, plain = len(c.tok.encode(text, add_special_tokens=False).ids), c._offsets
+    c._offsets = lambda part: (seen.append(len(part)), plain(part))[1]
+    assert c.count(text) == want and sum(seen) <= 5 * len(text)
+
+
+def test_the_tables_have_texts_long_enough_for_splicing(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"] and len(r["text"]) > K.CHUNK]
+    c = K.Counter(K.default_path())
+    assert texts and all(c.count(t) == len(c.tok.encode(t, add_special_tokens=False).ids) for t in texts) and c.splices >= len(texts)
+
+
 def test_token_table(spark, counter):
     rows = [(1, "Hello world, hello!", "x", "s", 1), (1, "Hello world, hello!", "x", "s", 1), (2, None, None, None, None), (3, "", "x", "s", 0), (None, "é " * 400, "x", "s", 1)]
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in K.token_counts(spark.createDataFrame(rows, DOCS)).collect())
