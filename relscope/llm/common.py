@@ -144,9 +144,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
     return labels
 
 
-def in_share(order: Column, share: float) -> Column:
-    """Whether a hash (a long) falls in the lowest share of all hashes.
+def in_share(order: Column, share: float | Column) -> Column:
+    """Whether a hash (a long) falls in the lowest share (a number or a column) of all hashes.
 
     Put before orderBy(hash).limit(n): without it every task would send n rows to the one that merges them.
     """
-    return F.shiftrightunsigned(order.bitwiseXOR(F.lit(-(1 << 63))), 11) < int(min(1.0, share) * 2**53)
+    most = F.least(F.lit(1.0), share) * float(2**53) if isinstance(share, Column) else F.lit(min(1.0, share) * 2**53)
+    return F.shiftrightunsigned(order.bitwiseXOR(F.lit(-(1 << 63))), 11) < most.cast("long")

@@ -1,31 +1,31 @@
 """Language identification by a byte convolutional network (operator 2).
 
 The network: byte embeddings, filters of several widths, ReLU, max pooling over a window of fixed length, softmax. It is
-trained in numpy on a bounded sample of labelled windows. A text of any length is cut into overlapping windows that cover
+trained in numpy on every window of a bounded sample of labelled rows. A text of any length is cut into overlapping windows that cover
 it wholly; window logits are averaged by the letters they hold. For scoring, embedding and filters are folded into tables
 of byte pairs, so a filter of width 4 costs two look-ups a byte.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relscope.llm.common import ASCII_LOWER, in_share, read
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
-#: Training sample: rows at most, windows a row, passes, learning rate, seed.
-SAMPLE, PER_ROW, EPOCHS, RATE, SEED = 4000, 2, 6, 0.01, 5
+#: Training sample: rows a language, rows at most in all, bytes of a text that is drawn; passes, learning rate, seed.
+PER_LANGUAGE, SAMPLE, MOST_BYTES, EPOCHS, RATE, SEED = 150, 4000, 1 << 15, 6, 0.01, 5
 #: Windows that one forward pass handles.
 BATCH = 512
 STRIDE = WINDOW - max(WIDTHS) + 1
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes that count as letters when window logits are averaged.
 LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)], np.float32)
 
@@ -77,17 +77,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model | None:
-    """Fit on pieces of text with their languages; None without any."""
+    """Fit on every window of whole texts with their languages; None without any."""
     labels = sorted(set(langs))
     if not labels:
         return None
     rng = np.random.default_rng(seed)
     rows, ys = [], []
     for text, lang in zip(texts, langs, strict=True):
-        data = text.encode("utf-8", "replace").translate(ASCII_LOWER)[:WINDOW]
-        rows.append(windows_of(data)[0])
-        ys.append(labels.index(lang))
-    x, y = np.array(rows), np.array(ys)
+        own = windows_of(text.encode("utf-8", "replace").translate(ASCII_LOWER))
+        own = own[LETTERS[own].any(axis=1)]
+        rows.append(own)
+        ys += [labels.index(lang)] * len(own)
+    x, y = np.concatenate(rows), np.array(ys, np.int64)
+    if not len(y):
+        return None
     weight = (len(y) / (len(labels) * np.bincount(y, minlength=len(labels))))[y]
     p = {"e": rng.normal(0, 0.5, (256, DIM)), "d": rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(labels))), "o": np.zeros(len(labels))}
     for w in WIDTHS:
@@ -174,19 +177,25 @@ def held_out(doc_id, mod: int, rest: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Train on at most `sample` rows that are not held out and have a language, chosen by a hash of the id.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
+    """Train on whole texts of rows that are not held out and have a language.
 
-    Of each, PER_ROW pieces of WINDOW characters at hashed places are sent to the driver.
+    Of every language as many rows are drawn, by a hash of the id: per_language, or fewer where there are so many languages
+    that they would be more than `sample` in all. Texts above MOST_BYTES are not drawn, which bounds what the driver gets.
     """
-    rows = docs.where(~held_out(doc_id, 5, 0) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    place = lambda i: (F.pmod(F.xxhash64(F.lit(i), F.col(doc_id)), F.greatest(F.lit(1), F.char_length(text) - WINDOW + 1)) + 1).cast("int")
-    pieces = F.array(*[F.col(text).substr(place(i), F.lit(WINDOW)) for i in range(PER_ROW)])
-    order = F.xxhash64(F.lit(SEED), F.col(doc_id))
-    labelled = docs.where(F.col(lang).isNotNull()).count()  # a little more than the share that fills the sample, so tasks send few rows
-    got = rows.where(in_share(order, 2 * sample / max(1, labelled))).select(order.alias("o"), F.col(lang).alias("l"), pieces.alias("p")).orderBy("o", "l").limit(sample).collect()
-    both = [(t, r["l"]) for r in got for t in dict.fromkeys(r["p"]) if LETTER.search(t)]
-    return train([t for t, _ in both], [x for _, x in both])
+    known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l is not null")
+    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not counts:
+        return None
+    each = max(1, min(per_language, sample // len(counts)))
+    # a little more than the share that fills a language's part, so that tasks send few rows
+    share = docs.sparkSession.createDataFrame([(x, 3.0 * each / n) for x, n in counts.items()], "l string, share double")
+    order = F.xxhash64(F.lit(SEED), F.col("id"))
+    rows = known.where(~held_out("id", 5, 0) & (F.octet_length("t") <= MOST_BYTES) & F.col("t").rlike(r"\p{L}")).withColumn("o", order)
+    some = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "l").where(in_share(F.col("o"), F.col("share")))
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("o", "t"))).where(F.col("rank") <= each)
+    got = ranked.select("o", "l", "t").orderBy("o", "l", "t").limit(sample + len(counts)).collect()
+    return train([r["t"] for r in got], [r["l"] for r in got])
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text", out: str = "lang_id") -> DataFrame:
@@ -206,9 +215,9 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", out: st
 def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs.
 
-    Null texts and texts without a letter are `und` with score 0, as is everything if no row has a language to learn
-    from. Repeated rows each come back; rows with a null id are not held out; other columns are not read. An empty table
-    gives an empty result.
+    Null texts and texts without a letter (Unicode category L) are `und` with score 0, as is everything if no row has a
+    language to learn from. Repeated rows each come back; rows with a null id are not held out; other columns are not read,
+    so clashing names don't matter. An empty table gives an empty result.
     """
     model = fit(docs, doc_id, text, lang)
     rows = identified(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
@@ -218,12 +227,17 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.35) -> DataFrame:
     """docs whose language can be told: texts with a letter and a score of at least `least`; columns as they were.
 
-    If no row has a language to learn from, only texts without a letter go.
+    If no row has a language to learn from, only texts without a letter go, null and empty ones among them. Repeated rows
+    are judged alike; rows with a null id and other columns, whatever their names, stay as they are. An empty table stays
+    empty.
     """
     model = fit(docs, doc_id, text, lang)
-    rated = identified(docs, model, text, "__language")
-    enough = F.col("__language.score") >= least if model else F.lit(True)
-    return rated.where(F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}") & enough).drop("__language")
+    columns = [f"__{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, columns, strict=True))[text]
+    rated = identified(docs.toDF(*columns), model, own, "language")
+    enough = F.col("language.score") >= least if model else F.lit(True)
+    kept = rated.where(F.col(own).isNotNull() & F.col(own).rlike(r"\p{L}") & enough)
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(columns, docs.columns, strict=True)])
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
