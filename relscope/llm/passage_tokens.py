@@ -42,11 +42,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of data (bytes); texts begin at `begins`, where a word ends in any case."""
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of data (bytes); texts begin at `begins`, where a word ends in any case."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = _LOWER[data]
     gap = _GAP[low]
     fresh = np.zeros(n + 1, bool)
@@ -59,7 +59,7 @@ def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
     # a sum of bytes times powers up to each place: the difference of two, shifted back, is the word's own polynomial
     total = np.concatenate(([np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)))
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             counts = np.array([len(words)])
         else:
             begins = offsets[at : to + 1] - offsets[at]
-            words, start = word_hashes(own, begins)
+            words, start, _ = word_hashes(own, begins)
             counts = np.diff(np.searchsorted(start, begins))
         tokens, sizes = shingle_hashes(words, counts)
         yield rows, tokens, sizes

@@ -1,8 +1,9 @@
 """Quality scores by attention-based multiple-instance learning (operator 8).
 
-A document is a bag of passages of fixed length that cover it wholly. Each passage is described by shares of character
-classes, word statistics and repetition, encoded by a tanh layer, and weighted by gated attention; the weighted sum gives
-the score. All weights are learned from document labels alone, in numpy, on a bounded sample.
+A document is a bag of passages of fixed length that cover it wholly. Each passage is described by its words (hashed to
+BUCKETS), shares of character classes, word statistics and repetition, encoded by a tanh layer, and weighted by gated
+attention; the weighted sum gives the score. All weights are learned from document labels alone, in numpy, on every passage
+of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from relscope.llm.common import in_share, read
 from relscope.llm.language_id import held_out
+from relscope.llm.passage_tokens import word_hashes
 
 #: Bytes of a passage; hidden and attention sizes.
 PASSAGE, HIDDEN, GATE = 600, 16, 8
-#: Labelled documents at most, passages of a training bag at most (evenly spaced), passes, rate, seed.
-SAMPLE, BAG, EPOCHS, RATE, SEED = 6000, 64, 40, 0.01, 3
+#: Labelled documents at most, bytes of a document that is drawn, passes, rate, seed.
+SAMPLE, MOST_BYTES, EPOCHS, RATE, SEED = 6000, 1 << 15, 40, 0.01, 3
+#: Buckets of hashed words, and passages that are described at once.
+BUCKETS, AT_ONCE = 64, 800
 
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\n\r\x0b\x0c", b".", b",", b"!", b"?", b":;", b"'\"", b"|", b"#", b"$", b"%", b"&", b"*", b"-_", b"/\\<>=@^~`+", b"()[]{}"]
 KIND = np.full(256, len(CLASSES), np.uint8)
@@ -29,29 +33,48 @@ for _i, _c in enumerate(CLASSES):
     KIND[list(_c)] = _i
 KIND[128:] = len(CLASSES) + 1
 N_KINDS = len(CLASSES) + 2
-#: Class shares, words a byte, share of distinct words, share of words equal to the one before, longest word, passage fill.
-N_FEATURES = N_KINDS + 5
+#: Class shares, words a byte, share of distinct words, share of words equal to the one before, longest word, passage fill,
+#: then the square roots of the shares of words by bucket.
+N_PLAIN = N_KINDS + 5
+N_FEATURES = N_PLAIN + BUCKETS
 
 
 def features(text: str | None) -> np.ndarray:
-    """Passages x N_FEATURES of the whole text; an empty or null text is one passage of zeros."""
-    data = (text or "").encode("utf-8", "replace")
-    n = max(1, -(-len(data) // PASSAGE))
+    """Passages x N_FEATURES of the whole text; an empty or null text is one passage of zeros.
+
+    A word belongs to the passage that it begins in.
+    """
+    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    if not len(data):
+        return np.zeros((1, N_FEATURES), np.float32)
+    span = AT_ONCE * PASSAGE
+    return np.concatenate([_described(data[at : at + span]) for at in range(0, len(data), span)])
+
+
+def _described(data: np.ndarray) -> np.ndarray:
+    n = -(-len(data) // PASSAGE)
     out = np.zeros((n, N_FEATURES), np.float32)
-    if not data:
-        return out
-    kinds = KIND[np.frombuffer(data, np.uint8)].astype(np.int64)
     owner = np.arange(len(data)) // PASSAGE
-    count = np.bincount(owner * N_KINDS + kinds, minlength=n * N_KINDS).reshape(n, N_KINDS)
+    count = np.bincount(owner * N_KINDS + KIND[data], minlength=n * N_KINDS).reshape(n, N_KINDS)
     size = count.sum(axis=1)
     out[:, :N_KINDS] = count / size[:, None]
-    for i in range(n):
-        words = data[i * PASSAGE : (i + 1) * PASSAGE].split()
-        k = len(words)
-        if k:
-            same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-            out[i, N_KINDS:] = (10 * k / size[i], len(set(words)) / k, same / k, min(60, max(map(len, words))) / 20, 0)
-    out[:, -1] = size / PASSAGE
+    out[:, N_PLAIN - 1] = size / PASSAGE
+    hashes, start, end = word_hashes(data, np.zeros(0, np.int64))
+    if not len(hashes):
+        return out
+    where = start // PASSAGE
+    k = np.bincount(where, minlength=n)
+    most = np.maximum(1, k)
+    order = np.lexsort((hashes, where))
+    fresh = np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (where[order][1:] != where[order][:-1])))
+    out[:, N_KINDS] = 10 * k / size
+    out[:, N_KINDS + 1] = np.bincount(where[order][fresh], minlength=n) / most
+    out[:, N_KINDS + 2] = np.bincount(where[1:][(hashes[1:] == hashes[:-1]) & (where[1:] == where[:-1])], minlength=n) / most
+    longest = np.zeros(n)
+    np.maximum.at(longest, where, np.minimum(60, end - start) / 20)
+    out[:, N_KINDS + 3] = longest
+    bucket = (hashes >> np.uint64(58)).astype(np.int64)
+    out[:, N_PLAIN:] = np.sqrt(np.bincount(where * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS) / most[:, None])
     return out
 
 
@@ -121,21 +144,20 @@ def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """Train on at most `sample` labels that are not held out, chosen by a hash of the id.
+    """Train on at most `sample` labelled documents that are not held out, chosen by a hash of the id, with all passages.
 
-    A training bag holds at most BAG passages, evenly spaced over the whole document, so what reaches the driver is bounded.
+    Texts above MOST_BYTES are not drawn, so what reaches the driver is bounded; null texts are drawn as empty ones.
     """
     rows = labels.where(~held_out(doc_id, 3, 1) & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     order = F.xxhash64(F.lit(SEED), F.col(doc_id))
     some = rows.where(in_share(order, 2 * sample / max(1, labels.count())))
     chosen = some.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"), order.alias("__o")).orderBy("__o", "y").limit(sample)
-    found = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id")
+    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= MOST_BYTES)
+    found = texts.join(F.broadcast(chosen), "__id").orderBy("__o", "y", "t").limit(sample)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [features(t) for t in pdf["t"]]
-            made = [b[np.linspace(0, len(b) - 1, BAG).astype(int)] if len(b) > BAG else b for b in made]
-            yield pd.DataFrame({"id": pdf["__id"], "y": pdf["y"], "bag": [b.tobytes() for b in made]})
+            yield pd.DataFrame({"id": pdf["__id"], "y": pdf["y"], "bag": [features(t).tobytes() for t in pdf["t"]]})
 
     got = sorted(found.mapInPandas(bags, "id long, y int, bag binary").collect(), key=lambda r: (r["id"], r["y"], bytes(r["bag"])))
     return train([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in got], [r["y"] for r in got])

@@ -1,6 +1,7 @@
 """Main text, language, tokens and quality on small fixtures."""
 
 import random
+import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -175,6 +176,63 @@ def test_features_cover_the_text():
     f = Q.features(text)
     assert len(f) == 10 and np.allclose(f[:, : Q.N_KINDS].sum(axis=1), 1, atol=1e-5)
     assert Q.features(None).shape == (1, Q.N_FEATURES)
+    assert np.allclose((f[:, Q.N_PLAIN :] ** 2).sum(axis=1), 1, atol=1e-5)
+
+
+def test_features_match_a_slow_version(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["word", "Word", "é", "x" * 90, "a.b", "12"]) for _ in range(900))
+    data = text.encode()
+    want = []
+    for at in range(0, len(data), Q.PASSAGE):
+        part = data[at : at + Q.PASSAGE]
+        words = [m.group().lower() for m in re.finditer(rb"[^ ]+", data) if at <= m.start() < at + Q.PASSAGE]
+        pairs = list(zip(words, words[1:], strict=False))
+        want.append((sum(b == 32 for b in part) / len(part), 10 * len(words) / len(part), len(set(words)) / len(words), sum(a == b for a, b in pairs) / len(words), min(60, max(map(len, words))) / 20, len(part) / Q.PASSAGE))
+    columns = [3, *range(Q.N_KINDS, Q.N_PLAIN)]
+    assert np.allclose(Q.features(text)[:, columns], want, atol=1e-5)
+    whole = Q.features(text)
+    monkeypatch.setattr(Q, "AT_ONCE", 2)
+    assert np.allclose(Q.features(text)[:, : Q.N_KINDS], whole[:, : Q.N_KINDS])
+
+
+def test_scores_match_a_slow_network():
+    """Attention and score of every bag against plain loops."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "bad", "fine", "!!"]) for _ in range(rng.randrange(1, 700))) for _ in range(40)] + [""]
+    bags = [Q.features(t) for t in texts]
+    model = Q.train(bags, [i % 2 for i in range(41)], epochs=2)
+    p = model.p
+    for bag, got in zip(bags, model.score(bags), strict=True):
+        weights, codes = [], []
+        for row in bag:
+            h = np.tanh(((row - model.mean) / model.scale).clip(-8, 8) @ p["w"] + p["b"])
+            weights.append(np.exp((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]))
+            codes.append(h)
+        z = sum(w * h for w, h in zip(weights, codes, strict=True)) / sum(weights)
+        assert abs(got - 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))) < 1e-5
+
+
+def test_words_reach_the_quality_encoder(spark):
+    """Labels that only the words tell, not the kinds of characters."""
+    rng = random.Random(6)
+    good, bad = [f"ab{i:03d}" for i in range(0, 400, 2)], [f"ab{i:03d}" for i in range(1, 400, 2)]
+    rows = [(i, " ".join(rng.choice((good if i % 2 else bad)[:12]) for _ in range(60)), "en", "s", 1) for i in range(500)]
+    got = Q.quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2, 0) for i in range(500)], "doc_id long, quality int, toxic int")).where("held_out").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.95
+
+
+def test_texts_without_letters_are_und():
+    model = L.train([speech(x, i, 60) for i in range(8) for x in ("aa", "bb")], ["aa", "bb"] * 8, epochs=1)
+    assert [x for x, _ in L.predict(model, ["½ ² 3", "Ⅷ", "①②", "_ - 12", "\u0301", None, ""])] == ["und"] * 7
+    assert all(x != "und" for x, _ in L.predict(model, ["a", "ª", "ß", "語", "½ x"]))
+
+
+def test_known_language_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, speech(x, i, 30), x, "s", 1, "c", 2) for i, x in enumerate(["aa", "bb"] * 30)] + [(None, speech("aa", 1, 30), None, None, None, None, None), (1, "123", "aa", "s", 1, "c", 2)], DOCS + ", language string, __0 long")
+    kept = L.known_language(df)
+    assert kept.columns == df.columns and kept.count() >= 55 and kept.where("text = '123'").count() == 0
+    assert L.known_language(df.limit(0)).count() == 0
 
 
 @pytest.fixture(scope="module")
