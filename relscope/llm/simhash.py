@@ -3,7 +3,8 @@
 Fingerprints of whole texts are made in Arrow batches. Equal fingerprints collapse to one class before any comparison,
 so thousands of copies cost one row. Classes meet in blocks: if two 64-bit fingerprints differ in at most `radius` bits
 and the bits are cut into radius + k blocks, k blocks are equal, so every linked pair shares the value of some choice of
-k blocks. Inside a block the pivot distance table (distances to `n_pivots` reference fingerprints) discards every pair
+k blocks. A block of too many rows is cut once more: the bits that it leaves open go into radius + 1 parts, one of which two
+linked fingerprints share as well, so no pair is lost and no task gets a crowd. Inside a block the pivot distance table (distances to `n_pivots` reference fingerprints) discards every pair
 whose coordinates differ by more than `radius` anywhere (triangle inequality), and the survivors are verified on all
 bits. Each block returns the edges of a spanning forest, not its pairs, so output stays linear in the rows.
 """
@@ -19,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm.common import ASCII_LOWER, components, dropped, read, saved, word_blocks
+from relscope.llm.common import ASCII_LOWER, Scratch, components, read, small, word_blocks
 
 RADIUS, SHINGLE, SEED, N_PIVOTS = 4, 4, 42, 16
+#: Rows above which a block is cut into finer ones, and how often.
+CROWDED, LEVELS = 4096, 3
 
 
 def _bit_counts(digests: bytes) -> np.ndarray:
@@ -83,6 +86,15 @@ def block_masks(n_classes: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in combinations(blocks, k)]
 
 
+def finer(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that contain mask, such that two fingerprints that agree under it and are within `radius` agree under one of them."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    if len(left) <= radius + 1:
+        return [mask]
+    edges = [len(left) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in left[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
 def forest(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, n_pivots: int = N_PIVOTS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (root, member) of the components that links within `radius` make inside each run of equal groups.
 
@@ -117,11 +129,34 @@ def forest(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, n_pivots:
     return fps[label[member]], fps[member]
 
 
-def links(classes: DataFrame, n_classes: int, radius: int = RADIUS) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def blocked(classes: DataFrame, masks: list[int], scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """(mask, value, fp): the blocks of classes (fp); crowded ones are replaced by the finer blocks of their rows."""
+    spark = classes.sparkSession
+    rows = classes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    done = None
+    for level in range(LEVELS):
+        crowded = scratch.save(rows.groupBy("mask", "value").count().where(F.col("count") > CROWDED).drop("count"), f"crowded-{level}")
+        n = crowded.count()
+        if not n:
+            break
+        fine = rows.join(small(crowded, n * 32), ["mask", "value"], "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        parts = {m: finer(m, radius) for m in masks}
+        cut = spark.createDataFrame([(_signed(m), _signed(x)) for m, own in parts.items() for x in own], "mask long, part long")
+        again = rows.join(small(crowded, n * 32), ["mask", "value"]).join(F.broadcast(cut), "mask")  # five rows a mask
+        rows = again.select("fp", F.col("part").alias("mask"), F.col("fp").bitwiseAND(F.col("part")).alias("value"))
+        masks = [x for own in parts.values() for x in own]
+    return rows if done is None else done.unionByName(rows)
+
+
+def links(classes: DataFrame, n_classes: int, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """Forest edges (a, b) between distinct fingerprints that join the same fingerprints as all links do."""
-    masks = block_masks(n_classes, radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)]))
-    dealt = classes.select("fp", keys.alias("k")).select("fp", "k.m", "k.key").repartition("m", "key").sortWithinPartitions("m", "key")
+    rows = blocked(classes, block_masks(n_classes, radius), scratch, radius)
+    dealt = rows.select("fp", F.col("mask").alias("m"), F.col("value").alias("key")).repartition("m", "key").sortWithinPartitions("m", "key")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -150,21 +185,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     (each row comes back); a null id takes part in the links but never names a component unless it is alone. Other
     columns of docs are not read, so clashing names don't matter. An empty table gives an empty result.
     """
-    prints, _ = saved(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
-    classes, _ = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(links(classes, classes.count()))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return (
-        prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.save(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
+        classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        found = components(links(classes, classes.count(), scratch), scratch=scratch)
+        named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+        joined = prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
+        return scratch.keep(joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near-duplicates")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest id stays, columns as they were.
 
-    Of repeated rows with that id all stay; rows with a null id stay as well, as nothing can name them.
+    Of repeated rows with that id all stay, also such with another text; rows with a null id stay as well, as nothing can
+    name them. Null and empty texts are near-duplicates of each other. An empty table stays empty; other columns, whatever
+    their names, are not read.
     """
     first = near_duplicates(docs, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, docs[doc_id] == first["__first"], "left_semi")
@@ -173,6 +209,3 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
-
-
-__all__ = ["block_masks", "dropped", "fingerprint", "fingerprints", "forest", "keep_first", "links", "near_duplicates", "op3_simhash", "pivots"]
