@@ -1,9 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy schedule (operator 9).
 
-Each source's documents are shuffled by a hash and cut into blocks of equal word counts (smaller ones for a source that would have too few). Slots 0, 1, 2, ... of the mix
-map the golden-ratio sequence frac((i + 1/2) * phi) through the cumulative targets, in blocks, to a source; a slot's rank
-within its source names the block it takes, starting over when the source's blocks are used up. Running sums and ranks
-are computed in levels of bounded groups, so no window ever spans a source.
+Each source's documents are shuffled by a hash and cut into blocks of equal word counts (smaller ones for a source that would
+have too few). Slots 0, 1, 2, ... of the mix map the golden-ratio sequence frac((i + 1/2) * phi) through the cumulative
+targets, in blocks, to a source; a slot's rank within its source names the block it takes, starting over when the source's
+blocks are used up. A slot finds its source among those of one cell of the unit interval. Running sums and ranks are
+computed in levels of bounded groups, so no window ever spans a source.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relscope.llm.common import read, saved
+from relscope.llm.common import Scratch, read, small
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 9
 #: A source's target spans this many slots at least (or a slot a word); beyond MAX_SLOTS only small sources add slots.
@@ -104,12 +105,16 @@ def schedule(spark: SparkSession, sources: list[dict], slots: int, block: int, r
 
     Slots beyond `repeats` uses of every block are left out, so no document is used more often than that.
     """
-    schema = "sid int, lo long, hi long, blocks long"
-    table = F.broadcast(spark.createDataFrame([(s["sid"], s["lo"], s["hi"], s["blocks"]) for s in sources if s["hi"] > s["lo"] and s["blocks"]], schema))
+    used = [s for s in sources if s["hi"] > s["lo"] and s["blocks"]]
+    # the unit interval in about as many cells as there are sources: a slot meets the sources that its cell touches
+    bits = max(1, len(used).bit_length())
+    table = spark.createDataFrame([(s["sid"], s["lo"], s["hi"], s["blocks"]) for s in used], "sid int, lo long, hi long, blocks long")
+    by_cell = table.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 53 - bits), F.shiftright(F.col("hi") - 1, 53 - bits))))
     # frac((i + 1/2) * phi) in units of 2^-53; multiplication wraps at 2^64 as it should
-    point = F.shiftrightunsigned(F.expr(f"try_cast(pmod(cast(id as decimal(38,0)) * {STEP} + {STEP // 2}, 18446744073709551616) / 2048 as decimal(38,0))").cast("long"), 0)
-    ids = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u"))
-    drawn = ids.join(table, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "sid", "blocks").withColumn("run", F.expr(f"slot div {RUN}"))
+    point = F.expr(f"try_cast(pmod(cast(id as decimal(38,0)) * {STEP} + {STEP // 2}, 18446744073709551616) / 2048 as decimal(38,0))").cast("long")
+    ids = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.shiftright("u", 53 - bits))
+    met = ids.join(small(by_cell, (len(used) + (1 << bits)) * 48), "cell")
+    drawn = met.where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "sid", "blocks").withColumn("run", F.expr(f"slot div {RUN}"))
     counts = drawn.groupBy("sid", "run").agg(F.count("*").alias("n"))
     level = _before(counts.withColumnRenamed("run", "__bucket").withColumnRenamed("n", "__sum"), "sid", max(1, (slots // RUN).bit_length()))
     local = drawn.withColumn("in_run", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1)
@@ -122,25 +127,30 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     Null and empty texts have size 0 and take 0; a null source is a source of its own and comes last. Repeated rows and
     ties in the shuffle order are told apart by all columns used, equal rows share alike. Sources are collected to the
-    driver (one row each), documents never. An empty table gives an empty result.
+    driver (one row each), documents never. Other columns are not read, so clashing names don't matter. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     order = F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)))
-    sized, _ = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), order.alias("order"), word_count(F.col(text)).alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    sources, block, slots = plan([(r["source"], int(r["size"])) for r in totals], weights, repeats)
-    facts = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"], s["block"]) for s in sources], "sid int, source string, source_size long, target double, words long")
-    facts = facts.withColumnRenamed("source", "__name")
-    known = sized.join(F.broadcast(facts) if len(sources) < 10_000 else facts, sized["source"].eqNullSafe(facts["__name"])).select("doc_id", "sid", "order", "size", "source_size", "target", "words")
-    placed = running_start(known, "sid", "order", "size", sum(r["n"] for r in totals), "start")
-    # each document meets the blocks that it overlaps, each block its uses in the schedule
-    spans = placed.where("size > 0").select("doc_id", "sid", "order", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
-    uses = schedule(spark, sources, slots, block, repeats).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    taken = spans.withColumn("part", part).join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("part") * F.col("uses")).alias("got"))
-    joined = placed.join(taken, ["sid", "start"], "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    with Scratch(spark) as scratch:
+        given = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), order.alias("order"), word_count(F.col(text)).alias("size"))
+        sized = scratch.save(given, "sizes")
+        totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
+        sources, block, slots = plan([(r["source"], int(r["size"])) for r in totals], weights, repeats)
+        facts = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"], s["block"]) for s in sources], "sid int, source string, source_size long, target double, words long")
+        facts = facts.withColumnRenamed("source", "__name")
+        size = sum(80 + len((s["source"] or "").encode("utf-8", "surrogatepass")) for s in sources)
+        known = sized.join(small(facts, size), sized["source"].eqNullSafe(facts["__name"])).select("doc_id", "sid", "order", "size", "source_size", "target", "words")
+        placed = scratch.save(running_start(known, "sid", "order", "size", sum(r["n"] for r in totals), "start"), "placed")
+        # each document meets the blocks that it overlaps, each block its uses in the schedule
+        spans = placed.where("size > 0").select("sid", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
+        part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
+        uses = scratch.save(schedule(spark, sources, slots, block, repeats).groupBy("sid", "block").agg(F.count("*").alias("uses")), "uses")
+        taken = spans.withColumn("part", part).join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("part") * F.col("uses")).alias("got"))
+        joined = placed.join(taken, ["sid", "start"], "left")
+        words = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long")
+        return scratch.keep(joined.select("doc_id", "size", "source_size", "target", words.alias("taken")), "mix")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
