@@ -122,12 +122,16 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows whose text holds an item window; columns as they were, null and empty texts stay."""
+    """docs without the rows whose text holds an item window; columns as they were.
+
+    Null and empty texts stay. Rows that share an id are judged each by its own text, also those with a null id. Empty
+    tables of either kind and clashing names of other columns are fine.
+    """
     named = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), words(F.col(text)).alias("w"))
     found, _ = saved(hits(named, items, item_id, item_text).select("id", "version").distinct(), "contaminated")
     small = found.count() * 64 <= CHUNK_BYTES
     side = found.select(F.col("id").alias("__id"), F.col("version").alias("__version"))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version"))
+    same = docs[doc_id].eqNullSafe(side["__id"]) & (F.xxhash64(docs[text]) == side["__version"])
     return docs.join(F.broadcast(side) if small else side, same, "left_anti")
 
 

@@ -266,8 +266,9 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-#: Pairs of equal tokens of two stretches up to which all of them say on which diagonals to look.
-MOST_PLACES = 1 << 20
+#: Pairs of equal tokens of two stretches up to which all of them say on which diagonals to look, and diagonals that are
+#: tried where tokens repeat.
+MOST_PLACES, MOST_DIAGONALS = 1 << 16, 16
 
 
 def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
@@ -276,7 +277,7 @@ def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, sim
     Every window of `width` tokens of mine is measured, as a set of tokens, against the equally long window of first on
     each diagonal that half as many tokens share as similar windows do: those are at most one edit apart, so half of what
     they share lies on one diagonal. Where tokens repeat, diagonals are tried from the most frequent one on until each window that can
-    reach the similarity has.
+    reach the similarity has, MOST_DIAGONALS at most.
     """
     first = first if isinstance(first, Side) else Side(first)
     n, m = len(mine) - width + 1, len(first.tokens) - width + 1
@@ -321,14 +322,22 @@ def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, sim
     elif not plain:
         ways = np.union1d(ways, np.argsort(-often, kind="stable")[:4] + low)
         ways = ways[np.argsort(-often[ways - low], kind="stable")]
+    looked = 0
     for d in ways.tolist():
+        from_, to = max(0, -d), min(n, m - d)
+        if from_ >= to:
+            continue
+        if not plain:
+            looked += (todo := bool((wanted[from_:to] & (best[from_:to] < similarity)).any()))
+            if not todo:
+                continue
+            if looked > MOST_DIAGONALS:
+                break
         # a token counts for the windows that hold it here and a place p of it there, one on this diagonal
         if plain:
             p, t = first.first[at[hit]] - d, hit
             lo = np.maximum(t, p) - width + 1
         else:
-            if not (wanted & (best < similarity)).any():
-                break
             a = np.searchsorted(first.key, at[hit] * size + np.clip(hit + d - width + 1, 0, size - 1))
             b = np.maximum(a, np.searchsorted(first.key, at[hit] * size + np.clip(hit + d + width, 0, size - 1)))
             t, p = np.repeat(hit, b - a), first.place[_ranges(a, b)]
@@ -336,9 +345,6 @@ def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, sim
             lo = np.maximum(np.maximum(t - width, side.before[t]), np.maximum(p - width, first.before[p]) - d) + 1
             p = p - d
         common = _covering(np.maximum(lo, 0), np.minimum(np.minimum(t, p), n - 1), n)
-        from_, to = max(0, -d), min(n, m - d)
-        if from_ >= to:
-            continue
         c = common[from_:to]
         sim = c / np.maximum(1, own[from_:to] + theirs[from_ + d : to + d] - c)
         up = np.flatnonzero(sim > best[from_:to]) + from_

@@ -84,6 +84,34 @@ def test_block_masks_lose_no_pair(n):
         assert any(not m & sum(1 << f for f in flips) for m in masks)
 
 
+@pytest.mark.parametrize("n", [1, 1 << 28])
+def test_finer_blocks_lose_no_pair(n):
+    rng = random.Random(n)
+    for mask in simhash.block_masks(n):
+        assert all(mask & m == mask for m in simhash.finer(mask))
+        for _ in range(40):
+            flips = rng.sample([b for b in range(64) if not mask >> b & 1], 4)
+            assert any(not m & sum(1 << f for f in flips) for m in simhash.finer(mask))
+
+
+def test_crowded_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 20)
+    rng = random.Random(3)
+    base = [rng.getrandbits(20) for _ in range(3)]  # one template family: the upper bits are equal
+    fps = sorted({b ^ sum(1 << rng.randrange(24) for _ in range(rng.randrange(4))) for b in base for _ in range(80)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    with common.Scratch(spark) as scratch:
+        edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), len(fps), scratch).collect()
+    want = slow_components(dict(enumerate(fps)))
+    place = {f: i for i, f in enumerate(fps)}
+    label = {i: i for i in want}
+    for _ in range(30):
+        for a, b in edges:
+            i, j = place[a % 2**64], place[b % 2**64]
+            label[i] = label[j] = min(label[i], label[j])
+    assert label == want
+
+
 def test_forest_matches_brute_force():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)

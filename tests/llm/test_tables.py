@@ -129,6 +129,56 @@ def test_small_source_meets_its_target_where_slots_are_bounded(spark, monkeypatc
     assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] + 4 for s in goal) and goal["small"] > 10
 
 
+def slow_taken(rows, order):
+    """taken of (key, source, size) rows whose shuffle order is known, word by word."""
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    sources, _, slots = M.plan([(s, sizes[s]) for s in names])
+    owner = {s: [] for s in names}
+    for key, s, n in sorted(rows, key=lambda r: order[r[0]]):
+        owner[s] += [key] * n
+    uses, taken = defaultdict(int), defaultdict(int)
+    for i in range(slots):
+        u = ((i * M.STEP + M.STEP // 2) % 2**64) >> 11
+        sid = next(x["sid"] for x in sources if x["lo"] <= u < x["hi"])
+        if uses[sid] < 3 * sources[sid]["blocks"]:
+            at = uses[sid] % sources[sid]["blocks"] * sources[sid]["block"]
+            for key in owner[names[sid]][at : at + sources[sid]["block"]]:
+                taken[key] += 1
+        uses[sid] += 1
+    return taken
+
+
+def test_taken_matches_a_slow_mix(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 7, 60, 500])), "en", rng.choice(["a", "b", None, "c", "c", "c"]), 1) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    order = {r["doc_id"]: r["o"] % 2**64 for r in df.selectExpr("doc_id", f"xxhash64({M.SEED}, doc_id, xxhash64(text)) as o").collect()}
+    want = slow_taken([(i, s, len(t.split())) for i, t, _, s, _ in rows], order)
+    got = {r["doc_id"]: r["taken"] for r in M.mixed(df).collect()}
+    assert sum(got.values()) > 1000 and got == {i: want.get(i, 0) for i, *_ in rows}
+
+
+def test_a_slot_finds_its_source_among_many(spark):
+    sources, block, slots = M.plan([(f"s{i:04d}", 1 + i * i % 97) for i in range(700)])
+    drawn = {(r["slot"], r["sid"]) for r in M.schedule(spark, sources, slots, block).select("slot", "sid").collect()}
+    for slot, sid in random.Random(1).sample(sorted(drawn), 300):
+        u = ((slot * M.STEP + M.STEP // 2) % 2**64) >> 11
+        assert sources[sid]["lo"] <= u < sources[sid]["hi"]
+    assert len({s for _, s in drawn}) == sum(s["hi"] > s["lo"] for s in sources)
+
+
+@pytest.mark.parametrize("sizes", [[5_000_000_000, 10, 2_000], [2_000, 5_000_000_000, 10], [10**12, 60, 150]])
+def test_plan_gives_tiny_sources_their_slots(sizes):
+    sources, _, slots = M.plan([(f"s{i}", n) for i, n in enumerate(sizes)])
+    for s in sources:
+        share = (s["hi"] - s["lo"]) / 2**53 * slots * s["block"]  # words that the source's part of the slots comes to
+        assert abs(share - s["target"]) <= max(2 * s["block"], 0.002 * s["target"])
+        assert s["block"] <= max(1, s["target"] / 1000)
+
+
 def test_schedule_follows_the_golden_ratio(spark):
     sources, block, slots = M.plan([("a", 4000), ("b", 2000), (None, 1000)])
     got = sorted((r["slot"], r["sid"], r["rank"], r["block"]) for r in M.schedule(spark, sources, slots, block).collect())
@@ -225,6 +275,28 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() == n
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Repeated ids with other texts, null ids, null texts, clashing names and empty tables go through every stage."""
+    rng = random.Random(8)
+    words = [f"the{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = text(80)
+    rows = [(i, text(60) + " " + (shared if i % 3 == 0 else text(40)), "en", "s", 1) for i in range(60)]
+    rows += [(1, text(90), "en", "s", 1), (1, text(30), "en", "s", 1), (3, rows[3][1], "en", "s", 1), (None, text(50) + " " + shared, "en", None, None), (None, None, None, None, None), (70, "", "en", "s", 0), (71, "12 34", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as key", "1 as id", "2 as fp", "3 as __id", "4 as hit_id", "5 as order")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, "/root/testdata/sf0.001")
+            assert name == "mix" or now.columns == docs.columns
+            got = now.collect()
+            if name != "mix":
+                now = spark.createDataFrame(got, docs.schema)
+        assert (len(got) > 50) == (table is docs)
+    kept = sorted(str(r["doc_id"]) for r in got)
+    assert kept.count("1") == 3 and "70" not in kept and "71" not in kept and sum(r["size"] >= 138 for r in got) <= 3
+
+
 @pytest.mark.parametrize("name", ["op4_lattice", "op7_warc", "op10_decontaminate"])
 def test_sql_agrees(spark, name):
     sf = "/root/testdata/sf0.001"
