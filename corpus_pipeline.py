@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relscope.llm.common import read, saved
+from relscope.llm.common import dropped, read, saved
 from relscope.llm.decontaminate import clean
 from relscope.llm.language_id import known_language
 from relscope.llm.mixing import mixed
@@ -24,8 +24,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; documents of which nothing is left go."""
-    passages, _ = saved(repeated_passages(docs), "passages")
-    return without_passages(docs, passages)
+    return without_passages(docs, repeated_passages(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written in the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Apply the stages to documents; each one's rows are written in the shared folder and read again by the next."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = saved(stage(spark, docs, sf_dir), name)
+        if before:
+            dropped(spark, before)
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(spark, before)  # the mix is a table of its own
+    return out
