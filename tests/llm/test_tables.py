@@ -284,7 +284,7 @@ def test_pipeline_stages_on_odd_rows(spark):
     rows = [(i, text(60) + " " + (shared if i % 3 == 0 else text(40)), "en", "s", 1) for i in range(60)]
     rows += [(1, text(90), "en", "s", 1), (1, text(30), "en", "s", 1), (3, rows[3][1], "en", "s", 1), (None, text(50) + " " + shared, "en", None, None), (None, None, None, None, None), (70, "", "en", "s", 0), (71, "12 34", "en", "s", 5)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as key", "1 as id", "2 as fp", "3 as __id", "4 as hit_id", "5 as order")
-    for table in (docs, docs.limit(0)):
+    for table in (docs.limit(0), docs):
         now = table
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, "/root/testdata/sf0.001")
