@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from relscope.sources import scripts
 
 # Object types that count, and server errors that mean a missing permission.
 TYPE_CODES = ["U", "V", "P", "FN", "IF", "TF", "TR"]
-DENIED = ("297", "300")
+DENIED = (297, 300)
 
 ROWS = {
     "objects": "schema string, name string, type_code string",
@@ -36,10 +39,17 @@ ROWS = {
 Tables = Callable[[str], DataFrame]
 
 
+#: Table functions of the server: they need arguments, so the server is asked with a query of its own for each.
+FUNCTIONS = {
+    "sys.dm_db_stats_properties": "(SELECT f.object_id, f.stats_id, f.last_updated FROM sys.stats AS x CROSS APPLY sys.dm_db_stats_properties(x.object_id, x.stats_id) AS f) AS q",
+    "sys.dm_db_index_physical_stats": "(SELECT object_id, index_id, avg_fragmentation_in_percent, page_count FROM sys.dm_db_index_physical_stats(DB_ID(), NULL, NULL, NULL, 'LIMITED') AS f) AS q",
+}
+
+
 def jdbc_tables(spark: SparkSession, url: str, timeout: int = 30, **options: str) -> Tables:
     """System tables over a read-only JDBC session; the timeout is held between 1 and 600 s."""
     base = {"url": url + ";applicationIntent=ReadOnly", "queryTimeout": str(min(600, max(1, timeout))), "sessionInitStatement": "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"} | options
-    return lambda name: spark.read.format("jdbc").options(**base).option("dbtable", name).load()
+    return lambda name: spark.read.format("jdbc").options(**base).option("dbtable", FUNCTIONS.get(name, name)).load()
 
 
 def _named(t: Tables) -> DataFrame:
@@ -125,24 +135,50 @@ def fragmentation(t: Tables) -> DataFrame:
 
 def missing_indexes(t: Tables, database_id: int) -> DataFrame:
     d = t("sys.dm_db_missing_index_details").where(F.col("database_id") == database_id)
-    g = d.join(t("sys.dm_db_missing_index_groups"), "index_handle").join(t("sys.dm_db_missing_index_group_stats"), "group_handle").join(_tables(t), "object_id")
+    pairs = t("sys.dm_db_missing_index_groups").select("index_handle", F.col("index_group_handle").alias("group_handle"))
+    g = d.join(pairs, "index_handle").join(t("sys.dm_db_missing_index_group_stats"), "group_handle").join(_tables(t), "object_id")
     score = F.col("avg_total_user_cost") * F.col("avg_user_impact") / 100 * (F.col("user_seeks") + F.col("user_scans"))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return g.select("schema", "table", text("equality_columns"), text("inequality_columns"), text("included_columns"), score.alias("impact_score"))
 
 
+def error_codes(error: Exception) -> set[int]:
+    """The server's error numbers of a failed read: those that the JVM's exceptions carry, or that their text names."""
+    found: set[int] = set()
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    for _ in range(20):
+        if cause is None:
+            break
+        try:
+            found.add(int(cause.getErrorCode()))
+        except Exception:  # noqa: BLE001  not an SQL exception: only its cause may be one
+            pass
+        cause = cause.getCause()
+    said = re.findall(r"error(?:\s*code)?\s*[:=]?\s*\(?(\d+)|permission (?:was )?denied \((\d+)\)", str(error), re.I)
+    return found | {int(a or b) for a, b in said}
+
+
 def allowed(spark: SparkSession, query: Callable[[], DataFrame], schema: str) -> tuple[DataFrame, bool]:
     """The rows of a query and True, or no rows and False if the server denies them; other errors go on."""
     try:
         df = query()
         df.take(1)
         return df, True
-    except PySparkException as e:
-        if any(f"error {c}" in str(e).lower() or f"errorcode={c}" in str(e).lower().replace(" ", "") or f"permission denied ({c})" in str(e).lower() for c in DENIED):
+    except (PySparkException, Py4JJavaError) as e:
+        if error_codes(e) & set(DENIED):
             return spark.createDataFrame([], schema), False
         raise
 
 
+def runtime_note(counters: dict[str, DataFrame], available: bool) -> str:
+    """How much a catalog's counters say, in words."""
+    if not available:
+        return "No runtime counters: the login may not read them."
+    n = {k: counters[k].count() for k in ("object_stats", "missing_indexes")}
+    unused = counters["index_stats"].where("is_unused").count()
+    return f"{n['object_stats']} objects ran, {n['missing_indexes']} missing indexes are suggested, {unused} indexes are unused; counters begin anew when the server does."
+
+
 def runtime(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Counters by object id of rows proc_stats, index_usage and missing_indexes; an absent one is empty."""
     spark = next(iter(rows.values())).sparkSession
@@ -177,4 +213,6 @@ def build(rows: dict[str, DataFrame], now: datetime, exclude: tuple[str, ...] =
     upkeep, days = maintenance(rows, now)
     known = any(k in rows for k in ("proc_stats", "index_usage", "missing_indexes"))
     m = M.with_runtime(m, runtime(rows) | upkeep, known, days, bool(exclude))
+    counters = {"object_stats": m.object_stats, "index_stats": m.index_stats, "missing_indexes": m.missing_indexes}
+    m = replace(m, meta=m.meta | {"runtime_note": runtime_note(counters, known)})
     return M.with_catalog_detail(m, get("columns"), get("index_columns"), get("table_stats"))

@@ -29,7 +29,7 @@ def system(spark):
         "sys.dm_db_stats_properties": df("object_id int, stats_id int, last_updated timestamp", (10, 1, datetime(2024, 1, 1)), (11, 2, None)),
         "sys.dm_db_index_physical_stats": df("object_id int, index_id int, avg_fragmentation_in_percent double, page_count long", (11, 2, 40.0, 200), (10, 1, 50.0, 100), (11, 0, 90.0, 900)),
         "sys.dm_db_missing_index_details": df("index_handle int, database_id int, object_id int, equality_columns string, inequality_columns string, included_columns string", (1, 7, 11, "[Name]", None, None)),
-        "sys.dm_db_missing_index_groups": df("index_handle int, group_handle int", (1, 2)),
+        "sys.dm_db_missing_index_groups": df("index_handle int, index_group_handle int", (1, 2)),
         "sys.dm_db_missing_index_group_stats": df("group_handle int, avg_total_user_cost double, avg_user_impact double, user_seeks long, user_scans long", (2, 10.0, 50.0, 3, 1)),
     }
     return tables.__getitem__
@@ -61,3 +61,62 @@ def test_rows_have_the_declared_shapes(system, spark):
         assert df.columns == [c.split()[0] for c in live.ROWS[name].split(", ")], name
     m = live.build(got, datetime(2024, 1, 10))
     assert rows(m.objects.select("id")) == [("app.child",), ("dbo.parent",), ("dbo.usp_a",)] and m.meta["days_since_last_backup"] == 7
+
+
+class Thrown:
+    """A Java exception as py4j shows it."""
+
+    def __init__(self, cause=None, code=None):
+        self.cause, self.code = cause, code
+
+    def getErrorCode(self):  # noqa: N802
+        if self.code is None:
+            raise AttributeError("no such method")
+        return self.code
+
+    def getCause(self):  # noqa: N802
+        return self.cause
+
+
+@pytest.mark.parametrize(("error", "want"), [
+    (Thrown(Thrown(code=297)), {297}), (Thrown(Thrown(Thrown(code=300))), {300}), (Thrown(code=208), {208}), (Thrown(), set()),
+])
+def test_error_codes_of_the_jvm(error, want):
+    failure = Exception("An error occurred while calling o1.load")
+    failure.java_exception = error
+    assert live.error_codes(failure) == want
+
+
+def test_error_codes_in_text():
+    assert live.error_codes(ValueError("Error 297: VIEW SERVER STATE")) == {297}
+    assert live.error_codes(ValueError("permission was denied (300)")) == {300} and live.error_codes(ValueError("nothing")) == set()
+
+
+def test_table_functions_are_asked_with_their_arguments(spark):
+    class Reader:
+        def format(self, _):
+            return self
+
+        def options(self, **_):
+            return self
+
+        def option(self, _, value):
+            self.asked = value
+            return self
+
+        def load(self):
+            return self.asked
+
+    class Session:
+        read = Reader()
+
+    t = live.jdbc_tables(Session(), "jdbc:sqlserver://h")
+    assert "CROSS APPLY sys.dm_db_stats_properties(x.object_id, x.stats_id)" in t("sys.dm_db_stats_properties") and "NULL, NULL, NULL" in t("sys.dm_db_index_physical_stats")
+    assert t("sys.objects") == "sys.objects"
+
+
+def test_runtime_note_counts(system):
+    got = {"objects": live.objects(system), "index_usage": live.index_usage(system, 7), "proc_stats": live.proc_stats(system, 7), "missing_indexes": live.missing_indexes(system, 7)}
+    note = live.build(got, datetime(2024, 1, 10)).meta["runtime_note"]
+    assert note.startswith("1 objects ran, 1 missing indexes are suggested, 1 indexes are unused")
+    assert "may not read" in live.build({"objects": live.objects(system)}, datetime(2024, 1, 10)).meta["runtime_note"]
