@@ -5,7 +5,7 @@ An edge points from the dependent to what it depends on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relscope.operators.lineage import cut
@@ -28,14 +28,14 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = DEPTH_CAP) -> Da
     the one from the parent found earliest, then by kind. capped says that some object was found at the depth cap.
     """
     back = cut(edges.where("dst <> ''").select(F.col("dst").alias("at"), F.col("src").alias("object_id"), "kind").distinct())
-    start = roots.select("root", F.col("root").alias("at"), F.lit(0).cast("long").alias("rank"))
+    # an object's rank is the path by which it was found: of equally long paths the lesser was found earlier
+    start = roots.select("root", F.col("root").alias("at"), F.array("root").alias("rank"))
     seen = cut(start.select("root", F.col("root").alias("object_id"), F.lit(0).alias("depth"), F.lit("").alias("via_kind")).distinct())
     frontier = start
     for depth in range(1, max_depth + 1):
         reached = frontier.join(back, "at").groupBy("root", "object_id").agg(F.min(F.struct("rank", "object_id", "kind")).alias("f"))
         new = reached.join(seen.select("root", "object_id"), ["root", "object_id"], "left_anti")
-        order = Window.partitionBy("root").orderBy("f.rank", "object_id", "f.kind")
-        level = cut(new.select("root", "object_id", F.lit(depth).alias("depth"), F.col("f.kind").alias("via_kind"), F.row_number().over(order).cast("long").alias("rank")))
+        level = cut(new.select("root", "object_id", F.lit(depth).alias("depth"), F.col("f.kind").alias("via_kind"), F.concat("f.rank", F.array("object_id")).alias("rank")))
         if level.isEmpty():
             break
         seen = _grown(seen, level.drop("rank"), depth)
@@ -93,14 +93,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found: DataFrame | None = None
+    n = left.count()
     while True:
-        while True:  # trim
-            n = left.count()
+        while n:  # trim, while that takes a fair share away; colouring takes the rest
+            before = n
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             left = cut(kept.select("src", "dst"))
-            if left.count() == n:
+            n = left.count()
+            if n > 0.95 * before:
                 break
-        if left.isEmpty():
+        if not n:
             break
         colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")))
         while True:
@@ -123,6 +125,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = member if found is None else found.union(member)
         gone = member.select("id")
         left = cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        n = left.count()
     if found is None:
         return left.select(F.col("src").alias("component_id"), F.col("src").alias("id"), F.lit(0).cast("long").alias("size")).limit(0)
     sizes = found.groupBy("colour").agg(F.count("*").alias("size")).where("size > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Used only where the session names no shared folder.
+#: Used only where the session names no shared folder and runs on one machine.
 FALLBACK_DIR = "/tmp/relscope-checkpoints"
 
 
@@ -12,5 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the session's checkpoint folder, which all executors share; it outlives the loss of any of them."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or FALLBACK_DIR)
     return df.checkpoint()

@@ -125,8 +125,7 @@ def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "proje
     size = S.utf8_bytes(F.col("content"))
     sized = units.select("rel_path", "dialect", size.alias("size_bytes"), F.when(size > PARSE_LIMIT, S.estimated_lines(size)).otherwise(S.count_lines(F.col("content"))).alias("loc"))
     base = sized.join(facts, "rel_path").withColumn("slug0", S.make_slug(F.col("rel_path")))
-    clash = F.row_number().over(Window.partitionBy(F.lower("slug0")).orderBy("rel_path"))
-    files = base.withColumn("n", clash).withColumn("slug", F.when(F.col("n") == 1, F.col("slug0")).otherwise(F.concat("slug0", F.lit("_"), F.col("n").cast("string"))))
+    files = _with_slugs(base)
     files = cut(files.select("rel_path", "slug", "dialect", "size_bytes", "loc", "statement_count", "parsed_cleanly", F.transform("objects", lambda o: o["id"]).alias("object_ids"), "has_credential", "objects", "foreign_keys", "dependencies", "diagnostics"))
 
     found = files.select("rel_path", "slug", F.posexplode("objects").alias("pos", "o"))
@@ -162,6 +161,19 @@ def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "proje
     return replace(model, files=files, objects=objects, foreign_keys=fks, dependencies=deps, crud=R.crud_matrix(deps), diagnostics=notes)
 
 
+def _with_slugs(files: DataFrame) -> DataFrame:
+    """files (rel_path, slug0, ...) with `slug`, unique without case.
+
+    The first path of a slug keeps it, the others take digits of their path's hash; only what clashes then is numbered.
+    """
+    hashed = F.concat(F.substring("slug0", 1, 91), F.lit("_"), F.substring(F.sha2("rel_path", 256), 1, 8))
+    own = F.row_number().over(Window.partitionBy(F.lower("slug0")).orderBy("rel_path"))
+    once = files.withColumn("__own", own).withColumn("slug1", F.when(F.col("__own") == 1, F.col("slug0")).otherwise(hashed))
+    again = F.row_number().over(Window.partitionBy(F.lower("slug1")).orderBy(F.col("__own") > 1, "rel_path"))
+    numbered = once.withColumn("__again", again)
+    return numbered.withColumn("slug", F.when(F.col("__again") == 1, F.col("slug1")).otherwise(F.concat("slug1", F.lit("_"), F.col("__again").cast("string")))).drop("__own", "__again", "slug1")
+
+
 def dialect_loc(files: DataFrame) -> DataFrame:
     return files.where("loc > 0").groupBy("dialect").agg(F.sum("loc").alias("loc"))
 

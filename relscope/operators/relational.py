@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relscope.functions import scalars as S
+from relscope.operators.lineage import cut
 
 # Letters of the operations that a dependency kind stands for.
 OP_LETTERS = {"read": "R", "insert": "C", "update": "U", "delete": "D"}
@@ -166,11 +167,12 @@ def _end(domain: str, internal: int, outgoing: int, incoming: int) -> Column:
 
 def index_inventory(rows: DataFrame) -> DataFrame:
     """(object_id, name, key_columns, included_columns, flags) of one row for each index column."""
-    ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("key_ordinal", "column_name")))), lambda x: x["column_name"])
-    return rows.groupBy("schema", "table", "index_name").agg(
-        ordered(~F.col("is_included")).alias("key_columns"), ordered(F.col("is_included")).alias("included_columns"), F.max("is_unique").alias("is_unique"),
+    part = lambda included: F.transform(F.filter("__columns", lambda x: x["is_included"] == included), lambda x: x["column_name"])
+    listed = rows.groupBy("schema", "table", "index_name").agg(
+        F.array_sort(F.collect_list(F.struct("is_included", "key_ordinal", "column_name"))).alias("__columns"), F.max("is_unique").alias("is_unique"),
         F.max("is_primary_key").alias("is_primary_key"), F.max(F.upper("type_desc") == "CLUSTERED").alias("is_clustered"), F.max("is_disabled").alias("is_disabled"),
-    ).select(S.normalize_id(F.col("schema"), F.col("table")).alias("object_id"), F.col("index_name").alias("name"), "key_columns", "included_columns", "is_unique", "is_primary_key", "is_clustered", "is_disabled")
+    )
+    return listed.withColumn("key_columns", part(False)).withColumn("included_columns", part(True)).select(S.normalize_id(F.col("schema"), F.col("table")).alias("object_id"), F.col("index_name").alias("name"), "key_columns", "included_columns", "is_unique", "is_primary_key", "is_clustered", "is_disabled")
 
 
 def share_of_total(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -214,12 +216,21 @@ def dropped_duplicates(rows: DataFrame, keys: Sequence[str], order: Sequence[str
 
 def hot_rows(rows: DataFrame, value: str) -> DataFrame:
     """Rows whose value reaches the one at place max(1, n div 10) of the descending order; of fewer than 20 rows, the maximum."""
-    ranked = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    place = F.greatest(F.lit(1), F.expr("__all div 10"))
-    # values at or above a value: the threshold is the largest one that enough rows reach
-    above = ranked.withColumn("__reach", F.sum("__n").over(Window.orderBy(F.desc("__v")))).crossJoin(F.broadcast(rows.agg(F.count("*").alias("__all"))))
-    cut = above.where(F.col("__reach") >= place).agg(F.max("__v").alias("__cut"))
-    return rows.crossJoin(F.broadcast(cut)).where(F.col(value) >= F.col("__cut")).drop("__cut")
+    n = rows.count()
+    if not n:
+        return rows
+    place = max(1, n // 10)
+    # values with their counts in ranges, written so that the ranges stay as they are; a range's sum is one row
+    ranges = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")).repartitionByRange(F.desc("__v")).withColumn("__p", F.spark_partition_id())
+    ranges = cut(ranges)
+    above = 0
+    for r in ranges.groupBy("__p").agg(F.sum("__n").alias("n"), F.max("__v").alias("top")).orderBy(F.desc("top")).collect():
+        if above + r["n"] >= place:
+            break
+        above += r["n"]
+    running = F.sum("__n").over(Window.orderBy(F.desc("__v")))  # over the values of one range
+    reached = ranges.where(F.col("__p") == r["__p"]).withColumn("__reach", running).where(F.col("__reach") >= place - above).agg(F.max("__v").alias("v")).first()["v"]
+    return rows.where(F.col(value) >= F.lit(reached))
 
 
 def heat_buckets(rows: DataFrame, value: str, buckets: int = 5) -> DataFrame:

@@ -27,6 +27,41 @@ class Rule:
     title: str
     check: Callable[[Model], DataFrame]
 
+    @property
+    def why(self) -> str:
+        """Why the rule is there."""
+        return REASONS[self.id][0]
+
+    @property
+    def remedy(self) -> str:
+        """What to do about a finding."""
+        return REASONS[self.id][1]
+
+
+#: For each rule why it is there and what to do about a finding.
+REASONS = {
+    "SQL0001": ("A password in a script is known to everybody who can read the repository.", "Take it out of the script, change it, and create the login from a secret store."),
+    "SQL0002": ("Text that is glued together can carry commands of whoever supplies a part of it.", "Pass values as parameters of sp_executesql; take names from a fixed list."),
+    "SQL0003": ("Rows of a table without a primary key can't be told apart or referenced.", "Name the columns that identify a row and declare them as primary key."),
+    "SQL0004": ("A change without WHERE touches every row of the table.", "Say which rows are meant, or write TRUNCATE where all of them are."),
+    "SQL0005": ("The columns of a star change with the table, and more is read than is used.", "List the columns that the caller needs."),
+    "SQL0006": ("A foreign key that may be null lets rows without a parent through.", "Declare the column NOT NULL if every row has a parent; say so in a comment if not."),
+    "SQL0007": ("Without an index each delete or change of a parent scans the child table.", "Create an index that begins with the columns of the foreign key."),
+    "SQL0008": ("A module with many branches is hard to test and to change.", "Split it into smaller ones, or turn branches into joins or lookups."),
+    "SQL0009": ("Names with spaces or leading digits must be quoted wherever they are used.", "Rename the object; keep a synonym while callers move."),
+    "SQL0010": ("Code that nothing calls has to be read and kept in step all the same.", "Check jobs and applications, then drop it."),
+    "SQL0011": ("Such commands reach beyond the database and run with its rights.", "Do the work outside the server, or wrap the call in a module with few rights."),
+    "SQL0012": ("The type is going away and can't be used in many functions.", "Use varchar(max), nvarchar(max) or varbinary(max)."),
+    "SQL0013": ("A heap is scanned for every search and keeps the gaps of moved rows.", "Give the table a clustered index, most often its primary key."),
+    "SQL0014": ("Each of the indexes has to be kept up to date while one serves both.", "Drop the shorter one, unless a query hint names it."),
+    "SQL0015": ("Wide columns fill memory grants and can't be index keys.", "Choose the width that the data needs."),
+    "SQL0016": ("The index costs every write and serves no read since counters began.", "Watch it over a whole business cycle, then drop it."),
+    "SQL0017": ("Rows can be read that never become valid, twice or not at all.", "Use snapshot isolation where readers must not wait."),
+    "SQL0018": ("A cursor works row by row what one statement can do on the set.", "Write it as a join, a window or a merge."),
+    "SQL0019": ("Triggers that insert elsewhere change what it returns.", "Use SCOPE_IDENTITY or an OUTPUT clause."),
+    "SQL0020": ("A count is sent for every statement, and some clients take it for a result.", "Begin the procedure with SET NOCOUNT ON."),
+    "SQL0021": ("The module has rights that its caller doesn't have.", "Sign the module with a certificate, or keep what it may do to a minimum."),
+}
 
 RULES: list[Rule] = []
 

@@ -51,24 +51,26 @@ DEPS_SQL = """deps AS (
 
 
 def nation_edges(spark: SparkSession, d: str, few: bool = True) -> DataFrame:
-    """Edges from a customer's nation to a supplier's; few takes large, discounted, taxed lines only."""
-    line = table(spark, d, "lineitem")
-    if few:
-        line = line.where("l_quantity >= 50 and l_discount >= 0.09 and l_tax >= 0.08")
+    """Edges from a customer's nation to a supplier's, with the kind that follows from the number of lines between them.
+
+    few keeps the pairs whose number of lines, over the whole table, is a multiple of 16: a graph with cycles, several
+    parents and kinds, and nations without any edge.
+    """
     o, c, s, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "nation")
+    line = table(spark, d, "lineitem")
     names = n.select(F.col("n_nationkey").alias("k"), "n_name")
     rows = line.join(o, line.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, line.l_suppkey == s.s_suppkey)
-    pairs = rows.select("c_nationkey", "s_nationkey").distinct()
-    return pairs.join(names.toDF("c_nationkey", "src"), "c_nationkey").join(names.toDF("s_nationkey", "dst"), "s_nationkey").select("src", "dst", F.lit("read").alias("kind"))
-
-
-FEW_SQL = "l_quantity >= 50 AND l_discount >= 0.09 AND l_tax >= 0.08"
+    pairs = rows.groupBy("c_nationkey", "s_nationkey").agg(F.count("*").alias("n"))
+    if few:
+        pairs = pairs.where("n % 16 = 0")
+    kind = F.when(F.col("n") % 3 == 0, "read").when(F.col("n") % 3 == 1, "insert").otherwise("update")
+    return pairs.join(names.toDF("c_nationkey", "src"), "c_nationkey").join(names.toDF("s_nationkey", "dst"), "s_nationkey").select("src", "dst", kind.alias("kind"))
 
 
 def edges_sql(few: bool = True) -> str:
     return f"""e AS (
-  SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey {f"WHERE {FEW_SQL}" if few else ""})"""
+  SELECT a.n_name AS src, b.n_name AS dst, CASE count(*) % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'insert' ELSE 'update' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey GROUP BY 1, 2 {"HAVING count(*) % 16 = 0" if few else ""})"""
 
 
 def nation_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -152,14 +154,15 @@ def index_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 DOMAIN_SQL = """p AS (SELECT p_partkey AS id, coalesce(nullif(split_part(p_name, ' ', 1), ''), '(ungrouped)') AS domain, CASE WHEN p_size < 25 THEN 'table' ELSE 'procedure' END AS kind FROM part),
-ed AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2),
+ed AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber),
 pair AS (SELECT x.domain AS f, y.domain AS t, count(*) AS n FROM ed JOIN p x ON src = x.id JOIN p y ON dst = y.id GROUP BY 1, 2)"""
 
 
 def part_domains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     own = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, "table").otherwise("procedure").alias("kind"))
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    edges = line.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src")).join(line.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey")
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    edges = line.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"])
     return R.domains(own, edges, " ")
 
 
@@ -220,7 +223,7 @@ def surviving_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 INDEX_SQL = """ix AS (SELECT o_custkey AS object_id, CAST(o_orderkey AS VARCHAR) AS name, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS k
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) <= 3)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 @query("index_pairs", f"""WITH {INDEX_SQL}
@@ -229,7 +232,7 @@ WHERE a.k[1:least(len(a.k), len(b.k))] = b.k[1:least(len(a.k), len(b.k))]""")
 def index_pairs(spark: SparkSession, d: str) -> DataFrame:
     line, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     rows = line.join(o, line.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("object_id"), F.col("o_orderkey").cast("string").alias("name"))
-    ix = rows.agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("key_columns"), F.count("*").alias("n")).where("n <= 3")
+    ix = rows.agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("key_columns"))
     return R.index_pairs(ix)
 
 
@@ -393,6 +396,19 @@ def impact(spark: SparkSession, d: str) -> DataFrame:
     return G.impact(edges, o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("root")))
 
 
+@query("impact_of_nations", f"""WITH RECURSIVE {edges_sql()}, h(root, id, depth) AS (SELECT n_name, n_name, 0 FROM nation WHERE n_regionkey < 3 UNION SELECT root, src, depth + 1 FROM h JOIN e ON dst = id WHERE depth < 26),
+m AS (SELECT root, id, min(depth) AS depth FROM h GROUP BY 1, 2) SELECT root, id AS object_id, CAST(depth AS INTEGER) AS depth, false AS capped FROM m WHERE depth > 0""")
+def impact_of_nations(spark: SparkSession, d: str) -> DataFrame:
+    roots = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("root"))
+    return G.impact(nation_edges(spark, d), roots).select("root", "object_id", "depth", "capped")
+
+
+@query("impact_first_kinds", f"WITH {edges_sql()} SELECT n_name AS root, src AS object_id, kind AS via_kind FROM e JOIN nation ON dst = n_name WHERE src <> dst")
+def impact_first_kinds(spark: SparkSession, d: str) -> DataFrame:
+    roots = table(spark, d, "nation").select(F.col("n_name").alias("root"))
+    return G.impact(nation_edges(spark, d), roots, max_depth=1).select("root", "object_id", "via_kind")
+
+
 REACH_SQL = "r(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)"
 
 

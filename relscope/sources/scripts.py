@@ -18,8 +18,9 @@ SKIPPED_FOLDERS = [".git", "bin", "obj", "node_modules"]
 
 
 def folder(spark: SparkSession, root: str, skip: Sequence[str] = (), dialect: str | None = None) -> DataFrame:
-    """Scripts below root, by relative path; unreadable files are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
+    """Scripts below root, by relative path; unreadable files are left out. Only files of these extensions are read."""
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", f"*.{{{any_case}}}").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")

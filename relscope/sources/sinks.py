@@ -20,6 +20,7 @@ from relscope.operators import graph as G
 from relscope.operators import model as M
 from relscope.operators import relational as R
 from relscope.operators import rules, views
+from relscope.operators.rules import RULES
 from relscope.operators.model import Model
 
 
@@ -82,7 +83,9 @@ def sarif(m: Model) -> dict:
         if r["rel_path"] is not None:
             one["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": r["rel_path"]}, "region": {"startLine": max(1, r["line"])}}}]
         results.append(one)
-    tool = {"driver": {"name": "relscope", "rules": [{"id": i} for i in sorted({r["rule_id"] for r in rows})]}}
+    known = {r.id: r for r in RULES}
+    told = lambda i: {"id": i} | ({"shortDescription": {"text": known[i].title}, "fullDescription": {"text": known[i].why}, "help": {"text": known[i].remedy}} if i in known else {})
+    tool = {"driver": {"name": "relscope", "rules": [told(i) for i in sorted({r["rule_id"] for r in rows})]}}
     return {"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [{"tool": tool, "results": results}]}
 
 
@@ -148,6 +151,11 @@ def _capped(objects: DataFrame, edges: DataFrame, k: int) -> tuple[list, int]:
     return shown.collect(), n
 
 
+def _among(edges: DataFrame, a: str, b: str, shown: set[str]) -> DataFrame:
+    """Edges both of whose ends are among the objects that a diagram shows, a few dozen at most."""
+    return edges.where(F.col(a).isin(list(shown)) & F.col(b).isin(list(shown)))
+
+
 def er_diagram(m: Model, max_nodes: int = 60) -> str:
     """Mermaid text of the tables and foreign keys, the most connected tables first."""
     tables = R.of_kind(m.objects, "table")
@@ -159,8 +167,8 @@ def er_diagram(m: Model, max_nodes: int = 60) -> str:
         out.append(f'  {node_id(r["id"])}["{_label(r["schema"])}.{_label(r["name"])}"] {{')
         out += [f"    {_word(c['data_type'])} {_word(c['name'])}{' PK' if c['name'].lower() in primary else ''}" for c in r["columns"][:20]]
         out.append("  }")
-    for k in keys.orderBy("from_object_id", "to_object_id", "name").collect():
-        if k["from_object_id"] in ids and k["to_object_id"] in ids:
+    for k in _among(keys, "from_object_id", "to_object_id", ids).orderBy("from_object_id", "to_object_id", "name").collect():
+        if k["from_object_id"] in ids:
             out.append(f'  {node_id(k["to_object_id"])} ||--o{{ {node_id(k["from_object_id"])} : "{_label(k["name"])}"')
     return "\n".join([*out, *([f"%% showing {len(shown)} of {n} tables (most-connected first)"] if len(shown) < n else [])]) + "\n"
 
@@ -175,8 +183,8 @@ def inferred_diagram(m: Model, max_nodes: int = 60) -> str:
     out, ids = ["erDiagram"], {r["id"] for r in shown}
     for r in shown:
         out += [f'  {node_id(r["id"])}["{_label(r["schema"])}.{_label(r["name"])}"] {{', '    string _ ""', "  }"]
-    for r in found.collect():
-        if r["from_id"] in ids and r["to_id"] in ids:
+    for r in _among(found, "from_id", "to_id", ids).orderBy("from_id", "from_column").collect():
+        if r["from_id"] in ids:
             out.append(f'  {node_id(r["to_id"])} |o..o{{ {node_id(r["from_id"])} : "{_label(r["from_column"])} ({r["confidence"]})"')
     return "\n".join([*out, *([f"%% showing {len(shown)} of {n} related tables (most-connected first)"] if len(shown) < n else [])]) + "\n"
 
@@ -186,8 +194,8 @@ def dependency_diagram(m: Model, max_nodes: int = 60) -> str:
     shown, n = _capped(m.objects, edges, max_nodes)
     ids = {r["id"] for r in shown}
     out = ["flowchart LR"] + [f'  {node_id(r["id"])}["{_label(r["schema"])}.{_label(r["name"])}"]' for r in shown]
-    for e in edges.orderBy("src", "dst").collect():
-        if e["src"] in ids and e["dst"] in ids:
+    for e in _among(edges, "src", "dst", ids).orderBy("src", "dst").collect():
+        if e["src"] in ids:
             out.append(f"  {node_id(e['src'])} -->|{e['kind']}| {node_id(e['dst'])}")
     return "\n".join([*out, *([f"%% showing {len(shown)} of {n} objects (most-connected first)"] if len(shown) < n else [])]) + "\n"
 

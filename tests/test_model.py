@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relscope import cli
+from relscope.functions import scalars as S
 from relscope.operators import model as M
 from relscope.operators import rules, views
 from relscope.sources import live, scripts, sinks
@@ -177,3 +178,14 @@ def test_inferred_relationships(spark):
     m = M.with_rows(M.empty_model(spark), spark, objects=[t("dbo.customer", "Customer", "Id", "CustomerId"), t("dbo.orders", "Orders", "CustomerId", "ZoneId"), t("dbo.orderline", "OrderLine", "Order_Id"), t("dbo.zone", "Zone"), t("dbo.zones", "Zones")])
     assert rows(views.relationships(m), "from_id", "to_id", "confidence") == [("dbo.orderline", "dbo.orders", "medium"), ("dbo.orders", "dbo.customer", "high")]
     assert m.objects.where(F.col("id") == "dbo.zone").count() == 1
+
+
+def test_slugs_that_clash(spark):
+    import hashlib
+
+    paths = ["a/b.sql", "a_b.sql", "A-b.sql", "a_b_sql_2", "x/" + "y" * 120 + ".sql"]
+    rows = M._with_slugs(spark.createDataFrame([(p,) for p in paths], "rel_path string").withColumn("slug0", S.make_slug(F.col("rel_path")))).collect()
+    got = {r["rel_path"]: r["slug"] for r in rows}
+    sha = lambda p: hashlib.sha256(p.encode()).hexdigest()[:8]
+    assert got["A-b.sql"] == "A_b_sql" and got["a/b.sql"] == "a_b_sql_" + sha("a/b.sql") and got["a_b.sql"] == "a_b_sql_" + sha("a_b.sql")
+    assert got["a_b_sql_2"] == "a_b_sql_2" and got[paths[4]].endswith("_" + sha(paths[4])) and len({s.lower() for s in got.values()}) == len(paths)
