@@ -14,7 +14,19 @@ FALLBACK_DIR = "/tmp/relscope-checkpoints"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Rows of texts that Python workers get at once: texts are long, and a batch is held several times over.
+TEXT_ROWS = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session take texts in batches of TEXT_ROWS rows, which bounds their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder; tables of texts go to Python in small batches."""
+    if table in ("documents", "pages"):
+        in_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
