@@ -20,7 +20,7 @@ HASHES, SEED = 4, 17
 #: Shingles of the shortest passage.
 WIDTH = MIN_WORDS - SHINGLE + 1
 #: Bytes of text that are hashed at once, and tokens that one Cartesian tree spans at most.
-CHUNK, STRETCH = 1 << 19, 1 << 21
+CHUNK, STRETCH = 1 << 18, 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
 
 _LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
