@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
@@ -163,3 +163,23 @@ def in_share(order: Column, share: float | Column) -> Column:
     """
     most = F.least(F.lit(1.0), share) * float(2**53) if isinstance(share, Column) else F.lit(min(1.0, share) * 2**53)
     return F.shiftrightunsigned(order.bitwiseXOR(F.lit(-(1 << 63))), 11) < most.cast("long")
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """rows with `idx`: the place, from 0, of a row among those of its group by order; written as a table of scratch.
+
+    The rows are dealt into ranges of (group, order) and sorted there, so no group meets in one task; a range's rows are
+    numbered as they come, and a group's offset in a range is the sum of its rows in earlier ranges (a row a range and group).
+    Rows that are equal in group and order come in any order, and in different ranges where there are many of them.
+    group and order must not be null.
+    """
+    by = [group, *order, "__salt"]
+    dealt = rows.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by).drop("__salt")
+    dealt = dealt.withColumn("__place", F.monotonically_increasing_id())
+    part, pos = F.shiftrightunsigned("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    dealt = scratch.save(dealt.withColumn("__part", part).withColumn("__pos", pos).drop("__place"), name)
+    pieces = scratch.save(dealt.groupBy("__part", group).agg(F.min("__pos").alias("__from"), F.count("*").alias("__n")), f"{name}-pieces")
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = pieces.agg(F.count("*"), F.sum(F.octet_length(F.col(group).cast("string")))).first()
+    starts = small(pieces.select("__part", group, (earlier - F.col("__from")).alias("__shift")), size[0] * 40 + (size[1] or 0))
+    return dealt.join(starts, ["__part", group]).withColumn("idx", F.col("__pos") + F.col("__shift")).drop("__part", "__pos", "__shift")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relscope.llm import decontaminate, warc
+from relscope.llm import decontaminate, merkle, warc
 from relscope.llm.embed_dedup import op4_lattice
 from relscope.llm.html_extract import op1_main_text
 from relscope.llm.language_id import op2_language
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 OP4_SQL = """
@@ -44,4 +45,4 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN least ON v.vec_id = least.a
 """
 
-ORACLE = {"op4_lattice": OP4_SQL, "op7_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL}
+ORACLE = {"op4_lattice": OP4_SQL, "op7_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL}
