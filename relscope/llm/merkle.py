@@ -207,6 +207,7 @@ def manifest(docs: DataFrame, found: Column | None = None) -> DataFrame:
         (digest(*fields, F.col("text")) if found is None else digest(*fields, found)).alias("found"),
     )
     with Scratch(spark) as scratch:
+        rows = scratch.save(rows, "digests")  # ranges are cut by a sample, so what is ranked is read twice
         leaves = ranked(rows, "g", ["known", "id", "digest", "found"], scratch, "leaves")
         sizes = scratch.save(leaves.groupBy("g").agg(levels(F.count("*")).alias("height")), "sizes")
         leaves = leaves.join(sizes, "g").withColumn("block", F.expr(f"idx div {BLOCK}")).withColumn("doc_id", F.when(F.col("known"), F.col("id"))).select("g", "idx", "block", "doc_id", "digest", "found", "height")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relscope.llm import decontaminate, merkle, topk, warc
+from relscope.llm import decontaminate, merkle, prefix_trie, topk, warc
 from relscope.llm.embed_dedup import op4_lattice
 from relscope.llm.html_extract import op1_main_text
 from relscope.llm.language_id import op2_language
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_merkle": merkle.op11_merkle,
     "op12_topk": topk.op12_topk,
+    "op13_trie": prefix_trie.op13_trie,
 }
 
 OP4_SQL = """
@@ -46,4 +47,4 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
 FROM v LEFT JOIN n ON v.vec_id = n.a LEFT JOIN least ON v.vec_id = least.a
 """
 
-ORACLE = {"op4_lattice": OP4_SQL, "op7_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL, "op12_topk": topk.SQL}
+ORACLE = {"op4_lattice": OP4_SQL, "op7_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL, "op11_merkle": merkle.SQL, "op12_topk": topk.SQL, "op13_trie": prefix_trie.SQL}
