@@ -25,6 +25,8 @@ LEVELS = (4, 16)
 QUERY_BYTES, ROWS = 16 << 20, 4096
 #: Pairs that are gathered at once, and queries whose bounds are.
 PAIRS, QUERIES = 1 << 18, 1024
+#: Above this share of surviving pairs a block's next level is computed whole, by one matrix product.
+DENSE = 0.01
 LONG = (-(1 << 63), (1 << 63) - 1)
 FOUND = "query_id long, query_key binary, vec_id long, score long"
 
@@ -89,38 +91,58 @@ class Best:
 
 
 def meet(queries: Vectors, query_ids: np.ndarray, best: Best, numbers: np.ndarray, cand: Vectors, ids: np.ndarray, null: np.ndarray) -> None:
-    """Put the candidates among the best of the queries; numbers are the queries' places in best."""
-    d = queries.rows.shape[1]
-    whole = d * queries.largest * cand.largest < 2.0**53
+    """Put the candidates among the best of the queries; numbers are the queries' places in best.
+
+    Where many pairs of a block survive a level, the next one is computed for the block at once, else pair by pair.
+    """
+    whole = queries.rows.shape[1] * queries.largest * cand.largest < 2.0**53
     slack = 1e-9 * np.maximum(cand.norms.max(initial=0.0), 1.0)
 
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
+    def keep(i: np.ndarray, j: np.ndarray, score: np.ndarray | None = None) -> None:
         own = (query_ids[i] != ids[j]) | null[j]
         i, j = i[own], j[own]
-        best.add(numbers[i], ids[j], exact(queries.rows[i], cand.rows[j], whole), null[j])
+        score = exact(queries.rows[i], cand.rows[j], whole) if score is None else score[own].astype(np.int64)
+        best.add(numbers[i], ids[j], score, null[j])
 
     for lo in range(0, len(query_ids), QUERIES):
         part = np.arange(lo, min(lo + QUERIES, len(query_ids)))
         margin = slack * np.maximum(queries.norms[part], 1.0)
-        with np.errstate(over="ignore", invalid="ignore"):
-            bound = queries.stats[0][part] @ cand.stats[0].T if cand.stats else np.full((len(part), len(ids)), np.inf)
-        if not np.isfinite(bound).all():
-            bound = np.full_like(bound, np.inf)
+
+        def bounds(level: int, part: np.ndarray = part) -> np.ndarray:
+            with np.errstate(over="ignore", invalid="ignore"):
+                out = queries.stats[level][part] @ cand.stats[level].T
+            return np.nan_to_num(out, copy=False, nan=np.inf, posinf=np.inf, neginf=np.inf)  # what overflows bounds nothing
+
+        bound = bounds(0) if cand.stats else np.full((len(part), len(ids)), np.inf)
         fresh = np.flatnonzero(np.isneginf(best.least[numbers[part]]))
+        alive = None
         if len(fresh):  # the largest bounds of a query that has no k rows yet give it a score to beat
             n = min(best.k + 1, len(ids))
             top = np.argpartition(bound[fresh], len(ids) - n, axis=1)[:, len(ids) - n :]
             keep(np.repeat(part[fresh], n), top.ravel())
-            bound[np.repeat(fresh, n), top.ravel()] = np.nan  # counted already
-        with np.errstate(invalid="ignore"):
-            alive = bound + margin[:, None] >= best.least[numbers[part]][:, None]
+            alive = np.ones(bound.shape, bool)
+            alive[np.repeat(fresh, n), top.ravel()] = False  # counted already
+        least = (best.least[numbers[part]] - margin)[:, None]
+        alive = bound >= least if alive is None else alive & (bound >= least)
+        left, level = np.count_nonzero(alive), 1
+        while level < len(cand.stats) and left > DENSE * alive.size:
+            alive &= bounds(level) >= least
+            left, level = np.count_nonzero(alive), level + 1
+        if whole and left > DENSE * alive.size:
+            score = queries.rows[part] @ cand.rows.T
+            alive &= score >= best.least[numbers[part]][:, None]
+            flat = np.flatnonzero(alive)
+            for at in range(0, len(flat), PAIRS):
+                i, j = np.divmod(flat[at : at + PAIRS], len(ids))
+                keep(part[i], j, score[i, j])
+            continue
         flat = np.flatnonzero(alive)
         for at in range(0, len(flat), PAIRS):
             i, j = np.divmod(flat[at : at + PAIRS], len(ids))
-            for q_stats, c_stats in zip(queries.stats[1:], cand.stats[1:], strict=True):
+            for q_stats, c_stats in zip(queries.stats[level:], cand.stats[level:], strict=True):
                 with np.errstate(over="ignore", invalid="ignore"):
                     finer = np.einsum("ij,ij->i", q_stats[part[i]], c_stats[j])
-                ok = ~(finer + margin[i] < best.least[numbers[part[i]]])
+                ok = ~(finer < best.least[numbers[part[i]]] - margin[i])
                 i, j = i[ok], j[ok]
             keep(part[i], j)
 
@@ -191,7 +213,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, query_bytes: in
     meets those of its own length, also of length 0 (score 0). A query never meets rows with its vec_id. Queries without
     vec_id aren't asked; candidates without one come last among equal scores. Every candidate row counts, repeated ones too;
     a query row that repeats another counts once, and rows of one vec_id with different vectors are queries of their own,
-    each with ranks from 1. Scores beyond a long are cut to its range. Empty tables give an empty result; other columns are
+    each with ranks from 1. Scores beyond a long are cut to its range before they are ranked. Empty tables give an empty result; other columns are
     ignored. At most query_bytes of queries (and never less than one) are broadcast at once; each such block scans the
     candidates once more.
     """
