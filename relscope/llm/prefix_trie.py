@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from relscope.llm.common import Scratch, ranked, read
 
 #: Conversations of a block; blocks whose rests one task of the next level solves; ids of a piece of a node's list.
-BLOCK, FAN, PIECE = 4096, 256, 4096
+BLOCK, FAN, PIECE = 512, 256, 4096
 #: A conversation keeps up to MOST_SHARED - 1 first turns of the one whose id is rounded down to ROUND.
 ROUND, MOST_SHARED = 100, 6
 DIGEST = 16
