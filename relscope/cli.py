@@ -71,7 +71,7 @@ def emit(spark: SparkSession, m: M.Model, a: argparse.Namespace) -> int:
         drift = views.drift(sinks.read_model(spark, a.baseline), m)
     sinks.write_site(m, a.out, max(10, a.max_nodes), drift)
     if a.sarif:
-        sinks.write_json(sinks.sarif(m), a.sarif)
+        sinks.write_sarif(m, a.sarif)
     gates = rules.tripped(rules.scorecard(m), [g.strip() for g in a.fail_on.split(",") if g.strip()])
     for g in gates:
         print(f"gate tripped: {g}", file=sys.stderr)
@@ -105,7 +105,8 @@ def run(a: argparse.Namespace) -> int:
             raise ValueError(f"{a.folder}: no such folder")
         patterns = scripts.load_config(a.config, ".", a.folder).exclude_patterns + a.exclude_pattern
         name = os.path.basename(os.path.abspath(a.folder)) or "project"
-        return emit(spark, M.build(scripts.folder(spark, a.folder, a.exclude, a.dialect), patterns, name, a.folder), a)
+        units, problems = scripts.read_folder(spark, a.folder, a.exclude, a.dialect)
+        return emit(spark, M.build(units, patterns, name, a.folder, problems), a)
     if a.verb == "connect":
         from datetime import datetime, timezone
 

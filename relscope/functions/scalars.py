@@ -342,3 +342,11 @@ def is_temp_name(name: Column) -> Column:
 def bad_name(name: Column) -> Column:
     """Whether a name has a space or begins with a digit."""
     return name.rlike(r" |^\p{Nd}")
+
+
+def decoded(data: bytes) -> str:
+    """A file's text by its byte order mark, else UTF-8; for use in tasks."""
+    for mark, name in ((b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")):
+        if data.startswith(mark):
+            return data[len(mark) :].decode(name, "replace")
+    return data.decode("utf-8", "replace")

@@ -5,9 +5,12 @@ An edge points from the dependent to what it depends on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relscope.operators import graph_sets
 from relscope.operators.lineage import cut
 
 DEPTH_CAP = 32
@@ -47,49 +50,43 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = DEPTH_CAP) -> Da
 
 def reach(edges: DataFrame, seeds: DataFrame, forward: bool = True, max_depth: int | None = None) -> DataFrame:
     """(seed, id, depth): what each seed reaches along its outgoing (or incoming) edges, itself left out; seeds (seed)."""
-    step = edges.select("src", "dst") if forward else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    step = cut(step.where("src <> '' and dst <> ''" if dict(step.dtypes)["src"] == "string" else "src is not null and dst is not null").distinct())
-    seen = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        new = frontier.join(step, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = _grown(seen, frontier, depth)
-    return seen.where("depth > 0")
+    return graph_sets.closures(edges, seeds, forward, max_depth, words=1).pairs()
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
-    """Ids of a shortest directed path; [start] if both are equal, [] if there is none. Ties go to the smaller parent."""
-    if start == goal:
-        return [start]
-    spark = edges.sparkSession
-    step = cut(edges.where("dst <> ''").select("src", "dst").distinct())
-    levels = [spark.createDataFrame([(start, None)], "id string, parent string")]
-    seen = levels[0].select("id")
-    while True:
-        new = levels[-1].select("id").join(step, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")
-        level = cut(new)
-        if level.isEmpty():
-            return []
-        levels.append(level)
-        if not level.where(F.col("id") == goal).isEmpty():
-            break
-        seen = _grown(seen, level.select("id"), len(levels))
-    path = [goal]
-    for level in reversed(levels[1:]):  # one row a level
-        path.append(level.where(F.col("id") == path[-1]).first()["parent"])
-    return path[::-1]
+    """Ids of a shortest directed path; [start] if both are equal, [] if there is none. Ties as in shortest_paths."""
+    pairs = edges.sparkSession.createDataFrame([(start, goal)], "start string, goal string")
+    return [r["id"] for r in graph_sets.shortest_paths(edges, pairs).orderBy("step").select("id").collect()]  # one row a step
+
+
+#: Steps that a search goes along single edges before shortcuts are laid.
+PLAIN_STEPS = 6
+
+
+def shortcuts(edges: DataFrame) -> DataFrame:
+    """(src, dst): where 2, 4, 8, ... steps lead along one chosen outgoing edge of each node, and along one incoming edge.
+
+    Each doubling is a join of the pointers with themselves; there are as many as the longest path can need.
+    """
+    n = edges.select("src").distinct().count()
+    found = []
+    for near, far in (("src", "dst"), ("dst", "src")):
+        pointer = cut(edges.groupBy(F.col(near).alias("at")).agg(F.min(far).alias("to")))
+        for _ in range(max(0, n - 1).bit_length()):
+            pointer = cut(pointer.join(pointer.toDF("to", "further"), "to").select("at", F.col("further").alias("to")).where("at <> to"))
+            found.append(pointer.toDF(near, far).select("src", "dst"))
+            if pointer.isEmpty():
+                break
+    return reduce(DataFrame.union, found).distinct()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(component_id, id, size) of the strongly connected components of two or more nodes; component_id is the least id.
 
     Forward and backward colouring: nodes without a predecessor or successor are trimmed; then the least id that can
-    reach a node colours it, and the nodes of a colour that reach their root back within the colour are a component.
-    Found components leave the graph, and the rest goes round again.
+    reach a node colours it, and the nodes of a colour that reach their root back are its component. Found components leave
+    the graph, and the rest goes round again. A search that isn't done after PLAIN_STEPS steps goes on with shortcuts, which
+    double in length, so a cycle or chain of n nodes takes about log n steps.
     """
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found: DataFrame | None = None
@@ -104,24 +101,35 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         if not n:
             break
-        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")))
+        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")).withColumn("moved", F.lit(True)))
+        wide, steps = left, 0
         while True:
-            pushed = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            after = cut(colour.join(pushed, "id", "left").select("id", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
-            moved = not after.where("moved").isEmpty()
-            colour = after.select("id", "colour")
-            if not moved:
+            pushed = wide.join(colour.where("moved").select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
+            colour = cut(colour.drop("moved").join(pushed, "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("moved")))
+            steps += 1
+            if colour.where("moved").isEmpty():
                 break
-        inside = left.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b")
+            if steps == PLAIN_STEPS:
+                wide = cut(left.union(shortcuts(left)))
+                colour = cut(colour.withColumn("moved", F.lit(True)))  # all push once along the shortcuts
+        colour = colour.select("id", "colour")
+        # whoever is of a colour and reaches its root is in the root's component, whatever way the shortcut took
+        inside = wide.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b")
         inside = cut(inside.select("src", "dst", F.col("a").alias("colour")))
         member = cut(colour.where("id = colour"))
-        frontier = member
+        frontier, steps = member, 0
         while True:
             new = inside.join(frontier.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
             frontier = cut(new.join(member, ["id", "colour"], "left_anti"))
             if frontier.isEmpty():
                 break
-            member = cut(member.union(frontier.select("id", "colour")))
+            steps += 1
+            member = _grown(member, frontier.select("id", "colour"), steps)
+            if steps == PLAIN_STEPS and wide is left:
+                more = shortcuts(inside.select("src", "dst")).join(colour.toDF("src", "colour"), "src")
+                inside = cut(inside.union(more.select("src", "dst", "colour")))
+                frontier = member
+        member = cut(member)
         found = member if found is None else found.union(member)
         gone = member.select("id")
         left = cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
@@ -157,14 +165,7 @@ def neighbours(edges: DataFrame, anchors: DataFrame, forward: bool = True) -> Da
 
 
 def neighbourhood(edges: DataFrame, centre: str, hops: int = 1, direction: str = "both", cap: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, depth, degree) within hops of the centre and the edges between them; the centre always stays, the rest
-    by degree, at most cap."""
-    spark = edges.sparkSession
-    one = edges.select("src", "dst").distinct()
-    back = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ways = {"out": one, "in": back, "both": one.union(back)}[direction]
-    got = reach(ways, spark.createDataFrame([(centre,)], "seed string"), True, hops).select("id", "depth").union(spark.createDataFrame([(centre, 0)], "id string, depth int"))
-    degree = one.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    nodes = cut(got.join(degree, "id", "left").na.fill(0, ["degree"]).orderBy((F.col("depth") > 0).cast("int"), F.desc("degree"), "id").limit(cap))
-    ids = nodes.select("id")
-    return nodes, one.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+    """Nodes (id, depth, degree) within hops of the centre, at most cap, and the edges (src, dst) that the search went along."""
+    kinds = edges if "kind" in edges.columns else edges.withColumn("kind", F.lit(""))
+    nodes = cut(graph_sets.neighbourhoods(kinds, edges.sparkSession.createDataFrame([(centre,)], "centre string"), hops, direction, cap))
+    return nodes.select("id", "depth", "degree"), graph_sets.neighbourhood_edges(kinds, nodes, hops, direction).select("src", "dst").distinct()

@@ -118,8 +118,11 @@ def parse_scripts(units: DataFrame) -> DataFrame:
     return units.select("rel_path", "content", "dialect").mapInPandas(run, schema)
 
 
-def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "project", source_path: str = "") -> Model:
-    """The resolved model of scripts (rel_path, content, dialect), without runtime counters and findings."""
+def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "project", source_path: str = "", problems: DataFrame | None = None) -> Model:
+    """The resolved model of scripts (rel_path, content, dialect), without runtime counters and findings.
+
+    problems (message) are what the source couldn't read; they come first among the diagnostics.
+    """
     spark = units.sparkSession
     facts = cut(parse_scripts(units))
     size = S.utf8_bytes(F.col("content"))
@@ -133,6 +136,7 @@ def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "proje
     fks = files.select(F.explode("foreign_keys").alias("f")).select("f.*")
     deps = files.select(F.explode("dependencies").alias("d")).select("d.*")
     notes = files.select("rel_path", F.explode("diagnostics").alias("message")).orderBy("rel_path").select("message")
+    notes = notes if problems is None else problems.union(notes)
     if exclude:
         gone = R.excluded(raw, exclude)
         fks = R.not_touching(fks, gone, ["from_object_id", "to_object_id"])
@@ -208,6 +212,6 @@ def normalized(model: Model) -> Model:
     stats = model.object_stats.groupBy("object_id").agg(*[F.sum(c).alias(c) for c in model.object_stats.columns[1:]])
     notes = R.dropped_duplicates(model.objects, ["id"], order).select(F.concat(F.lit("duplicate object "), F.col("id"), F.lit("; the first one is kept")).alias("message"))
     return replace(
-        model, objects=R.keep_first(model.objects, ["id"], order), object_stats=stats, index_stats=R.keep_first(model.index_stats, ["object_id", "index_name"], ["user_updates", "user_seeks"]),
+        model, objects=R.keep_first(model.objects, ["id"], order), object_stats=stats, index_stats=R.in_order(model.index_stats, ["object_id", "index_name"]),
         missing_indexes=R.keep_first(model.missing_indexes, ["object_id", "equality_columns", "inequality_columns", "included_columns"], ["impact_score"]), diagnostics=model.diagnostics.unionByName(notes),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relscope.operators import graph as G
+from relscope.operators import graph_sets
 from relscope.operators import relational as R
 
 # Other names of the forms.
@@ -66,7 +67,7 @@ def query(nodes: DataFrame, edges: DataFrame, text: str, strict: bool = True) ->
         ids = G.neighbours(edges, anchors, form == "imports")
     elif form in ("reaches", "reachedby"):
         forward = (form == "reaches") != (not strict and given in ("affects", "affectedby"))
-        ids = G.reach(edges, anchors.toDF("seed"), forward).where("id <> seed").select("id").distinct()
+        ids = graph_sets.closures(edges, anchors.toDF("seed"), forward).pairs().where("id <> seed").select("id").distinct()
     else:
         raise ValueError(f"unknown form: {given}")
     return by_path(nodes.join(ids, "id", "left_semi"))

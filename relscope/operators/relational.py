@@ -93,17 +93,24 @@ def infer_relationships(columns: DataFrame, tables: DataFrame, declared: DataFra
 def index_pairs(indexes: DataFrame, table: str = "object_id", name: str = "name", keys: str = "key_columns") -> DataFrame:
     """(object_id, first, second, relation): pairs of a table's indexes with identical keys or one a prefix of the other.
 
-    Pairs share their first key column, so the join is an equi-join on table and that column.
+    Each index gives a hash of its whole key and one of each shorter prefix; a whole key meets the equal whole keys and
+    prefixes of its table, so rows are joined in proportion to the pairs found, however many indexes share a first column.
+    What meets is compared by the columns themselves.
     """
-    rows = indexes.where(F.size(keys) > 0).select(F.col(table).alias("object_id"), F.col(name).alias("n"), F.col(keys).alias("k"), F.lower(F.col(keys)[0]).alias("head"))
-    a, b = rows.select("object_id", "head", F.col("n").alias("first"), F.col("k").alias("ka")), rows.select("object_id", "head", F.col("n").alias("second"), F.col("k").alias("kb"))
-    same, prefix = S.same_columns(F.col("ka"), F.col("kb")), S.is_prefix(F.col("ka"), F.col("kb")) | S.is_prefix(F.col("kb"), F.col("ka"))
-    return a.join(b, ["object_id", "head"]).where((F.col("first") < F.col("second")) & (same | prefix)).select("object_id", "first", "second", F.when(same, "identical").otherwise("prefix").alias("relation"))
+    rows = indexes.where(F.size(keys) > 0).select(F.col(table).alias("object_id"), F.col(name).alias("n"), F.col(keys).alias("k")).withColumn("low", S.lowered(F.col("k")))
+    ends = F.sequence(F.lit(1), F.size("low"))
+    marks = F.transform(ends, lambda i: F.struct(F.xxhash64(F.slice("low", F.lit(1), i)).alias("h"), (i == F.size("low")).alias("whole")))
+    marked = rows.select("object_id", "n", "k", F.explode(marks).alias("m")).select("object_id", "n", "k", "m.*")
+    short = marked.where("whole").select("object_id", "h", F.col("n").alias("na"), F.col("k").alias("ka"))
+    long = marked.select("object_id", "h", F.col("n").alias("nb"), F.col("k").alias("kb"), "whole")
+    same, prefix = S.same_columns(F.col("ka"), F.col("kb")), S.is_prefix(F.col("ka"), F.col("kb"))
+    met = short.join(long, ["object_id", "h"]).where((F.col("whole") & (F.col("na") < F.col("nb")) & same) | (~F.col("whole") & (F.col("na") != F.col("nb")) & prefix))
+    return met.select("object_id", F.least("na", "nb").alias("first"), F.greatest("na", "nb").alias("second"), F.when(F.col("whole"), "identical").otherwise("prefix").alias("relation"))
 
 
 def unused_indexes(static: DataFrame, usage: DataFrame) -> DataFrame:
     """Static indexes (object_id, name, is_primary_key, is_disabled) that runtime counters never saw read."""
-    first = keep_first(usage, ["object_id", "index_name"], ["user_updates", "user_seeks"])
+    first = in_order(usage, ["object_id", "index_name"])
     hit = first.where(S.is_unused(F.col("user_seeks"), F.col("user_scans"), F.col("user_lookups"), F.col("user_updates")))
     joined = static.where("not is_primary_key and not is_disabled").join(hit.withColumnRenamed("index_name", "name"), ["object_id", "name"])
     return joined.select("object_id", "name", "user_updates")
@@ -208,29 +215,56 @@ def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in rows.columns])
 
 
+def in_order(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row of each key in the order in which the rows come, as from a list or a file."""
+    return keep_first(rows.withColumn("__at", F.monotonically_increasing_id()), keys, ["__at"]).drop("__at")
+
+
 def dropped_duplicates(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows that keep_first leaves out, by position among equals: all but one of equal rows are left out too."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
 
 
+def value_at(rows: DataFrame, value: str, place: int) -> object:
+    """The value at `place` (from 1) of the descending order of a numeric column, nulls left out; None beyond its end.
+
+    Radix selection: values become unsigned 64-bit keys of the same order; a pass counts the keys of the range that is left
+    by their next 16 bits and keeps one of the 65,536 cells, so four passes of small aggregates find the key exactly.
+    """
+    kind = dict(rows.dtypes)[value]
+    top = F.lit(-(1 << 63))
+    if kind in ("float", "double"):
+        # the bits of a double rise with it if those of negative numbers are turned over; -0.0 counts as 0.0
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double") + F.lit(0.0)).cast("long")
+        key = F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(top))
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        key = F.col(value).cast("long").bitwiseXOR(top)
+    else:
+        raise ValueError(f"{value} is {kind}, not a whole or floating number")
+    keyed = rows.where(F.col(value).isNotNull()).select(key.alias("__key"), F.col(value).alias("__v"))
+    left, found = place, 0
+    for shift in (48, 32, 16, 0):
+        cell = F.shiftrightunsigned("__key", shift).bitwiseAND(0xFFFF)
+        inside = keyed if shift == 48 else keyed.where(F.shiftrightunsigned("__key", shift + 16) == found)
+        counts = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"))
+        for r in counts.orderBy(F.desc("c")).collect():  # 65,536 rows at most
+            if r["n"] >= left:
+                found = (found << 16) | r["c"]
+                break
+            left -= r["n"]
+        else:
+            return None
+    exact = found - (1 << 64) if found >= 1 << 63 else found
+    return keyed.where(F.col("__key") == exact).agg(F.max("__v")).first()[0]
+
+
 def hot_rows(rows: DataFrame, value: str) -> DataFrame:
     """Rows whose value reaches the one at place max(1, n div 10) of the descending order; of fewer than 20 rows, the maximum."""
-    n = rows.count()
+    n = rows.where(F.col(value).isNotNull()).count()
     if not n:
-        return rows
-    place = max(1, n // 10)
-    # values with their counts in ranges, written so that the ranges stay as they are; a range's sum is one row
-    ranges = rows.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n")).repartitionByRange(F.desc("__v")).withColumn("__p", F.spark_partition_id())
-    ranges = cut(ranges)
-    above = 0
-    for r in ranges.groupBy("__p").agg(F.sum("__n").alias("n"), F.max("__v").alias("top")).orderBy(F.desc("top")).collect():
-        if above + r["n"] >= place:
-            break
-        above += r["n"]
-    running = F.sum("__n").over(Window.orderBy(F.desc("__v")))  # over the values of one range
-    reached = ranges.where(F.col("__p") == r["__p"]).withColumn("__reach", running).where(F.col("__reach") >= place - above).agg(F.max("__v").alias("v")).first()["v"]
-    return rows.where(F.col(value) >= F.lit(reached))
+        return rows.limit(0)
+    return rows.where(F.col(value) >= F.lit(value_at(rows, value, max(1, n // 10))))
 
 
 def heat_buckets(rows: DataFrame, value: str, buckets: int = 5) -> DataFrame:

@@ -15,6 +15,8 @@ from relscope.operators.model import Model, dialect_loc
 
 # Thresholds of the activity report.
 FRAGMENTED_PERCENT, IMPACT_SCORE, BACKUP_DAYS = 30.0, 10_000.0, 7
+# Names that a search for an object suggests.
+SUGGESTIONS = 20
 # Kinds that the dependency diagram draws.
 DRAWN_KINDS = ["read", "insert", "update", "delete", "exec", "fk", "fk-cascade"]
 
@@ -33,7 +35,7 @@ def coupling(m: Model) -> DataFrame:
 
 def nodes(m: Model) -> DataFrame:
     """The graph's nodes: id, schema, path, kind, loc, cog, fan_in, fan_out, execs (-1 where unknown), href."""
-    ran = m.object_stats.groupBy(F.col("object_id").alias("id")).agg(F.max("execution_count").alias("execs"))
+    ran = R.in_order(m.object_stats, ["object_id"]).select(F.col("object_id").alias("id"), F.col("execution_count").alias("execs"))
     loc = F.when(F.col("statement_count") > 0, F.col("statement_count")).otherwise(S.count_lines(F.col("body")))
     own = m.objects.select("id", "schema", F.concat_ws(".", "schema", "name").alias("path"), "kind", loc.alias("loc"), F.col("cyclomatic").alias("cog"), F.concat(F.lit("object.html?id="), S.uri_escape(F.col("id"))).alias("href"))
     return own.join(fan(m), "id", "left").join(ran, "id", "left").na.fill(-1, ["execs"])
@@ -48,14 +50,24 @@ def overview(m: Model) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("tile"), F.col(c).alias("value")) for c in row.columns])).alias("t")).select("t.*")
 
 
+def grade(m: Model) -> str:
+    """The overall grade that the overview shows."""
+    return rules.STATUS[rules.overall(rules.scorecard(m)).first()["status"]]
+
+
+def diagnostics(m: Model, k: int = 50) -> DataFrame:
+    """The first k diagnostics, as the overview lists them, in the order in which they were made."""
+    return m.diagnostics.limit(k)
+
+
 def dialect_mix(m: Model) -> DataFrame:
     return R.share_of_total(dialect_loc(m.files), "dialect", "loc").orderBy(F.desc("total"), "dialect")
 
 
 def objects(m: Model) -> DataFrame:
-    own = m.objects.join(fan(m), "id").join(m.files.select(F.col("slug").alias("defined_in_slug"), "rel_path"), "defined_in_slug", "left")
+    own = m.objects.join(fan(m), "id").join(m.files.select(F.col("slug").alias("defined_in_slug"), "rel_path", "parsed_cleanly"), "defined_in_slug", "left")
     has_key = F.when(F.col("kind") == "table", F.size("primary_key") > 0)
-    return own.select("schema", "name", "kind", has_key.alias("has_primary_key"), F.size("columns").alias("columns"), "fan_in", "fan_out", "purpose", "rel_path").orderBy(F.lower("schema"), F.lower("name"), "kind")
+    return own.select("schema", "name", "kind", has_key.alias("has_primary_key"), F.size("columns").alias("columns"), "fan_in", "fan_out", "purpose", "rel_path", F.coalesce(~F.col("parsed_cleanly"), F.lit(False)).alias("shallow")).orderBy(F.lower("schema"), F.lower("name"), "kind")
 
 
 def domains(m: Model) -> tuple[DataFrame, DataFrame]:
@@ -91,10 +103,10 @@ def find_object(m: Model, text: str) -> tuple[str | None, list[str]]:
     wanted = spark.range(1).select(S.normalize_id(F.lit(schema), F.lit(name)).alias("w")).first()["w"]
     if not m.objects.where(F.col("id") == wanted).isEmpty():
         return wanted, []
-    named = [r["id"] for r in m.objects.where(F.lower("name") == text.lower()).select("id").orderBy("id").limit(10).collect()]
+    named = [r["id"] for r in m.objects.where(F.lower("name") == text.lower()).select("id").orderBy("id").limit(SUGGESTIONS).collect()]
     if len(named) == 1:
         return named[0], []
-    return None, named or [r["id"] for r in R.search_rows(m.objects, "id", name).select("id").orderBy("id").limit(10).collect()]
+    return None, named or [r["id"] for r in R.search_rows(m.objects, "id", name).select("id").orderBy("id").limit(SUGGESTIONS).collect()]
 
 
 def lint(m: Model) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,8 @@ from relscope.sources import scripts
 # Object types that count, and server errors that mean a missing permission.
 TYPE_CODES = ["U", "V", "P", "FN", "IF", "TF", "TR"]
 DENIED = (297, 300)
+# The SQLSTATE of a missing permission, with further digits on some servers.
+DENIED_STATE = "4250"
 
 ROWS = {
     "objects": "schema string, name string, type_code string",
@@ -46,10 +48,37 @@ FUNCTIONS = {
 }
 
 
-def jdbc_tables(spark: SparkSession, url: str, timeout: int = 30, **options: str) -> Tables:
-    """System tables over a read-only JDBC session; the timeout is held between 1 and 600 s."""
-    base = {"url": url + ";applicationIntent=ReadOnly", "queryTimeout": str(min(600, max(1, timeout))), "sessionInitStatement": "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"} | options
-    return lambda name: spark.read.format("jdbc").options(**base).option("dbtable", FUNCTIONS.get(name, name)).load()
+#: Columns by whose ranges a system table is read in parallel.
+RANGE_COLUMNS = {
+    "sys.objects": "object_id", "sys.columns": "object_id", "sys.indexes": "object_id", "sys.index_columns": "object_id", "sys.sql_modules": "object_id", "sys.stats": "object_id", "sys.dm_db_partition_stats": "object_id",
+    "sys.dm_db_index_usage_stats": "object_id", "sys.foreign_key_columns": "constraint_object_id", "sys.foreign_keys": "object_id", "sys.key_constraints": "parent_object_id",
+}
+
+
+def jdbc_tables(spark: SparkSession, url: str, timeout: int = 30, partitions: int = 1, names: Callable[[str], str] | None = None, **options: str) -> Tables:
+    """System tables over a read-only JDBC session; the timeout is held between 1 and 600 s.
+
+    With several partitions a table of RANGE_COLUMNS is read by as many queries, each over a range of its column between the
+    bounds that the server gives; filters and column lists go to the server either way. names turns a name into the one that
+    the server has; options override those of the session.
+    """
+    base = {"url": url, "queryTimeout": str(min(600, max(1, timeout)))}
+    if url.startswith("jdbc:sqlserver:"):
+        base |= {"url": url + ";applicationIntent=ReadOnly", "sessionInitStatement": "SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED"}
+    base |= options
+    ask = lambda: spark.read.format("jdbc").options(**base)
+
+    def read(name: str) -> DataFrame:
+        source = names(name) if names else FUNCTIONS.get(name, name)
+        column = RANGE_COLUMNS.get(name)
+        if partitions > 1 and column:
+            bounds = ask().option("dbtable", source).load().agg(F.min(column), F.max(column)).first()  # Spark has the server aggregate
+            if bounds[0] is not None and bounds[1] > bounds[0]:
+                ranged = {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
+                return ask().options(**ranged).option("dbtable", source).load()
+        return ask().option("dbtable", source).load()
+
+    return read
 
 
 def _named(t: Tables) -> DataFrame:
@@ -142,22 +171,38 @@ def missing_indexes(t: Tables, database_id: int) -> DataFrame:
     return g.select("schema", "table", text("equality_columns"), text("inequality_columns"), text("included_columns"), score.alias("impact_score"))
 
 
-def error_codes(error: Exception) -> set[int]:
-    """The server's error numbers of a failed read: those that the JVM's exceptions carry, or that their text names."""
-    found: set[int] = set()
+def _causes(error: Exception):
     cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
     for _ in range(20):
         if cause is None:
-            break
+            return
+        yield cause
+        cause = cause.getCause()
+
+
+def error_codes(error: Exception) -> set[int]:
+    """The server's error numbers of a failed read: those that the JVM's exceptions carry, or that their text names."""
+    found: set[int] = set()
+    for cause in _causes(error):
         try:
             found.add(int(cause.getErrorCode()))
         except Exception:  # noqa: BLE001  not an SQL exception: only its cause may be one
             pass
-        cause = cause.getCause()
     said = re.findall(r"error(?:\s*code)?\s*[:=]?\s*\(?(\d+)|permission (?:was )?denied \((\d+)\)", str(error), re.I)
     return found | {int(a or b) for a, b in said}
 
 
+def sql_states(error: Exception) -> set[str]:
+    """The SQLSTATEs of a failed read, which servers other than the first kind tell a missing permission by."""
+    found: set[str] = set()
+    for cause in _causes(error):
+        try:
+            found.add(str(cause.getSQLState()))
+        except Exception:  # noqa: BLE001
+            pass
+    return found
+
+
 def allowed(spark: SparkSession, query: Callable[[], DataFrame], schema: str) -> tuple[DataFrame, bool]:
     """The rows of a query and True, or no rows and False if the server denies them; other errors go on."""
     try:
@@ -165,7 +210,7 @@ def allowed(spark: SparkSession, query: Callable[[], DataFrame], schema: str) ->
         df.take(1)
         return df, True
     except (PySparkException, Py4JJavaError) as e:
-        if error_codes(e) & set(DENIED):
+        if error_codes(e) & set(DENIED) or any(x.startswith(DENIED_STATE) for x in sql_states(e)):
             return spark.createDataFrame([], schema), False
         raise
 

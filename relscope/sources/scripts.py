@@ -11,14 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relscope.functions import scalars as S
-
-# File extensions that are read and folders that are not.
-EXTENSIONS = ["sql", "ddl", "tsql", "psql"]
-SKIPPED_FOLDERS = [".git", "bin", "obj", "node_modules"]
-
+from relscope.sources import script_source
+from relscope.sources.script_source import EXTENSIONS, SKIPPED_FOLDERS
 
 def folder(spark: SparkSession, root: str, skip: Sequence[str] = (), dialect: str | None = None) -> DataFrame:
-    """Scripts below root, by relative path; unreadable files are left out. Only files of these extensions are read."""
+    """Scripts below root in a store that only Spark reads; unreadable files are left out without a word (see read_folder)."""
     any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", f"*.{{{any_case}}}").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -32,6 +29,13 @@ def folder(spark: SparkSession, root: str, skip: Sequence[str] = (), dialect: st
     return kept.select("rel_path", text.alias("content")).withColumn("dialect", S.detect_dialect(F.col("content"), dialect))
 
 
+def read_folder(spark: SparkSession, root: str, skip: Sequence[str] = (), dialect: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The scripts below root as units (rel_path, content, dialect), and (message) for each folder or file that can't be read."""
+    rows = script_source.read(spark, root, skip)
+    found = rows.where("problem is null").select("rel_path", "content").withColumn("dialect", S.detect_dialect(F.col("content"), dialect))
+    return found, rows.where("problem is not null").orderBy("rel_path").select(F.col("problem").alias("message"))
+
+
 def units(spark: SparkSession, rows: Sequence[tuple[str, str]], dialect: str | None = None) -> DataFrame:
     """Scripts given as (path, text)."""
     return spark.createDataFrame(list(rows), "rel_path string, content string").withColumn("dialect", S.detect_dialect(F.col("content"), dialect))

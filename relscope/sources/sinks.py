@@ -1,6 +1,7 @@
 """Sinks of a model: JSON documents, SARIF, diff reports, diagrams, assets and a static site.
 
-These write one small document each; tables of any size are written as Parquet by `write_parquet`.
+What grows with the model is written from partitions (see `documents`); diagrams and reports of one question are capped or
+small and made in the driver. Tables are written as Parquet by `write_parquet`.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ import hashlib
 import html
 import json
 import os
+import tempfile
 from dataclasses import replace
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relscope.functions import scalars as S
 from relscope.operators import graph as G
@@ -22,6 +24,7 @@ from relscope.operators import relational as R
 from relscope.operators import rules, views
 from relscope.operators.rules import RULES
 from relscope.operators.model import Model
+from relscope.sources import documents
 
 
 def camel(name: str) -> str:
@@ -46,13 +49,27 @@ ORDERS = {
 }
 
 
+def _camel_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(camel(f.name), _camel_type(f.dataType), True) for f in kind])
+    return T.ArrayType(_camel_type(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+
+
+def _camel_rows(df: DataFrame) -> DataFrame:
+    """(text): rows as JSON objects with camel-case keys at all depths."""
+    return documents.json_rows(df, *[F.col(f.name).cast(_camel_type(f.dataType)).alias(camel(f.name)) for f in df.schema])
+
+
+def _list(name: str, rows: DataFrame) -> list[str | DataFrame]:
+    return [f"{json.dumps(name)}:[\n", rows, "\n]"]
+
+
 def write_model(m: Model, path: str) -> None:
-    """One JSON document: a model of scripts fits the driver; use write_parquet for more."""
-    doc = {camel(k): v for k, v in m.meta.items()}
-    for name, order in ORDERS.items():
-        doc[camel(name)] = [_keyed(r.asDict(recursive=True), camel) for r in getattr(m, name).orderBy(*order).collect()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=2, ensure_ascii=False)
+    """One JSON document, its rows written by the tasks that have them."""
+    pieces: list[str | DataFrame] = ["{" + "".join(f"{json.dumps(camel(k))}:{json.dumps(v, ensure_ascii=False)},\n" for k, v in m.meta.items())]
+    for i, (name, order) in enumerate(ORDERS.items()):
+        pieces += [",\n" if i else "", *_list(camel(name), _camel_rows(getattr(m, name).orderBy(*order)))]
+    documents.join(path, *pieces, "}\n", separator=",\n")
 
 
 def read_model(spark: SparkSession, path: str) -> Model:
@@ -74,19 +91,29 @@ def read_parquet(spark: SparkSession, folder: str, **meta) -> Model:
     return replace(M.empty_model(spark, **meta), **{name: spark.read.parquet(f"{folder}/{name}") for name in M.TABLES})
 
 
-def sarif(m: Model) -> dict:
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/Schemata/sarif-schema-2.1.0.json"
+
+
+def write_sarif(m: Model, path: str) -> None:
+    """The findings as a SARIF 2.1.0 log, written from partitions; the driver sees the ids of the rules that found something."""
     files = R.keep_first(m.files.select("slug", "rel_path"), ["slug"], ["rel_path"])
-    rows = m.findings.join(files, "slug", "left").withColumn("level", S.sarif_level(F.col("severity"))).orderBy("severity", "rule_id", "object_id", "message").collect()
-    results = []
-    for r in rows:
-        one = {"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}}
-        if r["rel_path"] is not None:
-            one["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": r["rel_path"]}, "region": {"startLine": max(1, r["line"])}}}]
-        results.append(one)
+    rows = m.findings.join(files, "slug", "left").orderBy("severity", "rule_id", "object_id", "message")
+    place = F.struct(F.struct(F.col("rel_path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.lit(1), "line").alias("startLine")).alias("region"))
+    places = F.when(F.col("rel_path").isNotNull(), F.array(F.struct(place.alias("physicalLocation"))))
+    results = rows.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), S.sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), places.alias("locations"))).alias("text"))
     known = {r.id: r for r in RULES}
     told = lambda i: {"id": i} | ({"shortDescription": {"text": known[i].title}, "fullDescription": {"text": known[i].why}, "help": {"text": known[i].remedy}} if i in known else {})
-    tool = {"driver": {"name": "relscope", "rules": [told(i) for i in sorted({r["rule_id"] for r in rows})]}}
-    return {"$schema": "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/Schemata/sarif-schema-2.1.0.json", "version": "2.1.0", "runs": [{"tool": tool, "results": results}]}
+    ids = sorted(r["rule_id"] for r in m.findings.select("rule_id").distinct().collect())  # as many as there are rules
+    head = {"$schema": SARIF_SCHEMA, "version": "2.1.0"}
+    tool = {"driver": {"name": "relscope", "rules": [told(i) for i in ids]}}
+    documents.join(path, json.dumps(head)[:-1] + ', "runs":[{"tool":' + json.dumps(tool, ensure_ascii=False) + ', "results":[\n', results, "\n]}]}\n", separator=",\n")
+
+
+def sarif(m: Model) -> dict:
+    """The log as an object, for models whose findings fit the driver."""
+    with tempfile.TemporaryDirectory() as folder:
+        write_sarif(m, f"{folder}/log.sarif")
+        return json.load(open(f"{folder}/log.sarif", encoding="utf-8"))
 
 
 def write_json(value, path: str, prefix: str = "", suffix: str = "") -> None:
@@ -125,8 +152,8 @@ def diff_html(changes: DataFrame, baseline: set[str] = frozenset()) -> str:
 
 
 def write_baseline(changes: DataFrame, path: str) -> None:
-    keys = [r["key"] for r in R.change_keys(changes).select("key").distinct().orderBy("key").collect()]
-    write_json(keys, path)
+    keys = R.change_keys(changes).select("key").distinct().orderBy("key")
+    documents.join(path, "[\n", keys.select(F.to_json(F.struct("key")).alias("j")).select(F.regexp_extract("j", r'^\{"key":(.*)\}$', 1).alias("text")), "\n]\n", separator=",\n")
 
 
 def read_baseline(path: str) -> set[str]:
@@ -200,18 +227,43 @@ def dependency_diagram(m: Model, max_nodes: int = 60) -> str:
     return "\n".join([*out, *([f"%% showing {len(shown)} of {n} objects (most-connected first)"] if len(shown) < n else [])]) + "\n"
 
 
+def graph_rows(m: Model) -> tuple[DataFrame, DataFrame]:
+    """(text) of the graph's nodes and of its edges, each in order."""
+    nodes = views.nodes(m).orderBy("id")
+    own = {"id": "id", "label": "path", "path": "path", "folder": "schema", "lang": "kind", "loc": "loc", "cog": "cog", "fanIn": "fan_in", "fanOut": "fan_out", "href": "href", "execs": "execs"}
+    edges = m.edges.orderBy("src", "dst", "kind")
+    return documents.json_rows(nodes, *[F.col(c).alias(k) for k, c in own.items()]), documents.json_rows(edges, F.col("src").alias("source"), F.col("dst").alias("target"), "kind")
+
+
+def write_graph(m: Model, path: str, prefix: str = "", suffix: str = "") -> None:
+    nodes, edges = graph_rows(m)
+    documents.join(path, prefix + "{", *_list("nodes", nodes), ",", *_list("edges", edges), "}" + suffix, separator=",\n")
+
+
 def graph_payload(m: Model) -> dict:
-    rows = views.nodes(m).orderBy("id").collect()
-    nodes = [{"id": r["id"], "label": r["path"], "path": r["path"], "folder": r["schema"], "lang": r["kind"], "loc": r["loc"], "cog": r["cog"], "fanIn": r["fan_in"], "fanOut": r["fan_out"], "href": r["href"], "execs": r["execs"]} for r in rows]
-    edges = [{"source": r["src"], "target": r["dst"], "kind": r["kind"]} for r in m.edges.orderBy("src", "dst", "kind").collect()]
-    return {"nodes": nodes, "edges": edges}
+    """The graph as an object, for models that fit the driver."""
+    nodes, edges = graph_rows(m)
+    return {"nodes": [json.loads(r["text"]) for r in nodes.collect()], "edges": [json.loads(r["text"]) for r in edges.collect()]}
 
 
-def object_details(m: Model) -> dict:
+def detail_rows(m: Model) -> DataFrame:
+    """(id, text): what an object's panel shows, as JSON."""
     found = m.findings.groupBy(F.col("object_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("severity", "rule_id", "title", "message"))).alias("findings"))
     columns = F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["data_type"].alias("type"), c["nullable"].alias("nullable"), F.array_contains(S.lowered(F.col("primary_key")), F.lower(c["name"])).alias("pk")))
-    rows = m.objects.join(found, "id", "left").select("id", "kind", "purpose", "defined_in_slug", columns.alias("columns"), "findings").orderBy("id").collect()
-    return {r["id"]: _keyed(r.asDict(recursive=True) | {"findings": [f.asDict() for f in r["findings"] or []], "file": f"files/{r['defined_in_slug']}.html"}, camel) for r in rows}
+    told = F.coalesce(F.transform("findings", lambda f: F.struct(f["severity"].alias("severity"), f["rule_id"].alias("ruleId"), f["title"].alias("title"), f["message"].alias("message"))), F.array().cast("array<struct<severity:int,ruleId:string,title:string,message:string>>"))
+    slug = F.col("defined_in_slug")
+    body = F.struct("id", "kind", "purpose", slug.alias("definedInSlug"), columns.alias("columns"), told.alias("findings"), F.concat(F.lit("files/"), slug, F.lit(".html")).alias("file"))
+    return m.objects.join(found, "id", "left").orderBy("id").select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("text"))
+
+
+def object_details(m: Model) -> dict:
+    """The panels as an object, for models that fit the driver."""
+    return {r["id"]: json.loads(r["text"]) for r in detail_rows(m).collect()}
+
+
+def write_details(m: Model, path: str) -> None:
+    name = F.regexp_extract(F.to_json(F.struct("id")), r'^\{"id":(.*)\}$', 1)
+    documents.join(path, "window.OBJECTS={\n", detail_rows(m).select(F.concat(name, F.lit(":"), "text").alias("text")), "\n};", separator=",\n")
 
 
 def impact_report(m: Model, object_id: str) -> str:
@@ -224,39 +276,47 @@ def impact_report(m: Model, object_id: str) -> str:
     return "\n".join(out) + "\n"
 
 
-def _table(df: DataFrame, limit: int = 1000) -> str:
-    e = lambda v: html.escape("" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v))
-    rows = df.limit(limit).collect()
-    head = "".join(f"<th>{e(c)}</th>" for c in df.columns)
-    return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
+def _page(title: str, *body: str | DataFrame) -> list[str | DataFrame]:
+    return [f"<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>", *body, "</body></html>"]
+
+
+def _file_pages(m: Model) -> DataFrame:
+    """(path, text): the page of each script with its objects."""
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), S.html_encode(F.coalesce(F.col(c), F.lit(""))), F.lit("</td>")) for c in ("id", "kind", "purpose")], F.lit("</tr>"))
+    own = m.objects.groupBy(F.col("defined_in_slug").alias("slug")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("defined_at_line", "id", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    title, purpose = S.html_encode(F.col("rel_path")), S.html_encode(F.col("purpose"))
+    text = F.concat(
+        F.lit("<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>"), title, F.lit("</title></head><body><h1>"), title, F.lit("</h1><p>"), purpose,
+        F.lit("</p><table><tr><th>id</th><th>kind</th><th>purpose</th></tr>\n"), F.coalesce("rows", F.lit("")), F.lit("</table></body></html>"),
+    )
+    return m.files.select("slug", "rel_path", "purpose").join(own, "slug", "left").select(F.concat(F.lit("files/"), S.uri_escape(F.col("slug")), F.lit(".html")).alias("path"), text.alias("text"))
 
 
 def write_site(m: Model, out: str, max_nodes: int = 60, drift: DataFrame | None = None) -> list[str]:
-    """A page for each report and each file, with the assets; returns the names of the pages."""
-    page = lambda title, body: f"<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>"
-    pre = lambda text: f"<pre class=mermaid>{html.escape(text)}</pre>"
+    """A page for each report and each file, with the assets; returns the names of the pages.
+
+    Tables are whole and written by tasks; only the capped diagrams are made in the driver.
+    """
+    pre = lambda text: [f"<pre class=mermaid>{html.escape(text)}</pre>"]
     domain_counts, cross = views.domains(m)
     matrix, blind = views.crud(m)
     bands, findings = views.lint(m)
-    many = lambda d: "".join(f"<h2>{k}</h2>{_table(v)}" for k, v in d.items())
+    table = documents.table
+    many = lambda d: [x for k, v in d.items() for x in (f"<h2>{k}</h2>", *table(v))]
+    grade = views.grade(m)
     pages = {
-        "index": _table(views.overview(m)) + _table(views.dialect_mix(m)) + _table(m.diagnostics, 50), "objects": _table(views.objects(m)), "domains": _table(domain_counts) + _table(cross), "er": pre(er_diagram(m, max_nodes)),
-        "dependencies": pre(dependency_diagram(m, max_nodes)), "relationships": pre(inferred_diagram(m, max_nodes)) + _table(views.relationships(m)), "crud": _table(matrix) + _table(blind), "lint": _table(bands) + _table(findings),
-        "scorecard": _table(rules.scorecard(m)), "metrics": many(views.metrics(m)), "activity": many(views.activity(m)), "indexes": many(views.indexes(m)), "config": _table(views.secrets(m)),
-        "drift": diff_html(drift) if drift is not None else "<p>No baseline was given.</p>",
+        "index": [f"<p class=grade>Overall grade: {grade}</p>", *table(views.overview(m)), *table(views.dialect_mix(m)), *table(views.diagnostics(m))], "objects": table(views.objects(m)), "domains": [*table(domain_counts), *table(cross)],
+        "er": pre(er_diagram(m, max_nodes)), "dependencies": pre(dependency_diagram(m, max_nodes)), "relationships": [*pre(inferred_diagram(m, max_nodes)), *table(views.relationships(m))], "crud": [*table(matrix), *table(blind)],
+        "lint": [*table(bands), *table(findings)], "scorecard": table(rules.scorecard(m)), "metrics": many(views.metrics(m)), "activity": many(views.activity(m)), "indexes": many(views.indexes(m)), "config": table(views.secrets(m)),
+        "drift": [diff_html(drift)] if drift is not None else ["<p>No baseline was given.</p>"],
     }
-    os.makedirs(os.path.join(out, "files"), exist_ok=True)
     for name, body in pages.items():
-        with open(os.path.join(out, f"{name}.html"), "w", encoding="utf-8") as f:
-            f.write(page(name.title(), body))
-    for r in m.files.select("slug", "rel_path", "purpose").collect():
-        own = m.objects.where(F.col("defined_in_slug") == r["slug"]).select("id", "kind", "purpose")
-        with open(os.path.join(out, "files", quote(r["slug"], safe="") + ".html"), "w", encoding="utf-8") as f:
-            f.write(page(r["rel_path"], f"<p>{html.escape(r['purpose'])}</p>" + _table(own)))
-    write_json([list(r) for r in views.search_index(m).collect()], os.path.join(out, "assets", "search-index.js"), "window.SEARCH_INDEX=", ";")
-    payload = graph_payload(m)
-    write_json(payload, os.path.join(out, "graph.json"))
-    write_json(payload, os.path.join(out, "assets", "graph-data.js"), "window.GRAPH=", ";")
-    write_json(object_details(m), os.path.join(out, "assets", "object-details.js"), "window.OBJECTS=", ";")
+        documents.join(os.path.join(out, f"{name}.html"), *_page(name.title(), *body))
+    documents.write_files(_file_pages(m), out)
+    entry = F.to_json(F.array("kind", "name", "detail", "href")).alias("text")
+    documents.join(os.path.join(out, "assets", "search-index.js"), "window.SEARCH_INDEX=[\n", views.search_index(m).select(entry), "\n];", separator=",\n")
+    write_graph(m, os.path.join(out, "graph.json"))
+    write_graph(m, os.path.join(out, "assets", "graph-data.js"), "window.GRAPH=", ";")
+    write_details(m, os.path.join(out, "assets", "object-details.js"))
     write_model(m, os.path.join(out, "model.json"))
     return sorted(pages)

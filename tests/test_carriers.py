@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from relscope.plans import carriers, script_carriers  # noqa: F401  (registers its queries with carriers)
+from relscope.plans import carriers, script_carriers, set_carriers  # noqa: F401  (registers its queries with carriers)
 
 SF = "/root/testdata/sf0.001"
 
