@@ -61,6 +61,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
 
 #: Steps that a search goes along single edges before shortcuts are laid.
 PLAIN_STEPS = 6
+#: Edges up to which a graph is trimmed to the end, as a step of that costs less than a search.
+FEW = 10_000
 
 
 def shortcuts(edges: DataFrame) -> DataFrame:
@@ -83,61 +85,53 @@ def shortcuts(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(component_id, id, size) of the strongly connected components of two or more nodes; component_id is the least id.
 
-    Forward and backward colouring: nodes without a predecessor or successor are trimmed; then the least id that can
-    reach a node colours it, and the nodes of a colour that reach their root back are its component. Found components leave
-    the graph, and the rest goes round again. A search that isn't done after PLAIN_STEPS steps goes on with shortcuts, which
-    double in length, so a cycle or chain of n nodes takes about log n steps.
+    Nodes without a predecessor or successor are trimmed while that takes a fair share away. Then the nodes get labels in
+    random order, and each learns the least label that reaches it and the least that it reaches. Where both are the same, the
+    nodes of that label are a component. The rest goes on along edges between nodes that agree in both, as a component's
+    nodes do; random labels cut it into pieces that shrink by shares, so about log n rounds do. A search that isn't done
+    after PLAIN_STEPS steps goes on with shortcuts, which double in length, so a cycle or chain of n nodes takes about log n
+    steps.
     """
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found: DataFrame | None = None
-    n = left.count()
+    n, rounds = left.count(), 0
     while True:
-        while n:  # trim, while that takes a fair share away; colouring takes the rest
+        while n:
             before = n
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
             left = cut(kept.select("src", "dst"))
             n = left.count()
-            if n > 0.95 * before:
+            if n > 0.95 * before and (n > FEW or n == before):
                 break
         if not n:
             break
-        colour = cut(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")).withColumn("moved", F.lit(True)))
+        # after the shuffle of distinct nodes stand in the order of their hashes, which has nothing to do with the edges
+        dealt = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("f", F.monotonically_increasing_id())
+        state = cut(dealt.select("id", "f", F.col("f").alias("b"), F.lit(True).alias("moved")))
         wide, steps = left, 0
         while True:
-            pushed = wide.join(colour.where("moved").select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            colour = cut(colour.drop("moved").join(pushed, "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("moved")))
+            pushing = state.where("moved")
+            ahead = wide.join(pushing.select(F.col("id").alias("src"), "f"), "src").select(F.col("dst").alias("id"), "f", F.lit(None).cast("long").alias("b"))
+            behind = wide.join(pushing.select(F.col("id").alias("dst"), "b"), "dst").select(F.col("src").alias("id"), F.lit(None).cast("long").alias("f"), "b")
+            came = ahead.union(behind).groupBy("id").agg(F.min("f").alias("cf"), F.min("b").alias("cb"))
+            moved = F.coalesce(F.col("cf") < F.col("f"), F.lit(False)) | F.coalesce(F.col("cb") < F.col("b"), F.lit(False))
+            state = cut(state.drop("moved").join(came, "id", "left").select("id", F.least("f", "cf").alias("f"), F.least("b", "cb").alias("b"), moved.alias("moved")))
             steps += 1
-            if colour.where("moved").isEmpty():
+            if state.where("moved").isEmpty():
                 break
             if steps == PLAIN_STEPS:
-                wide = cut(left.union(shortcuts(left)))
-                colour = cut(colour.withColumn("moved", F.lit(True)))  # all push once along the shortcuts
-        colour = colour.select("id", "colour")
-        # whoever is of a colour and reaches its root is in the root's component, whatever way the shortcut took
-        inside = wide.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b")
-        inside = cut(inside.select("src", "dst", F.col("a").alias("colour")))
-        member = cut(colour.where("id = colour"))
-        frontier, steps = member, 0
-        while True:
-            new = inside.join(frontier.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-            frontier = cut(new.join(member, ["id", "colour"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            steps += 1
-            member = _grown(member, frontier.select("id", "colour"), steps)
-            if steps == PLAIN_STEPS and wide is left:
-                more = shortcuts(inside.select("src", "dst")).join(colour.toDF("src", "colour"), "src")
-                inside = cut(inside.union(more.select("src", "dst", "colour")))
-                frontier = member
-        member = cut(member)
-        found = member if found is None else found.union(member)
-        gone = member.select("id")
-        left = cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
-        n = left.count()
+                wide = cut(left.union(shortcuts(left)).distinct())
+                state = cut(state.withColumn("moved", F.lit(True)))  # all push once along the shortcuts
+        member = cut(state.where("f = b").select("id", F.col("f").alias("label")))
+        found = member.withColumn("round", F.lit(rounds)) if found is None else found.union(member.withColumn("round", F.lit(rounds)))
+        rest = state.where("f <> b")
+        agreed = left.join(rest.select(F.col("id").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs")), "src").join(rest.select(F.col("id").alias("dst"), F.col("f").alias("fd"), F.col("b").alias("bd")), "dst")
+        left = cut(agreed.where("fs = fd and bs = bd").select("src", "dst"))
+        n, rounds = left.count(), rounds + 1
     if found is None:
         return left.select(F.col("src").alias("component_id"), F.col("src").alias("id"), F.lit(0).cast("long").alias("size")).limit(0)
-    sizes = found.groupBy("colour").agg(F.count("*").alias("size")).where("size > 1")
-    return found.join(sizes, "colour").select(F.col("colour").alias("component_id"), "id", "size")
+    sizes = found.groupBy("round", "label").agg(F.min("id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
+    return found.join(sizes, ["round", "label"]).select("component_id", "id", "size")
 
 
 def cycles(edges: DataFrame, limit: int = 100, shown: int = 12) -> DataFrame:

@@ -9,6 +9,7 @@ files each. Paths are URIs of any file system that pyarrow knows, or local paths
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -37,6 +38,17 @@ class Files(InputPartition):
     problems: list[tuple[str, str]]
 
 
+@dataclass
+class Entry:
+    """A file or folder as a listing shows it."""
+
+    path: str
+    name: str
+    folder: bool
+    size: int | None
+    problem: str = ""
+
+
 class ScriptFolder(DataSource):
     """Options: path; skip and extensions, comma-separated; files and bytes of a partition."""
 
@@ -89,8 +101,16 @@ class ScriptReader(DataSourceReader):
                 return False
         return True
 
-    def entries(self, store: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
-        return store.get_file_info(pafs.FileSelector(folder, recursive=False))
+    def entries(self, store: pafs.FileSystem, folder: str) -> list[Entry]:
+        if not isinstance(store, pafs.LocalFileSystem):
+            return [Entry(i.path, i.base_name, i.type == pafs.FileType.Directory, i.size) for i in store.get_file_info(pafs.FileSelector(folder, recursive=False))]
+        found = []
+        for e in os.scandir(folder):  # shows links to nothing, too
+            try:
+                found.append(Entry(e.path, e.name, e.is_dir(), e.stat().st_size))
+            except OSError as why:
+                found.append(Entry(e.path, e.name, False, None, str(why)))
+        return found
 
     def partitions(self) -> list[Files]:
         store, base = opened(self.root)
@@ -99,7 +119,7 @@ class ScriptReader(DataSourceReader):
         found: list[tuple[str, str, int]] = []
         problems: list[tuple[str, str]] = []
 
-        def look(folder: tuple[str, str]) -> list[pafs.FileInfo] | Exception:
+        def look(folder: tuple[str, str]) -> list[Entry] | Exception:
             try:
                 return self.entries(store, folder[0])
             except OSError as e:
@@ -114,13 +134,13 @@ class ScriptReader(DataSourceReader):
                         problems.append((rel or ".", f"Could not read directory {rel or '.'}: {got}"))
                         continue
                     for info in got:
-                        path = f"{rel}/{info.base_name}" if rel else info.base_name
-                        if info.type == pafs.FileType.Directory:
-                            if info.base_name.lower() not in self.skip and self.may_hold(path):
+                        path = f"{rel}/{info.name}" if rel else info.name
+                        if info.folder:
+                            if info.name.lower() not in self.skip and self.may_hold(path):
                                 below.append((info.path, path))
-                        elif "." in info.base_name and info.base_name.rpartition(".")[2].lower() in self.extensions:
-                            if info.type == pafs.FileType.NotFound:  # a link to nothing
-                                problems.append((path, f"Could not stat {path}: no such file"))
+                        elif "." in info.name and info.name.rpartition(".")[2].lower() in self.extensions:
+                            if info.problem:
+                                problems.append((path, f"Could not stat {path}: {info.problem}"))
                             else:
                                 found.append((info.path, path, info.size or 0))
                 level = below
