@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from relscope.llm.common import ASCII_LOWER, in_share, read
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
-#: Training sample: rows a language, rows at most in all, bytes of a text that is drawn; passes, learning rate, seed.
-PER_LANGUAGE, SAMPLE, MOST_BYTES, EPOCHS, RATE, SEED = 150, 4000, 1 << 15, 6, 0.01, 5
+#: Training sample: rows a language, rows at most in all; texts up to MOST_BYTES are preferred, and longer ones taken while a
+#: language's texts are together at most LANGUAGE_BYTES, its first text whatever its length; passes, learning rate, seed.
+PER_LANGUAGE, SAMPLE, MOST_BYTES, LANGUAGE_BYTES, EPOCHS, RATE, SEED = 150, 4000, 1 << 15, 150 << 15, 6, 0.01, 5
 #: Windows that one forward pass handles.
 BATCH = 512
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -181,20 +182,27 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Train on whole texts of rows that are not held out and have a language.
 
     Of every language as many rows are drawn, by a hash of the id: per_language, or fewer where there are so many languages
-    that they would be more than `sample` in all. Texts above MOST_BYTES are not drawn, which bounds what the driver gets.
+    that they would be more than `sample` in all. Texts up to MOST_BYTES come first, then longer ones by size, so a language
+    of long texts only is taught by its shortest ones; LANGUAGE_BYTES bound what the driver gets of each. Held-out rows,
+    their languages included, have no part in any of this.
     """
-    known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l is not null")
+    known = docs.where(~held_out(doc_id, 5, 0)).select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("l is not null")
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
     each = max(1, min(per_language, sample // len(counts)))
     # a little more than the share that fills a language's part, so that tasks send few rows
     share = docs.sparkSession.createDataFrame([(x, 3.0 * each / n) for x, n in counts.items()], "l string, share double")
-    order = F.xxhash64(F.lit(SEED), F.col("id"))
-    rows = known.where(~held_out("id", 5, 0) & (F.octet_length("t") <= MOST_BYTES) & F.col("t").rlike(r"\p{L}")).withColumn("o", order)
+    rows = known.where(F.col("t").rlike(r"\p{L}")).withColumn("o", F.xxhash64(F.lit(SEED), F.col("id")))
     some = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "l").where(in_share(F.col("o"), F.col("share")))
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("o", "t"))).where(F.col("rank") <= each)
-    got = ranked.select("o", "l", "t").orderBy("o", "l", "t").limit(sample + len(counts)).collect()
+    # rows are chosen by their sizes alone; their texts are read for what was chosen
+    size = F.octet_length("t")
+    by = [F.when(size > MOST_BYTES, size).otherwise(0), "o", "h"]
+    sized = some.withColumn("h", F.xxhash64("t")).select("l", "o", "h", size.alias("n"), by[0].alias("long"))
+    order = Window.partitionBy("l").orderBy("long", "o", "h")
+    ranked = sized.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = ranked.where((F.col("rank") == 1) | (F.col("sum") <= LANGUAGE_BYTES)).select("l", "o", "h").distinct()
+    got = some.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "o", "h"]).select("o", "l", "t").orderBy("o", "l", "t").limit(sample + len(counts)).collect()
     return train([r["t"] for r in got], [r["l"] for r in got])
 
 

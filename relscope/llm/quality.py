@@ -22,8 +22,9 @@ from relscope.llm.passage_tokens import word_hashes
 
 #: Bytes of a passage; hidden and attention sizes.
 PASSAGE, HIDDEN, GATE = 600, 16, 8
-#: Labelled documents at most, bytes of a document that is drawn, passes, rate, seed.
-SAMPLE, MOST_BYTES, EPOCHS, RATE, SEED = 6000, 1 << 15, 40, 0.01, 3
+#: Labelled documents at most; texts up to MOST_BYTES are preferred, and all drawn texts of a label are together at most
+#: LABEL_BYTES, the first whatever its length; passes, rate, seed.
+SAMPLE, MOST_BYTES, LABEL_BYTES, EPOCHS, RATE, SEED = 6000, 1 << 15, 96 << 20, 40, 0.01, 3
 #: Buckets of hashed words, and passages that are described at once.
 BUCKETS, AT_ONCE = 64, 800
 
@@ -146,14 +147,23 @@ def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
     """Train on at most `sample` labelled documents that are not held out, chosen by a hash of the id, with all passages.
 
-    Texts above MOST_BYTES are not drawn, so what reaches the driver is bounded; null texts are drawn as empty ones.
+    Texts up to MOST_BYTES come first, then longer ones by size, while those of a label are at most LABEL_BYTES; the first of
+    a label is taken whatever its length, so long texts teach where there are no others. Null texts are drawn as empty ones.
     """
     rows = labels.where(~held_out(doc_id, 3, 1) & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     order = F.xxhash64(F.lit(SEED), F.col(doc_id))
-    some = rows.where(in_share(order, 2 * sample / max(1, labels.count())))
+    some = rows.where(in_share(order, 2 * sample / max(1, rows.count())))
     chosen = some.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("y"), order.alias("__o")).orderBy("__o", "y").limit(sample)
-    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= MOST_BYTES)
-    found = texts.join(F.broadcast(chosen), "__id").orderBy("__o", "y", "t").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # what is drawn is settled by sizes alone, a row a drawn document
+    sizes = texts.join(F.broadcast(chosen), "__id").select("__id", "y", "__o", F.octet_length("t").alias("n")).orderBy("__o", "y", "n").limit(sample).collect()
+    spent, ids = {0: 0, 1: 0}, {}
+    for r in sorted(sizes, key=lambda r: (r["n"] if r["n"] > MOST_BYTES else 0, r["__o"], r["y"], r["n"])):
+        if not spent[r["y"]] or spent[r["y"]] + r["n"] <= LABEL_BYTES:
+            spent[r["y"]] += r["n"] + 1
+            ids[(r["__id"], r["y"], r["__o"])] = max(r["n"], ids.get((r["__id"], r["y"], r["__o"]), 0))
+    drawn = docs.sparkSession.createDataFrame([(*k, n) for k, n in ids.items()], "__id long, y int, __o long, most int")
+    found = texts.join(F.broadcast(drawn), "__id").where(F.octet_length("t") <= F.col("most")).orderBy("__o", "y", "t").limit(sample)
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

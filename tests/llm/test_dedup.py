@@ -361,6 +361,26 @@ def test_passage_with_older_half_similar_variants(spark, n):
     assert abs(got[51, 50]["start_word"] - 70) <= 12 and abs(got[51, 50]["n_words"] - 60) <= 24
 
 
+@pytest.mark.parametrize("n", [30, 200])
+def test_passages_behind_many_older_variants(spark, n):
+    """Later near copies are found however many variants below the similarity came before them."""
+    rng, rows, groups = random.Random(n), [], 20
+    for g in range(groups):
+        p = passage(900_000 + 1000 * n + g, 60)
+        for i in range(n):
+            at = set(rng.sample(range(60), 2))
+            rows.append((g * 1000 + i, [*filler(10**6 + g * 1000 + i, 10), *[f"v{i}x{j}" if j in at else w for j, w in enumerate(p)], *filler(2 * 10**6 + g * 1000 + i, 10)]))
+        near = p.copy()
+        near[rng.randrange(8, 52)] = "changed"
+        q = [f"g{g}{w}" if j % 10 == 3 else w for j, w in enumerate(p)]  # far from all variants
+        near_q = q.copy()
+        near_q[rng.randrange(8, 52)] = "changed"
+        rows += [(g * 1000 + 998, [*filler(3 * 10**6 + g, 20), *q]), (g * 1000 + 999, [*filler(4 * 10**6 + g, 30), *near_q])]
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], DOCS)
+    got = {(r["doc_id"], r["first_doc_id"]) for r in substring_dedup.repeated_passages(df).where("doc_id % 1000 = 999").collect()}
+    assert sum((g * 1000 + 999, g * 1000 + 998) in got for g in range(groups)) >= 0.95 * groups
+
+
 @pytest.mark.parametrize("n", [50, 60, 90])
 def test_recall_of_passages_with_a_changed_word(spark, n):
     """At 50 words one changed word leaves a similarity of 0.80, the threshold."""

@@ -276,3 +276,34 @@ def test_token_table(spark, counter):
     n = lambda t: len(counter.tok.encode(t, add_special_tokens=False).ids)
     assert got == [("1", 19, n(rows[0][1]), False)] * 2 + [("2", 0, 0, False), ("3", 0, 0, False), ("None", 1200, n("é " * 400), n("é " * 400) > 512)]
     assert K.token_counts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_long_texts_teach_where_there_are_no_others(spark):
+    """Languages and labels of which only texts above the preferred length are known."""
+    from pyspark.sql import functions as F
+
+    from relscope.llm import language_id, quality
+
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["zwischen", "würde", "größe", "über"]}
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words[lang], k=7000)), lang) for i in range(24) for lang in [("aa", "bb")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert df.where(F.octet_length("text") <= language_id.MOST_BYTES).count() == 0
+    got = language_id.languages(df).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == [r[2] for r in rows]
+    labels = spark.createDataFrame([(r[0], int(r[2] == "aa"), 0) for r in rows], "doc_id long, quality int, toxic int")
+    scores = {r["doc_id"]: r for r in quality.quality(df, labels).collect()}
+    assert all(scores[r[0]]["predicted"] == int(r[2] == "aa") for r in rows)
+
+
+def test_held_out_languages_have_no_part(spark):
+    import zlib
+
+    from relscope.llm import language_id
+
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, "eins zwei drei vier", "xx" if i in out else ("de", "fr")[i % 2]) for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["de", "fr"]
+    only = language_id.languages(spark.createDataFrame([r for r in rows if r[0] in out], "doc_id long, text string, lang string"))
+    assert {r["lang_pred"] for r in only.collect()} == {"und"}
