@@ -206,13 +206,38 @@ def windows(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH, hashes: i
 BANDS, ROWS = 6, 3
 
 
-def signatures(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Rows (text number, key, from, to): the windows that start in [from, to] have the key in one of their bands."""
+def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> np.ndarray:
+    """For each token whether the window that starts there can be similar to one of another document.
+
+    common says which tokens another document has. Two similar windows share `similarity` of the tokens of either at least.
+    """
+    n = len(tokens) - width + 1
+    out = np.zeros(len(tokens), bool)
+    if n < 1:
+        return out
+    side = Side(tokens)
+    own = side.distinct(n, width)
+    lone = np.flatnonzero(~common)  # each counts once a window, at its last place in it
+    after = np.full(len(tokens), len(tokens))
+    seen = np.flatnonzero(side.before >= 0)
+    after[side.before[seen]] = seen
+    unknown = _covering(np.maximum(lone - width + 1, 0), np.minimum(np.minimum(lone, after[lone] - width), n - 1), n)
+    out[:n] = own - unknown >= similarity * own - 1e-9
+    return out
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Rows (text number, key, from, to): the windows that start in [from, to] have the key in one of their bands.
+
+    wanted says for each token whether the window that starts there counts; None: all do.
+    """
     found = []
     stops = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     n = len(tokens)
     starts = np.flatnonzero(np.arange(n) + width <= stops[owner]) if n else np.zeros(0, np.int64)
+    if wanted is not None:
+        starts = starts[wanted[starts]]
     if not len(starts):
         return np.zeros((0, 4), np.int64)
     salt = salts(HASHES + BANDS * ROWS)[HASHES:]

@@ -361,6 +361,20 @@ def test_passage_with_older_half_similar_variants(spark, n):
     assert abs(got[51, 50]["start_word"] - 70) <= 12 and abs(got[51, 50]["n_words"] - 60) <= 24
 
 
+def test_hopeful_windows_are_those_with_enough_common_tokens():
+    from relscope.llm.passage_tokens import hopeful
+
+    rng = random.Random(8)
+    for _ in range(60):
+        n, kinds = rng.randrange(1, 120), rng.choice([5, 40, 1000])
+        tokens = np.array([rng.randrange(kinds) for _ in range(n)], np.uint64)
+        shared = {t for t in set(tokens.tolist()) if rng.random() < rng.choice([0.7, 0.9])}
+        got = hopeful(tokens, np.array([t in shared for t in tokens.tolist()]), width=12)
+        for s in range(n):
+            window = set(tokens[s : s + 12].tolist())
+            assert got[s] == (s + 12 <= n and len(window & shared) >= 0.8 * len(window) - 1e-9)
+
+
 @pytest.mark.parametrize("n", [30, 200])
 def test_passages_behind_many_older_variants(spark, n):
     """Later near copies are found however many variants below the similarity came before them."""
