@@ -8,6 +8,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import webbrowser
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--fail-on", default="")
     shared.add_argument("--sarif")
     shared.add_argument("--baseline")
+    shared.add_argument("--no-open", action="store_true", help="don't show the site in a browser, as is done on a terminal")
     scan = sub.add_parser("scan", parents=[shared])
     scan.add_argument("folder")
     scan.add_argument("--exclude", action="append", default=[])
@@ -72,6 +75,8 @@ def emit(spark: SparkSession, m: M.Model, a: argparse.Namespace) -> int:
     sinks.write_site(m, a.out, max(10, a.max_nodes), drift)
     if a.sarif:
         sinks.write_sarif(m, a.sarif)
+    if sys.stdout.isatty() and not a.no_open:
+        webbrowser.open(Path(a.out, "index.html").resolve().as_uri())
     gates = rules.tripped(rules.scorecard(m), [g.strip() for g in a.fail_on.split(",") if g.strip()])
     for g in gates:
         print(f"gate tripped: {g}", file=sys.stderr)

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from relscope.functions import scalars as S
 from relscope.operators import relational as R
+from relscope.operators import search
 from relscope.operators.lineage import cut
 from relscope.sources import tsql
 
 SCHEMA_VERSION = 6
 #: Scripts above this many bytes are counted, not parsed.
 PARSE_LIMIT = 1 << 20
+#: More patterns than these are joined with the names; fewer are one condition a row.
+MANY_PATTERNS = 20
 
 COLUMN = "struct<name:string,data_type:string,nullable:boolean,is_identity:boolean,max_length:int,precision:int,scale:int,collation:string>"
 INDEX = "struct<name:string,key_columns:array<string>,included_columns:array<string>,is_unique:boolean,is_primary_key:boolean,is_clustered:boolean,is_disabled:boolean>"
@@ -138,10 +141,11 @@ def build(units: DataFrame, exclude: Sequence[str] = (), root_name: str = "proje
     notes = files.select("rel_path", F.explode("diagnostics").alias("message")).orderBy("rel_path").select("message")
     notes = notes if problems is None else problems.union(notes)
     if exclude:
-        gone = R.excluded(raw, exclude)
+        many = spark.createDataFrame([(p,) for p in exclude], "pattern string") if len(exclude) > MANY_PATTERNS else None
+        gone = R.excluded(raw, exclude) if many is None else cut(search.excluded_by(raw, many))
         fks = R.not_touching(fks, gone, ["from_object_id", "to_object_id"])
         deps = R.not_touching(deps, gone, ["from_object_id", "to_object_id"])
-        raw = R.exclude(raw, exclude)
+        raw = R.exclude(raw, exclude) if many is None else R.except_rows(raw, gone, ["id"])
         notes = notes.union(gone.agg(F.count("*").alias("n")).select(F.concat(F.lit("excluded objects: "), F.col("n").cast("string"))))
     notes = notes.union(R.dropped_duplicates(raw, ["id"], ["rel_path", "pos"]).select(F.concat(F.lit("duplicate object "), F.col("id"), F.lit(" in "), F.col("rel_path"), F.lit("; the first one is kept"))))
     raw = cut(R.keep_first(raw, ["id"], ["rel_path", "pos"]))

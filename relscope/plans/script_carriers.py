@@ -119,10 +119,22 @@ def system(spark: SparkSession, d: str) -> live.Tables:
 _MODELS: dict[tuple[str, str], M.Model] = {}
 
 
+def _readable(m: M.Model) -> bool:
+    """Whether the model's tables are still there."""
+    try:
+        m.files.take(1), m.objects.take(1)
+        return True
+    except Exception:  # noqa: BLE001  whatever makes them unreadable, they are built anew
+        return False
+
+
 def catalog(spark: SparkSession, d: str) -> M.Model:
-    """The linted model of the scripts with the counters and details of the system tables; built once a session and folder."""
+    """The linted model of the scripts with the counters and details of the system tables.
+
+    Built once an application and folder, and anew where its tables have been cleared.
+    """
     key = (spark.sparkContext.applicationId, d)
-    if key not in _MODELS:
+    if key not in _MODELS or not _readable(_MODELS[key]):
         t = system(spark, d)
         m = M.build(scripts_of(spark, d))
         got = {"proc_stats": live.proc_stats(t, 1), "index_usage": live.index_usage(t, 1), "missing_indexes": live.missing_indexes(t, 1)}
@@ -295,9 +307,9 @@ def view_overview(spark: SparkSession, d: str) -> DataFrame:
 FAN2_SQL = "fan AS (SELECT o.id, coalesce(i.n, 0) AS fan_in, coalesce(u.n, 0) AS fan_out FROM o LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM d WHERE dst <> '' GROUP BY 1) i ON o.id = i.dst LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM d WHERE dst <> '' GROUP BY 1) u ON o.id = u.src)"
 
 
-@query("view_objects", f"""WITH {EDGES_SQL}, {FAN2_SQL} SELECT sch AS schema, nm AS name, kind, CASE WHEN r = 0 THEN s % 4 <> 0 END AS has_primary_key, CAST(CASE WHEN r = 0 THEN 3 ELSE 0 END AS INTEGER) AS columns, fan_in, fan_out, 'sql/k' || k || '.sql' AS rel_path FROM o JOIN fan USING (id)""")
+@query("view_objects", f"""WITH {EDGES_SQL}, {FAN2_SQL} SELECT sch AS schema, nm AS name, kind, CASE WHEN r = 0 THEN s % 4 <> 0 END AS has_primary_key, CAST(CASE WHEN r = 0 THEN 3 ELSE 0 END AS INTEGER) AS columns, fan_in, fan_out, 'sql/k' || k || '.sql' AS rel_path, false AS shallow FROM o JOIN fan USING (id)""")
 def view_objects(spark: SparkSession, d: str) -> DataFrame:
-    return views.objects(catalog(spark, d)).select("schema", "name", "kind", "has_primary_key", "columns", "fan_in", "fan_out", "rel_path")
+    return views.objects(catalog(spark, d)).select("schema", "name", "kind", "has_primary_key", "columns", "fan_in", "fan_out", "rel_path", "shallow")
 
 
 @query("view_coupling", f"""WITH {EDGES_SQL}, {FAN2_SQL} SELECT id, fan_in, fan_out, fan_out / CAST(fan_in + fan_out AS DOUBLE) AS instability FROM fan WHERE fan_in + fan_out > 0""")

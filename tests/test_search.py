@@ -96,3 +96,15 @@ def test_drift_of_stored_snapshots(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     for n in names:
         spark.sql(f"drop table {n}")
+
+
+def test_many_patterns_exclude_as_few_do(spark):
+    from relscope.operators import model
+    from relscope.sources import scripts
+
+    units = scripts.units(spark, [("a.sql", "CREATE TABLE dbo.keep (id INT); CREATE TABLE dbo.tmp_1 (id INT)"), ("b.sql", "CREATE VIEW app.v_old AS SELECT id FROM dbo.tmp_1"), ("c.sql", "CREATE VIEW app.v AS SELECT id FROM dbo.keep")])
+    few, many = ["*tmp?1", "APP.*old"], ["*tmp?1", "APP.*old", *[f"no{i}*" for i in range(model.MANY_PATTERNS)]]
+    a, b = model.build(units, few), model.build(units, many)
+    for name in ("objects", "dependencies", "diagnostics"):
+        assert sorted(map(repr, getattr(a, name).collect())) == sorted(map(repr, getattr(b, name).collect())), name
+    assert [r["id"] for r in b.objects.orderBy("id").collect()] == ["app.v", "dbo.keep"]
