@@ -296,9 +296,13 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 MOST_PLACES, MOST_DIAGONALS = 1 << 16, 16
 
 
-def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
+def verified(
+    mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, similarity: float = SIMILARITY, equal: list[tuple[int, int]] | None = None
+) -> list[tuple[int, int, int, float]]:
     """Stretches (from, to, first from, least similarity) of mine, in tokens, each window of which has a match in first.
 
+    Stretches (from, to) of which each window has the same tokens as one of first are put into equal, if given.
+
     Every window of `width` tokens of mine is measured, as a set of tokens, against the equally long window of first on
     each diagonal that half as many tokens share as similar windows do: those are at most one edit apart, so half of what
     they share lies on one diagonal. Where tokens repeat, diagonals are tried from the most frequent one on until each window that can
@@ -374,7 +378,12 @@ def verified(mine: np.ndarray, first: np.ndarray | Side, width: int = WIDTH, sim
         sim = c / np.maximum(1, own[from_:to] + theirs[from_ + d : to + d] - c)
         up = np.flatnonzero(sim > best[from_:to]) + from_
         best[up], diagonal[up] = sim[up - from_], d
-    good = np.zeros(n + 2, np.int8)
-    good[1:-1] = best >= similarity - 1e-12
-    turns = np.flatnonzero(np.diff(good)).tolist()
-    return [(a, b - 1 + width, int(a + diagonal[a]), float(best[a:b].min())) for a, b in zip(turns[::2], turns[1::2], strict=True)]
+    if equal is not None:
+        equal += [(a, b - 1 + width) for a, b in _runs(best >= 1 - 1e-12)]
+    return [(a, b - 1 + width, int(a + diagonal[a]), float(best[a:b].min())) for a, b in _runs(best >= similarity - 1e-12)]
+
+
+def _runs(good: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges [from, to) of true places."""
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], good, [False])).astype(np.int8))).tolist()
+    return list(zip(turns[::2], turns[1::2], strict=True))

@@ -302,9 +302,12 @@ def test_every_window_is_measured():
             at = rng.randrange(len(mine))
             mine[at : at + rng.randrange(3)] = [rng.randrange(10**6) for _ in range(rng.randrange(3))]
         want, said = slow_verified(mine, first, 20, 0.8), [False] * max(0, len(mine) - 19)
-        for lo, hi, _, sim in passage_tokens.verified(np.array(mine, np.uint64), np.array(first, np.uint64), 20, 0.8):
+        equal: list = []
+        for lo, hi, _, sim in passage_tokens.verified(np.array(mine, np.uint64), np.array(first, np.uint64), 20, 0.8, equal):
             assert 0.8 <= sim <= 1
             said[lo : hi - 19] = [True] * (hi - 19 - lo)
+        same = [any(a <= i and i + 20 <= b for a, b in equal) for i in range(len(want))]
+        assert same == slow_verified(mine, first, 20, 1)
         assert all(w or not s for w, s in zip(want, said, strict=True)) and sum(want) - sum(said) <= 2
     line = [7, 8, 9, 10, 11, 12]
     (got,) = passage_tokens.verified(np.array(line * 20, np.uint64), np.array(line * 11 + [99], np.uint64), 46, 0.8)
@@ -375,6 +378,35 @@ def test_hopeful_windows_are_those_with_enough_common_tokens():
             assert got[s] == (s + 12 <= n and len(window & shared) >= 0.8 * len(window) - 1e-9)
 
 
+def test_centres_leave_out_what_an_earlier_document_has():
+    rng = random.Random(9)
+    for _ in range(40):
+        rows = [(rng.randrange(300), rng.randrange(4), rng.randrange(2)) for _ in range(rng.randrange(1, 60))]
+        same = [(a, a + rng.randrange(40)) for a in (rng.randrange(300) for _ in range(rng.randrange(5)))]
+        got = substring_dedup._centres(np.array([c << 4 | k << 1 | o for c, k, o in rows]), np.array(same, np.int64).reshape(-1, 2))
+        near = {c: {k for x, k, _ in rows if abs(x - c) < passage_tokens.WIDTH} for c, _, o in rows if o}
+        assert got.tolist() == sorted(c for c, kinds in near.items() if len(kinds) >= 2 and not any(a <= c <= b for a, b in same))
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_passages_near_a_text_with_many_copies(spark, n):
+    """A variant is found where what it is near to is the n-th copy of a text, in whole or inside other words."""
+    rng, rows, groups = random.Random(n), [], 20
+    for g in range(groups):
+        p = passage(700_000 + 1000 * n + g, 70)
+        far = [f"g{g}{w}" if j % 10 == 3 else w for j, w in enumerate(p)]
+        near = far.copy()
+        near[rng.randrange(8, 62)] = "changed"
+        rows.append((g * 1000, [*filler(10**6 + g, 10), *p, *filler(2 * 10**6 + g, 10)]))
+        for i in range(1, n):
+            around = [] if g % 2 else filler(3 * 10**6 + g * 1000 + i, 20)
+            rows.append((g * 1000 + i, [*around, *far, *around]))
+        rows.append((g * 1000 + 999, [*filler(4 * 10**6 + g, 30), *near, *filler(5 * 10**6 + g, 30)]))
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], DOCS)
+    got = {(r["doc_id"], r["first_doc_id"]) for r in substring_dedup.repeated_passages(df).where("doc_id % 1000 = 999").collect()}
+    assert sum(any(d == g * 1000 + 999 and f > g * 1000 for d, f in got) for g in range(groups)) >= 0.95 * groups
+
+
 @pytest.mark.parametrize("n", [30, 200])
 def test_passages_behind_many_older_variants(spark, n):
     """Later near copies are found however many variants below the similarity came before them."""
