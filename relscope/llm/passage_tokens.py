@@ -291,9 +291,67 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-#: Pairs of equal tokens of two stretches up to which all of them say on which diagonals to look, and diagonals that are
-#: tried where tokens repeat.
+#: Pairs of equal tokens of two stretches up to which all of them say on which diagonals to look first, and diagonals that
+#: are tried first where tokens repeat. What they leave open is compared with every window by `_best_of_all`.
 MOST_PLACES, MOST_DIAGONALS = 1 << 16, 16
+#: Cells of windows of one side and windows of the other that are counted at once.
+CELLS = 1 << 20
+
+
+def _kinds(side: Side, n: int, width: int) -> np.ndarray:
+    """A number for each of the first n windows, the same for windows of the same set of tokens (a sum of 64-bit hashes)."""
+    h = mixed(side.tokens ^ np.uint64(_BASE))
+    t = np.arange(len(h))
+    lo, hi = np.maximum(np.maximum(t - width, side.before) + 1, 0), np.minimum(t, n - 1)  # windows where it stands first
+    ok = lo <= hi
+    total = np.zeros(n + 1, np.uint64)
+    np.add.at(total, lo[ok], h[ok])
+    np.subtract.at(total, hi[ok] + 1, h[ok])
+    return np.cumsum(total[:n], dtype=np.uint64)
+
+
+def _best_of_all(side: Side, first: Side, asked: np.ndarray, own: np.ndarray, theirs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked window of side the similarity of the most similar window of first, and its place: all are compared.
+
+    Windows of the same set of tokens are one on either side, so a text that runs in circles counts each of its windows
+    once. A token that both sides have counts for the windows from after its place before to itself on either side: a
+    rectangle of pairs of windows, and the sum of those over a pair is how many tokens the two share.
+    """
+    n, m = len(side.tokens) - width + 1, len(first.tokens) - width + 1
+    _, some, back = np.unique(_kinds(side, n, width)[asked], return_index=True, return_inverse=True)
+    rows, cols = asked[some], np.sort(np.unique(_kinds(first, m, width), return_index=True)[1])
+    order = np.argsort(rows, kind="stable")
+    rows, back = rows[order], np.argsort(order, kind="stable")[back]
+
+    def held(s: Side, windows: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges [from, to) of the windows in which the tokens at t stand first."""
+        return np.searchsorted(windows, np.maximum(t - width, s.before[t]) + 1), np.searchsorted(windows, t, side="right")
+
+    left, right = held(first, cols, first.place)  # in order of value
+    kept = np.flatnonzero(left < right)
+    left, right, size = left[kept], right[kept], len(first.tokens) + 1
+    rank = first.key[kept] // size
+    best, place = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+    step = max(1, CELLS // max(len(cols), len(kept)))
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        t = np.flatnonzero(_covering(part, np.minimum(part + width, len(side.tokens)) - 1, len(side.tokens)))
+        up, down = held(side, part, t)
+        value = np.searchsorted(first.values, side.tokens[t])
+        ok = (up < down) & (value < len(first.values))
+        ok[ok] = first.values[value[ok]] == side.tokens[t[ok]]
+        up, down, value = up[ok], down[ok], value[ok]
+        begin, end = np.searchsorted(rank, value), np.searchsorted(rank, value, side="right")
+        many, other = end - begin, _ranges(begin, end)
+        shared = np.zeros((len(part) + 1, len(cols) + 1), np.int32)
+        for row, sign in ((np.repeat(up, many), 1), (np.repeat(down, many), -1)):
+            np.add.at(shared, (row, left[other]), np.int32(sign))
+            np.add.at(shared, (row, right[other]), np.int32(-sign))
+        c = shared.cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)[:-1, :-1]
+        which = (c / (own[part, None] + theirs[None, cols]).astype(np.float32)).argmax(axis=1)  # grows with the similarity
+        c, union = c[np.arange(len(part)), which], own[part] + theirs[cols[which]]
+        best[at : at + step], place[at : at + step] = c / np.maximum(1, union - c), cols[which]
+    return best[back], place[back]
 
 
 def verified(
@@ -305,8 +363,8 @@ def verified(
 
     Every window of `width` tokens of mine is measured, as a set of tokens, against the equally long window of first on
     each diagonal that half as many tokens share as similar windows do: those are at most one edit apart, so half of what
-    they share lies on one diagonal. Where tokens repeat, diagonals are tried from the most frequent one on until each window that can
-    reach the similarity has, MOST_DIAGONALS at most.
+    they share lies on one diagonal. Where tokens repeat, MOST_DIAGONALS are tried from the most frequent one on, and windows that can
+    reach the similarity and have not are compared with all windows of first.
     """
     first = first if isinstance(first, Side) else Side(first)
     n, m = len(mine) - width + 1, len(first.tokens) - width + 1
@@ -332,12 +390,12 @@ def verified(
         own = side.distinct(n, width)
         # distinct tokens of a window that first has at all, each at its first place in the window
         known = _covering(np.maximum(np.maximum(hit - width, side.before[hit]) + 1, 0), np.minimum(hit, n - 1), n)
-        wanted = known >= similarity * own - 1e-9
+        theirs = first.distinct(m, width)
+        wanted = known >= np.maximum(similarity * own, similarity / (1 + similarity) * (own + theirs.min())) - 1e-9
         if not wanted.any():
             return []
-        theirs = first.distinct(m, width)
         begin, end = np.searchsorted(first.key, at[hit] * size), np.searchsorted(first.key, (at[hit] + 1) * size)
-        if (end - begin).sum() > MOST_PLACES:  # a text that runs in circles: its outermost places will do
+        if (end - begin).sum() > MOST_PLACES:  # a text that runs in circles: its outermost places first
             shift = np.concatenate([first.place[begin] - hit, first.place[end - 1] - hit])
         else:
             shift = first.place[_ranges(begin, end)] - np.repeat(hit, end - begin)
@@ -378,6 +436,10 @@ def verified(
         sim = c / np.maximum(1, own[from_:to] + theirs[from_ + d : to + d] - c)
         up = np.flatnonzero(sim > best[from_:to]) + from_
         best[up], diagonal[up] = sim[up - from_], d
+    if not plain and len(rest := np.flatnonzero(wanted & (best < similarity - 1e-12))):
+        all_best, place = _best_of_all(side, first, rest, own, theirs, width)
+        up = all_best > best[rest]
+        best[rest[up]], diagonal[rest[up]] = all_best[up], place[up] - rest[up]
     if equal is not None:
         equal += [(a, b - 1 + width) for a, b in _runs(best >= 1 - 1e-12)]
     return [(a, b - 1 + width, int(a + diagonal[a]), float(best[a:b].min())) for a, b in _runs(best >= similarity - 1e-12)]

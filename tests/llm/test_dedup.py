@@ -314,6 +314,33 @@ def test_every_window_is_measured():
     assert got[:2] == (0, 120) and got[3] == 1
 
 
+def circling(rng, blocks, n):
+    """n blocks of a few tokens in random order, here and there with one token changed."""
+    out = []
+    for _ in range(n):
+        out += rng.choice(blocks)
+        if rng.random() < 0.2:
+            out[rng.randrange(len(out))] = rng.randrange(100, 110)
+    return out
+
+
+def test_every_window_of_circling_texts_is_measured(monkeypatch):
+    """Texts that return to the same tokens on many diagonals, against brute force, whatever is tried first."""
+    rng, similar = random.Random(5), 0
+    for turn in range(60):
+        monkeypatch.setattr(passage_tokens, "MOST_PLACES", (1 << 16, 40)[turn % 2])
+        monkeypatch.setattr(passage_tokens, "CELLS", (1 << 20, 500)[turn // 2 % 2])
+        blocks = [[rng.randrange(30) for _ in range(rng.randrange(2, 9))] for _ in range(rng.randrange(2, 12))]
+        mine, first = circling(rng, blocks, rng.randrange(10, 60)), circling(rng, blocks, rng.randrange(10, 60))
+        want, said = slow_verified(mine, first, 20, 0.8), [False] * max(0, len(mine) - 19)
+        for lo, hi, at, sim in passage_tokens.verified(np.array(mine, np.uint64), np.array(first, np.uint64), 20, 0.8):
+            assert 0.8 <= sim <= 1 and at >= 0
+            said[lo : hi - 19] = [True] * (hi - 19 - lo)
+        assert said == want
+        similar += sum(want)
+    assert similar > 1000
+
+
 def passage(seed, n=70):
     rng = random.Random(seed)
     return [f"p{seed}q{rng.randrange(10_000)}" for _ in range(n)]
