@@ -220,6 +220,18 @@ def test_balls_tiles_and_small_ids(spark, monkeypatch):
     assert got == want
 
 
+def test_links_do_not_depend_on_the_size_of_the_table(spark):
+    """1,700 pairs just above the threshold, alone and among other rows: the same links."""
+    v = np.concatenate(at_cosine(0.9001, 1700, 64, 12))
+    more = np.random.default_rng(9).standard_normal((6000, 64))
+    said = []
+    for rows in (v, np.concatenate([v, more / np.linalg.norm(more, axis=1, keepdims=True)])):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+        said.append({tuple(r) for r in embed_dedup.near_vectors(df).where("vec_id < 3400").collect()})
+    assert said[0] == said[1]
+    assert sum(r[1] for r in said[0]) > 0.98 * 3400
+
+
 def test_e8_decoding_matches_brute_force():
     rng = np.random.default_rng(4)
     x = rng.uniform(-1, 1, (300, 8))
