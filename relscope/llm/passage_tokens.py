@@ -206,10 +206,21 @@ def windows(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH, hashes: i
 BANDS, ROWS = 6, 3
 
 
-def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> np.ndarray:
+def looped(tokens: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """For each token whether it lies in a window that holds a token twice."""
+    n = len(tokens) - width + 1
+    if n < 1:
+        return np.zeros(len(tokens), bool)
+    fewer = np.flatnonzero(Side(tokens).distinct(n, width) < width)
+    return _covering(fewer, fewer + width - 1, len(tokens)) > 0
+
+
+def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY, circling: np.ndarray | None = None) -> np.ndarray:
     """For each token whether the window that starts there can be similar to one of another document.
 
     common says which tokens another document has. Two similar windows share `similarity` of the tokens of either at least.
+    circling, if given, says which of the common tokens lie anywhere in a window that holds a token twice. A window without
+    those tokens can be similar only to windows of `width` tokens, with which it must share more.
     """
     n = len(tokens) - width + 1
     out = np.zeros(len(tokens), bool)
@@ -217,12 +228,18 @@ def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similari
         return out
     side = Side(tokens)
     own = side.distinct(n, width)
-    lone = np.flatnonzero(~common)  # each counts once a window, at its last place in it
     after = np.full(len(tokens), len(tokens))
     seen = np.flatnonzero(side.before >= 0)
     after[side.before[seen]] = seen
-    unknown = _covering(np.maximum(lone - width + 1, 0), np.minimum(np.minimum(lone, after[lone] - width), n - 1), n)
-    out[:n] = own - unknown >= similarity * own - 1e-9
+
+    def shared(some: np.ndarray) -> np.ndarray:
+        lone = np.flatnonzero(~some)  # each counts once a window, at its last place in it
+        return own - _covering(np.maximum(lone - width + 1, 0), np.minimum(np.minimum(lone, after[lone] - width), n - 1), n)
+
+    if circling is None:
+        out[:n] = shared(common) >= similarity * own - 1e-9
+    else:
+        out[:n] = (shared(common) >= similarity / (1 + similarity) * (own + width) - 1e-9) | (shared(common & circling) >= similarity * own - 1e-9)
     return out
 
 
@@ -257,6 +274,14 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH, wanted
     return np.concatenate(found)
 
 
+def run_hashes(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash (a long) of the tokens of each run [begin, end), in order."""
+    size = 1 << max(len(tokens), CHUNK).bit_length()
+    up, down = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(mixed(tokens) * up[: len(tokens)], dtype=np.uint64)))
+    return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+
+
 class Side:
     """A stretch of tokens that others are compared with: its tokens in order of value, then place."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relscope.llm.common import BROADCAST_BYTES, Scratch, read, small
-from relscope.llm.passage_tokens import HASHES, MIN_WORDS, SHINGLE, SIMILARITY, WIDTH, Side, chunks, hopeful, signatures, verified, windows
+from relscope.llm.passage_tokens import HASHES, MIN_WORDS, SHINGLE, SIMILARITY, WIDTH, Side, chunks, hopeful, looped, run_hashes, signatures, verified, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST_HASHES = 2
@@ -362,8 +362,11 @@ def _stretches(given: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFram
 
 
 def _common_tokens(stretches: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, lo, near): for each stretch the places of tokens that a stretch of another document has too."""
-    schema = "token long, doc_id long, lo int, at int"
+    """(doc_id, lo, near): for each stretch the places of tokens that a stretch of another document has too.
+
+    near has a place times four, plus two if an earlier document has the token, plus one if it is looped anywhere.
+    """
+    schema = "token long, doc_id long, lo int, at int, loops int"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,40 +375,53 @@ def _common_tokens(stretches: DataFrame, scratch: Scratch) -> DataFrame:
             parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
             sizes = np.array([len(p) for p in parts])
             at = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            yield _batch(schema, np.concatenate(parts), *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), at)
+            loops = np.concatenate([looped(p.view(np.uint64)) for p in parts]).astype(np.int32)
+            yield _batch(schema, np.concatenate(parts), *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), at, loops)
 
     every = scratch.save(stretches.select("doc_id", "lo", "tokens").mapInArrow(spread, schema), "tokens")
-    common = scratch.save(every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("token"), "common-tokens")
-    return scratch.save(every.join(common.hint("shuffle_hash"), "token").groupBy("doc_id", "lo").agg(F.collect_list("at").alias("near")), "common-places")
+    common = every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("loops").alias("looped")).where("least < most")
+    common = scratch.save(common.select("token", "least", "looped"), "common-tokens")
+    packed = F.col("at") * 4 + F.when(F.col("doc_id") > F.col("least"), 2).otherwise(0) + F.col("looped")
+    return scratch.save(every.join(common.hint("shuffle_hash"), "token").groupBy("doc_id", "lo").agg(F.collect_list(packed).alias("near")), "common-places")
 
 
 def _signed(stretches: DataFrame, common: DataFrame) -> DataFrame:
-    """(joint, doc_id, c, lo, hi): the signatures of the hopeful windows of stretches; [lo, hi) holds the windows.
+    """(joint, doc_id, c, lo, hi, seeks, run): signatures of the hopeful windows of stretches; [lo, hi) holds the windows.
 
     A window of which another document lacks more than a fifth of the tokens (common has the places of the others) is similar
-    to none and has no signature: so edges of a passage that many documents share don't meet in its bands.
+    to none and has no signature: so edges of a passage that many documents share don't meet in its bands. seeks is 1 if one
+    of the windows is hopeful with the tokens of earlier documents alone: others have no earlier window to be similar to. run
+    is a hash of the tokens in [lo, hi).
     """
-    schema = "joint long, doc_id long, c int, lo int, hi int"
+    schema = "joint long, doc_id long, c int, lo int, hi int, seeks int, run long"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             parts = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(2)]
-            wanted = []
+            wanted, seeks = [], []
             for part, near in zip(parts, batch.column(3), strict=True):
-                known = np.zeros(len(part), bool)
-                known[near.values.to_numpy(zero_copy_only=False)] = True
-                wanted.append(hopeful(part, known))
+                known = np.zeros(len(part), np.int64)
+                packed = near.values.to_numpy(zero_copy_only=False)
+                known[packed >> 2] = 4 | packed & 3
+                wanted.append(hopeful(part, known > 0, circling=known & 1 > 0))
+                seeks.append(hopeful(part, known & 2 > 0, circling=known & 1 > 0))
             ids, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             ends = np.cumsum([len(p) for p in parts])
             at = 0
             while at < len(parts):  # about SIGNED tokens at once
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SIGNED)))
-                rows = signatures(np.concatenate(parts[at:to]), np.array([len(p) for p in parts[at:to]]), wanted=np.concatenate(wanted[at:to]))
+                sizes = np.array([len(p) for p in parts[at:to]])
+                tokens = np.concatenate(parts[at:to])
+                rows = signatures(tokens, sizes, wanted=np.concatenate(wanted[at:to]))
                 owner = at + rows[:, 0]
                 lo, hi = starts[owner] + rows[:, 2], starts[owner] + rows[:, 3] + WIDTH
-                yield _batch(schema, rows[:, 1], ids[owner], *(x.astype(np.int32) for x in ((lo + hi) // 2, lo, hi)))
+                before = np.concatenate(([0], np.cumsum(np.concatenate(seeks[at:to]))))
+                base = (np.cumsum(sizes) - sizes)[rows[:, 0]]
+                some = before[base + rows[:, 3] + 1] > before[base + rows[:, 2]]
+                run = run_hashes(tokens, base + rows[:, 2], base + rows[:, 3] + WIDTH)
+                yield _batch(schema, rows[:, 1], ids[owner], *(x.astype(np.int32) for x in ((lo + hi) // 2, lo, hi, some)), run)
                 at = to
 
     return stretches.join(common, ["doc_id", "lo"]).select("doc_id", "lo", "tokens", "near").mapInArrow(make, schema)
@@ -432,21 +448,29 @@ def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFra
     many = scratch.save(signed.groupBy("joint").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeated-signatures")
     # a band that returns within REACH shingles (a text that runs in circles) counts once
     place = F.floor(F.col("c") / REACH)
-    left = scratch.save(signed.join(many, "joint").groupBy("joint", "doc_id", "least", place.alias("place")).agg(F.min("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "shared-signatures")
+    runs = [F.sum(F.shiftrightunsigned("run", 24)).alias("runs"), F.max("run").alias("run")]  # tells runs of other tokens apart
+    spans = [F.min("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("seeks").alias("seeks")]
+    left = scratch.save(signed.join(many, "joint").groupBy("joint", "doc_id", "least", place.alias("place")).agg(*spans, *runs), "shared-signatures")
     scratch.drop("signatures")
-    seekers = left.where("doc_id > least").select("joint", "doc_id", "c", "lo", "hi")
-    waiting = left.select("joint", F.col("doc_id").alias("first_id"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"))
+    seekers = left.where("doc_id > least and seeks = 1").select("joint", "doc_id", "c", "lo", "hi", "runs", "run")
+    # of windows with the same tokens in a band the earliest is enough: what is similar to one is similar to all, and a later
+    # document with the same tokens meets that one first of all
+    earliest = left.groupBy("joint", "runs", "run").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("f"))
+    waiting = scratch.save(earliest.select("joint", "runs", "run", F.col("f.doc_id").alias("first_id"), F.col("f.lo").alias("first_lo"), F.col("f.hi").alias("first_hi")), "earliest-runs")
     rank = F.row_number().over(Window.partitionBy("joint").orderBy("first_id", "first_lo", "first_hi"))
     done, size, turn, tested = 0, EARLIEST, 0, None
     while True:
         seekers = scratch.save(_unsettled(seekers, found, "c"), f"seekers-{turn % 2}")
         wanted = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), f"seekers-keys-{turn % 2}")
         # of a band only the first rows of each task go over the wire
-        ranked = waiting.join(wanted, "joint").where("first_id < most").drop("most").withColumn("rank", rank)
+        ranked = waiting.drop("runs", "run").join(wanted, "joint").where("first_id < most").drop("most").withColumn("rank", rank)
         now = scratch.save(ranked.where((F.col("rank") > done) & (F.col("rank") <= done + size)).drop("rank"), f"candidates-{turn % 2}")
         if now.isEmpty():
             return
-        by_pair = seekers.join(now, "joint").where("first_id < doc_id").groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi", "first_lo", "first_hi")).alias("links"))
+        met = seekers.drop("runs", "run").join(now, "joint").where("first_id < doc_id")
+        if not turn:
+            met = met.unionByName(seekers.join(waiting, ["joint", "runs", "run"]).where("first_id < doc_id").drop("runs", "run"))
+        by_pair = met.groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi", "first_lo", "first_hi")).alias("links"))
         pairs = _regions_of(by_pair, ["lo", "hi", "first_lo", "first_hi"], merged)
         if tested is not None:
             pairs = pairs.join(tested, tested.columns, "left_anti")
