@@ -202,6 +202,8 @@ def windows(tokens: np.ndarray, sizes: np.ndarray, width: int = WIDTH, hashes: i
     return np.concatenate(found) if found else np.zeros((0, 5), np.int64)
 
 
+#: Windows whose tokens are sorted at once.
+WINDOWS = 1 << 13
 #: Bands of a window's signature and min-hashes in each: windows at the similarity share a band with 98.6 %.
 BANDS, ROWS = 6, 3
 
@@ -282,6 +284,41 @@ def run_hashes(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
 
+def rarest(
+    tokens: np.ndarray, sizes: np.ndarray, count: np.ndarray, usable: np.ndarray, circling: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY
+) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch number, token): the rarest tokens of the windows of consecutive stretches, without repeats.
+
+    count orders tokens (equal ones by their value) and is the same for a token everywhere; usable says which tokens the
+    documents have that are asked for, circling which of those lie anywhere in a window that holds a token twice. Two similar
+    windows share at least `least` tokens of each (as in `hopeful`); the first of these is among the held - least + 1 rarest
+    of the held usable tokens of either window, since what comes before it is not shared. So these are all that must meet.
+    """
+    order = np.lexsort((tokens, count))
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[order][1:] != tokens[order][:-1]
+    rank = np.empty(len(tokens), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    values = tokens[order][new]
+    packed = rank * 4 + usable * 2 + circling
+    stops, owner = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.flatnonzero(np.arange(len(tokens)) + width <= stops[owner]) if len(tokens) else np.zeros(0, np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(starts), WINDOWS):
+        part = starts[at : at + WINDOWS]
+        w = np.sort(packed[part[:, None] + np.arange(width)], axis=1)
+        own = np.ones(w.shape, bool)
+        own[:, 1:] = w[:, 1:] != w[:, :-1]
+        use, n = own & (w & 2 > 0), own.sum(axis=1)
+        loops = (use & (w & 1 > 0)).sum(axis=1) >= similarity * n - 1e-9
+        least = np.ceil(np.where(loops, similarity * n, similarity / (1 + similarity) * (n + width)) - 1e-9)
+        place = use.cumsum(axis=1)
+        row, column = np.nonzero(use & (place <= (place[:, -1] - least + 1)[:, None]))
+        found.append(np.unique(np.stack([owner[part[row]], w[row, column] >> 2], axis=1), axis=0))
+    every = np.unique(np.concatenate(found), axis=0)
+    return every[:, 0], values[every[:, 1]]
+
+
 class Side:
     """A stretch of tokens that others are compared with: its tokens in order of value, then place."""
 

@@ -8,8 +8,10 @@ pair of documents are joined by their intervals: a passage needs windows of at l
 the same diagonal, and is then verified on the 64-bit tokens: every 50-word window is measured.
 
 Windows that this leaves open (their centre lies in no passage found) are few. Those that have shared windows of several
-hash functions around them meet anew by signatures of several min-hashes and are compared with the earlier documents of
-each of their signatures' bands, the earliest first, until they are settled or none is left.
+hash functions around them meet anew by signatures of several min-hashes and are compared with the first documents of each
+of their signatures' bands. What that leaves open meets by a band and one of the rarest tokens, which any two similar windows
+have in common, and is compared with the earlier documents of each such key, the earliest first, until it is settled or none
+is left.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relscope.llm.common import BROADCAST_BYTES, Scratch, read, small
-from relscope.llm.passage_tokens import HASHES, MIN_WORDS, SHINGLE, SIMILARITY, WIDTH, Side, chunks, hopeful, looped, run_hashes, signatures, verified, windows
+from relscope.llm.common import BROADCAST_BYTES, Scratch, ranked, read, small
+from relscope.llm.passage_tokens import HASHES, MIN_WORDS, SHINGLE, SIMILARITY, WIDTH, Side, chunks, hopeful, looped, rarest, run_hashes, signatures, verified, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST_HASHES = 2
@@ -36,6 +38,9 @@ SNAP = 32
 SIGNED = 1 << 16
 #: Open windows are compared with so many documents of each of their bands first, and with GROWTH times as many each round.
 EARLIEST, GROWTH = 4, 4
+#: Bits of a place and its flags, and the count from which tokens are equally frequent.
+PLACE, MOST_COUNTED = 36, 1 << 26
+PLACE_MASK = (1 << PLACE) - 1
 
 PAIRS = "doc_id long, first_id long, lo int, hi int, first_lo int, first_hi int"
 FOUND = "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, similarity double"
@@ -364,7 +369,8 @@ def _stretches(given: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFram
 def _common_tokens(stretches: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, lo, near): for each stretch the places of tokens that a stretch of another document has too.
 
-    near has a place times four, plus two if an earlier document has the token, plus one if it is looped anywhere.
+    near has a place times eight, plus four if a later document has the token, plus two if an earlier one has it, plus one if
+    it is looped anywhere; above those PLACE bits it has how often the token occurs.
     """
     schema = "token long, doc_id long, lo int, at int, loops int"
 
@@ -379,9 +385,10 @@ def _common_tokens(stretches: DataFrame, scratch: Scratch) -> DataFrame:
             yield _batch(schema, np.concatenate(parts), *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), at, loops)
 
     every = scratch.save(stretches.select("doc_id", "lo", "tokens").mapInArrow(spread, schema), "tokens")
-    common = every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("loops").alias("looped")).where("least < most")
-    common = scratch.save(common.select("token", "least", "looped"), "common-tokens")
-    packed = F.col("at") * 4 + F.when(F.col("doc_id") > F.col("least"), 2).otherwise(0) + F.col("looped")
+    common = every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("loops").alias("looped"), F.count("*").alias("n")).where("least < most")
+    common = scratch.save(common, "common-tokens")
+    flags = F.when(F.col("doc_id") < F.col("most"), 4).otherwise(0) + F.when(F.col("doc_id") > F.col("least"), 2).otherwise(0) + F.col("looped")
+    packed = F.shiftleft(F.least("n", F.lit(MOST_COUNTED)), PLACE) + F.col("at").cast("long") * 8 + flags
     return scratch.save(every.join(common.hint("shuffle_hash"), "token").groupBy("doc_id", "lo").agg(F.collect_list(packed).alias("near")), "common-places")
 
 
@@ -404,7 +411,7 @@ def _signed(stretches: DataFrame, common: DataFrame) -> DataFrame:
             for part, near in zip(parts, batch.column(3), strict=True):
                 known = np.zeros(len(part), np.int64)
                 packed = near.values.to_numpy(zero_copy_only=False)
-                known[packed >> 2] = 4 | packed & 3
+                known[(packed & PLACE_MASK) >> 3] = 8 | packed & 7
                 wanted.append(hopeful(part, known > 0, circling=known & 1 > 0))
                 seeks.append(hopeful(part, known & 2 > 0, circling=known & 1 > 0))
             ids, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -427,23 +434,83 @@ def _signed(stretches: DataFrame, common: DataFrame) -> DataFrame:
     return stretches.join(common, ["doc_id", "lo"]).select("doc_id", "lo", "tokens", "near").mapInArrow(make, schema)
 
 
+def _rare_tokens(stretches: DataFrame, common: DataFrame, regions: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, lo, hi, seeks, rare): the rarest tokens of each of regions (doc_id, lo, hi, seeks) of stretches.
+
+    Those that an earlier document has where seeks is 1, those that a later one has where it is 0.
+    """
+    schema = "doc_id long, lo int, hi int, seeks int, rare array<long>"
+    wanted = scratch.save(regions.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "seeks")).alias("spans")), "rare-wanted")
+    size = wanted.agg(F.sum(F.size("spans") * 16 + 40)).first()[0] or 0
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, cut, n = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist(), [], 0
+            for i, (d, start) in enumerate(zip(ids, starts, strict=True)):
+                tokens, spans = np.frombuffer(batch.column(2)[i].as_buffer(), "<u8"), batch.column(4)[i].values
+                packed = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                known, count = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+                at = (packed & PLACE_MASK) >> 3
+                known[at], count[at] = packed & 7, packed >> PLACE
+                for lo, hi, seeks in zip(*(spans.field(c).to_numpy().tolist() for c in range(3)), strict=True):
+                    if start <= lo and hi <= start + len(tokens):
+                        a, b = lo - start, hi - start
+                        cut.append((d, lo, hi, seeks, tokens[a:b], count[a:b], known[a:b] & (2 if seeks else 4) > 0, known[a:b] & 1))
+                        n += b - a
+                if cut and (n >= SIGNED or i + 1 == len(ids)):
+                    *keys, tokens, count, usable, circling = zip(*cut, strict=True)
+                    sizes = np.array([len(x) for x in tokens])
+                    owner, token = rarest(np.concatenate(tokens), sizes, *map(np.concatenate, (count, usable, circling)))
+                    rare = np.split(token.view(np.int64), np.searchsorted(owner, np.arange(1, len(sizes))))
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys, kinds), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "lo", "hi", "seeks", "rare"])
+                    cut, n = [], 0
+
+    near = common.join(small(wanted.select("doc_id"), size), "doc_id", "left_semi")
+    both = stretches.join(small(wanted, size), "doc_id").join(near, ["doc_id", "lo"])
+    return scratch.save(both.select("doc_id", "lo", "tokens", "near", "spans").mapInArrow(find, schema), "rare-tokens")
+
+
+def _finer(seekers: DataFrame, waiting: DataFrame, stretches: DataFrame, common: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """seekers (joint, doc_id, c, lo, hi) and waiting (joint, first_id, first_lo, first_hi) by finer keys.
+
+    A key is a band and one of the rarest tokens of a window of the region. Similar windows of two regions of a band have one
+    in common, so no pair of regions that holds some is lost; windows that only have in common what many others have too
+    don't meet. Only what has a key of a seeker goes on waiting; waiting is ranked by idx, from 0, in each key.
+    """
+    most = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), "open-bands")
+    left = scratch.save(waiting.join(most, "joint").where("first_id < most").drop("most"), "waiting-in-bands")
+    theirs = left.select(F.col("first_id").alias("doc_id"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"), F.lit(0).alias("seeks"))
+    rare = _rare_tokens(stretches, common, seekers.select("doc_id", "lo", "hi", F.lit(1).alias("seeks")).union(theirs), scratch)
+    seekers = seekers.join(rare.where("seeks = 1").drop("seeks"), ["doc_id", "lo", "hi"])
+    seekers = scratch.save(seekers.select("joint", "doc_id", "c", "lo", "hi", F.explode("rare").alias("token")).withColumn("joint", F.xxhash64("joint", "token")).drop("token"), "finer-seekers")
+    keys = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), "finer-keys")
+    theirs = rare.where("seeks = 0").select(F.col("doc_id").alias("first_id"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"), "rare")
+    left = left.join(theirs, ["first_id", "first_lo", "first_hi"]).select("joint", "first_id", "first_lo", "first_hi", F.explode("rare").alias("token"))
+    left = left.withColumn("joint", F.xxhash64("joint", "token")).drop("token").join(keys, "joint").where("first_id < most").drop("most")
+    left = scratch.save(left, "finer-waiting")
+    return seekers, scratch.save(ranked(left, "joint", ["first_id", "first_lo", "first_hi"], scratch, "finer"), "finer-ranked")
+
+
 def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFrame, same: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
     """Further passages for windows that no passage with the first document of their key settles.
 
     Documents that have the key of such a window meet anew by the signatures of the windows around it: a band of a signature
     is several min-hashes, so windows that are far from the similarity seldom meet. What is open is compared with the first
-    EARLIEST documents of each of its bands; what a passage covers then is settled, and the rest is compared with the next
-    ones, GROWTH times as many each round, until no open window has an earlier document in a band that it was not compared
-    with. Most settle at once, and a group of r documents takes about log r rounds; no pair of a document and region is
-    verified twice.
+    EARLIEST documents of each of its bands; what a passage covers then is settled. The rest meets by finer keys (`_finer`)
+    and is compared with the first EARLIEST documents of each, then with the next ones, GROWTH times as many each round,
+    until no open window has an earlier document with a key of its own that it was not compared with. Most settle at once,
+    and a group of r documents takes about log r rounds; each candidate is read in one round, and no pair of a document and
+    region is verified twice.
     """
     rows = shared.join(first, "key").select("key", "doc_id", F.shiftright("win", 20).cast("int").alias("c"), (F.col("doc_id") > F.col("first_id")).alias("later"))
     open_keys = scratch.save(_unsettled(rows.where("later"), found, "c").select("key").distinct(), "open-keys")
     stretches = _stretches(given, _asked(shared, open_keys, same, scratch), scratch)
     for name in ("checked", "open-windows", "open-keys", "shared-windows", "first-windows", "repeated-keys", "wanted", "aligned"):
         scratch.drop(name)
-    signed = scratch.save(_signed(stretches, _common_tokens(stretches, scratch)), "signatures")
-    for name in ("tokens", "common-tokens", "common-places"):
+    common = _common_tokens(stretches, scratch)
+    signed = scratch.save(_signed(stretches, common), "signatures")
+    for name in ("tokens", "common-tokens"):
         scratch.drop(name)
     many = scratch.save(signed.groupBy("joint").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeated-signatures")
     # a band that returns within REACH shingles (a text that runs in circles) counts once
@@ -457,32 +524,45 @@ def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFra
     # document with the same tokens meets that one first of all
     earliest = left.groupBy("joint", "runs", "run").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("f"))
     waiting = scratch.save(earliest.select("joint", "runs", "run", F.col("f.doc_id").alias("first_id"), F.col("f.lo").alias("first_lo"), F.col("f.hi").alias("first_hi")), "earliest-runs")
+    seekers = scratch.save(_unsettled(seekers, found, "c"), "seekers")
+    wanted = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), "seekers-keys")
     rank = F.row_number().over(Window.partitionBy("joint").orderBy("first_id", "first_lo", "first_hi"))
-    done, size, turn, tested = 0, EARLIEST, 0, None
+    # of a band only the first rows of each task go over the wire
+    now = waiting.drop("runs", "run").join(wanted, "joint").where("first_id < most").drop("most").withColumn("rank", rank).where(F.col("rank") <= EARLIEST).drop("rank")
+    met = seekers.drop("runs", "run").join(scratch.save(now, "candidates"), "joint").where("first_id < doc_id")
+    met = met.unionByName(seekers.join(waiting, ["joint", "runs", "run"]).where("first_id < doc_id").drop("runs", "run"))
+    tested, found = _compared(met, None, stretches, scratch, 0)
+    yield found
+    seekers = scratch.save(_unsettled(seekers.drop("runs", "run"), found, "c"), "open-seekers")
+    if seekers.isEmpty():
+        return
+    seekers, waiting = _finer(seekers, waiting.drop("runs", "run"), stretches, common, scratch)
+    done, size, turn = 0, EARLIEST, 1
     while True:
-        seekers = scratch.save(_unsettled(seekers, found, "c"), f"seekers-{turn % 2}")
         wanted = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), f"seekers-keys-{turn % 2}")
-        # of a band only the first rows of each task go over the wire
-        ranked = waiting.drop("runs", "run").join(wanted, "joint").where("first_id < most").drop("most").withColumn("rank", rank)
-        now = scratch.save(ranked.where((F.col("rank") > done) & (F.col("rank") <= done + size)).drop("rank"), f"candidates-{turn % 2}")
+        now = waiting.where((F.col("idx") >= done) & (F.col("idx") < done + size)).drop("idx")
+        now = scratch.save(now.join(wanted, "joint").where("first_id < most").drop("most"), f"candidates-{turn % 2}")
         if now.isEmpty():
             return
-        met = seekers.drop("runs", "run").join(now, "joint").where("first_id < doc_id")
-        if not turn:
-            met = met.unionByName(seekers.join(waiting, ["joint", "runs", "run"]).where("first_id < doc_id").drop("runs", "run"))
-        by_pair = met.groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi", "first_lo", "first_hi")).alias("links"))
-        pairs = _regions_of(by_pair, ["lo", "hi", "first_lo", "first_hi"], merged)
-        if tested is not None:
-            pairs = pairs.join(tested, tested.columns, "left_anti")
-        pairs = scratch.save(pairs, f"later-pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        cut, n_bytes = _wanted(pairs, scratch)
-        regions = scratch.save(_cut_stretches(stretches, cut, n_bytes), "later-regions")
-        found = scratch.save(_passages(_checked(pairs, regions)), f"later-found-{turn}")
+        pairs, found = _compared(seekers.join(now, "joint").where("first_id < doc_id"), tested, stretches, scratch, turn)
         yield found
+        tested = tested.union(pairs)
+        seekers = scratch.save(_unsettled(seekers, found, "c"), f"seekers-{turn % 2}")
         done, size, turn = done + size, size * GROWTH, turn + 1
 
 
+def _compared(met: DataFrame, tested: DataFrame | None, stretches: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
+    """PAIRS of met (doc_id, lo, hi, first_id, first_lo, first_hi) that aren't in tested, and FOUND of those."""
+    by_pair = met.groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi", "first_lo", "first_hi")).alias("links"))
+    pairs = _regions_of(by_pair, ["lo", "hi", "first_lo", "first_hi"], merged)
+    if tested is not None:
+        pairs = pairs.join(tested, tested.columns, "left_anti")
+    pairs = scratch.save(pairs, f"later-pairs-{turn}")
+    cut, n_bytes = _wanted(pairs, scratch)
+    regions = scratch.save(_cut_stretches(stretches, cut, n_bytes), "later-regions")
+    return pairs, scratch.save(_passages(_checked(pairs, regions)), f"later-found-{turn}")
+
+
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the passages of repeated_passages cut out of their texts; documents that keep no word go.
 

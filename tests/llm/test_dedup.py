@@ -488,6 +488,44 @@ def test_passages_behind_many_older_variants(spark, n):
     assert sum((g * 1000 + 999, g * 1000 + 998) in got for g in range(groups)) >= 0.95 * groups
 
 
+def test_similar_windows_share_one_of_their_rarest_tokens():
+    """On plain and circling texts: no pair of similar windows is lost, and most others are."""
+    rng, width, lost, kept, pairs = random.Random(31), passage_tokens.WIDTH, 0, 0, 0
+    for case in range(30):
+        base = [rng.randrange(40 if case % 3 == 0 else 10**6) for _ in range(110)]
+        texts = [[rng.choice(base) if rng.random() < 0.12 else rng.randrange(10**6) if rng.random() < 0.05 else x for x in base] for _ in range(2)]
+        a, b = (np.array(t, np.uint64) for t in texts)
+        both = set(a.tolist()) & set(b.tolist())
+        loops = set(a[passage_tokens.looped(a)].tolist()) | set(b[passage_tokens.looped(b)].tolist())
+        rare = []
+        for t in (a, b):
+            at = range(len(t) - width + 1)
+            tokens, sizes = np.concatenate([t[i : i + width] for i in at]), np.full(len(at), width)
+            flags = [np.array([f(x) for x in tokens.tolist()]) for f in (lambda x: x * 7 % 5, lambda x: x in both, lambda x: x in loops)]
+            owner, token = passage_tokens.rarest(tokens, sizes, *flags)
+            rare.append([set(token[owner == i].tolist()) for i in at])
+        for i, x in enumerate(rare[0]):
+            for j, y in enumerate(rare[1]):
+                one, two = set(a[i : i + width].tolist()), set(b[j : j + width].tolist())
+                similar = len(one & two) >= 0.8 * len(one | two)
+                lost += similar and not x & y
+                kept, pairs = kept + bool(x & y and not similar), pairs + (not similar)
+    assert not lost and kept < 0.5 * pairs
+
+
+def test_variants_of_one_text_are_not_all_compared(spark, monkeypatch):
+    """Where no variant of a text is similar to another the regions compared don't grow with the square of their number."""
+    counted = []
+    checked = substring_dedup._checked
+    monkeypatch.setattr(substring_dedup, "_checked", lambda pairs, regions: counted.append(pairs.count()) or checked(pairs, regions))
+    p, rng, n, rows = passage(77_000_000, 56), random.Random(5), 150, []
+    for i in range(n):
+        at = {rng.randrange(14, 24): f"x{i % 75}", rng.randrange(34, 44): f"y{i // 2}"}
+        rows.append((i, " ".join([*filler(8 * 10**7 + i, 10), *[at.get(j, w) for j, w in enumerate(p)], *filler(9 * 10**7 + i, 10)]), "en", "s", 1))
+    substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(counted) > 1 and sum(counted) < 12 * n
+
+
 @pytest.mark.parametrize("n", [50, 60, 90])
 def test_recall_of_passages_with_a_changed_word(spark, n):
     """At 50 words one changed word leaves a similarity of 0.80, the threshold."""
