@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relscope.llm.common import dropped, in_small_batches, read, saved
+from relscope.llm.common import BATCH_BYTES, dropped, in_small_batches, read, saved
 from relscope.llm.decontaminate import clean
 from relscope.llm.language_id import known_language
 from relscope.llm.mixing import mixed
@@ -14,19 +14,19 @@ from relscope.llm.substring_dedup import repeated_passages, without_passages
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
-    in_small_batches(spark)
+    in_small_batches(spark, BATCH_BYTES)
     return known_language(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id."""
-    in_small_batches(spark)
+    in_small_batches(spark, BATCH_BYTES)
     return keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; documents of which nothing is left go."""
-    in_small_batches(spark)
+    in_small_batches(spark, BATCH_BYTES)
     return without_passages(docs, repeated_passages(docs))
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder (tests on one machine).
 FALLBACK_DIR = "/tmp/relscope-checkpoints"
@@ -14,13 +17,19 @@ FALLBACK_DIR = "/tmp/relscope-checkpoints"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-#: Rows of texts that Python workers get at once: texts are long, and a batch is held several times over.
-TEXT_ROWS = 1000
+#: Rows of texts that Python workers get at once: texts are long, and a batch is held several times over. Bytes of a batch
+#: where many steps follow each other in one session: an executor keeps what its largest batches have taken.
+TEXT_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
-def in_small_batches(spark: SparkSession) -> None:
-    """Let Python workers of this session take texts in batches of TEXT_ROWS rows, which bounds their memory."""
+def in_small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Let Python workers of this session take texts in batches of TEXT_ROWS rows, which bounds their memory.
+
+    A batch ends as well with the row that reaches most_bytes, if given; every row comes, whatever its length.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    if most_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{most_bytes}b")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +39,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows of the driver.
+
+    createDataFrame of a list makes an RDD that Python workers of its own recode on every executor, beside those that run
+    functions on columns; their memory comes on top. An Arrow table needs none.
+    """
+    kinds = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kinds)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields), kinds)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, else the context's checkpoint folder.
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relscope.llm.common import ASCII_LOWER, in_share, read
+from relscope.llm.common import ASCII_LOWER, in_share, local_rows, read
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 #: Training sample: rows a language, rows at most in all; texts up to MOST_BYTES are preferred, and longer ones taken while a
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     each = max(1, min(per_language, sample // len(counts)))
     # a little more than the share that fills a language's part, so that tasks send few rows
-    share = docs.sparkSession.createDataFrame([(x, 3.0 * each / n) for x, n in counts.items()], "l string, share double")
+    share = local_rows(docs.sparkSession, [(x, 3.0 * each / n) for x, n in counts.items()], "l string, share double")
     rows = known.where(F.col("t").rlike(r"\p{L}")).withColumn("o", F.xxhash64(F.lit(SEED), F.col("id")))
     some = rows.join(F.broadcast(share) if len(counts) <= 10_000 else share, "l").where(in_share(F.col("o"), F.col("share")))
     # rows are chosen by their sizes alone; their texts are read for what was chosen

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relscope.llm.common import Scratch, read, small
+from relscope.llm.common import Scratch, local_rows, read, small
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 9
 #: A source's target spans this many slots at least (or a slot a word); beyond MAX_SLOTS only small sources add slots.
@@ -108,7 +108,7 @@ def schedule(spark: SparkSession, sources: list[dict], slots: int, block: int, r
     used = [s for s in sources if s["hi"] > s["lo"] and s["blocks"]]
     # the unit interval in about as many cells as there are sources: a slot meets the sources that its cell touches
     bits = max(1, len(used).bit_length())
-    table = spark.createDataFrame([(s["sid"], s["lo"], s["hi"], s["blocks"]) for s in used], "sid int, lo long, hi long, blocks long")
+    table = local_rows(spark, [(s["sid"], s["lo"], s["hi"], s["blocks"]) for s in used], "sid int, lo long, hi long, blocks long")
     by_cell = table.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 53 - bits), F.shiftright(F.col("hi") - 1, 53 - bits))))
     # frac((i + 1/2) * phi) in units of 2^-53; multiplication wraps at 2^64 as it should
     point = F.expr(f"try_cast(pmod(cast(id as decimal(38,0)) * {STEP} + {STEP // 2}, 18446744073709551616) / 2048 as decimal(38,0))").cast("long")
@@ -138,7 +138,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
         sources, block, slots = plan([(r["source"], int(r["size"])) for r in totals], weights, repeats)
-        facts = spark.createDataFrame([(s["sid"], s["source"], s["source_size"], s["target"], s["block"]) for s in sources], "sid int, source string, source_size long, target double, words long")
+        facts = local_rows(spark, [(s["sid"], s["source"], s["source_size"], s["target"], s["block"]) for s in sources], "sid int, source string, source_size long, target double, words long")
         facts = facts.withColumnRenamed("source", "__name")
         size = sum(80 + len((s["source"] or "").encode("utf-8", "surrogatepass")) for s in sources)
         known = sized.join(small(facts, size), sized["source"].eqNullSafe(facts["__name"])).select("doc_id", "sid", "order", "size", "source_size", "target", "words")

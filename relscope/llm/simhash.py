@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relscope.llm.common import ASCII_LOWER, Scratch, components, read, small, word_blocks
+from relscope.llm.common import ASCII_LOWER, Scratch, components, local_rows, read, small, word_blocks
 
 RADIUS, SHINGLE, SEED, N_PIVOTS = 4, 4, 42, 16
 #: Rows above which a block is cut into finer ones, and how often.
@@ -146,7 +146,7 @@ def blocked(classes: DataFrame, masks: list[int], scratch: Scratch, radius: int
         fine = rows.join(small(crowded, n * 32), ["mask", "value"], "left_anti")
         done = fine if done is None else done.unionByName(fine)
         parts = {m: finer(m, radius) for m in masks}
-        cut = spark.createDataFrame([(_signed(m), _signed(x)) for m, own in parts.items() for x in own], "mask long, part long")
+        cut = local_rows(spark, [(_signed(m), _signed(x)) for m, own in parts.items() for x in own], "mask long, part long")
         again = rows.join(small(crowded, n * 32), ["mask", "value"]).join(F.broadcast(cut), "mask")  # five rows a mask
         rows = again.select("fp", F.col("part").alias("mask"), F.col("fp").bitwiseAND(F.col("part")).alias("value"))
         masks = [x for own in parts.values() for x in own]

@@ -199,9 +199,9 @@ def _checked(pairs: DataFrame, regions: DataFrame) -> DataFrame:
     both = both.select("doc_id", "first_id", "lo", "hi", "first_lo", "tokens", "first_tokens")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = side = None  # a first region's rows may come in several batches
         for batch in batches:
-            rows = zip(*(batch.column(i).to_numpy().tolist() for i in range(5)), strict=True)
-            out, last, side = [], None, None
+            rows, out = zip(*(batch.column(i).to_numpy().tolist() for i in range(5)), strict=True), []
             for i, (d, f, lo, hi, first_lo) in enumerate(rows):
                 mine, theirs = (batch.column(c)[i].as_buffer() for c in (5, 6))
                 if side is None or not theirs.equals(last):  # rows come by first region

@@ -9,14 +9,17 @@ import struct
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 import zstandard
 
 import __spark_entry__
 import corpus_pipeline
 from relscope.llm import decontaminate as C
+from relscope.llm import language_id
 from relscope.llm import mixing as M
 from relscope.llm import warc as W
+from relscope.llm.common import local_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string, payload string"
@@ -308,3 +311,29 @@ def test_sql_agrees(spark, name):
     want = db.sql(__spark_entry__.oracle_sql()[name])
     order = [want.columns.index(c) for c in columns]
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_pipeline_takes_long_texts_in_batches_of_bounded_bytes(spark):
+    text = "the quick fox " * 5000  # 70 KB each, 14 MB together
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en", "s", 1) for i in range(200)], DOCS).coalesce(1)
+    for stage in (corpus_pipeline.language, corpus_pipeline.simhash_dedup, corpus_pipeline.substring_dedup):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(0), "")
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "n": [b.nbytes]}) for b in batches), "rows long, n long").collect()
+        assert sum(r["rows"] for r in sizes) == 200 and max(r["n"] for r in sizes) < 2 << 20
+
+
+def test_rows_of_the_driver_need_no_python_workers(spark, monkeypatch):
+    rows = [(1, "a", 0.5), (None, None, None), (3, "é", 1e300)]
+    schema = "i int, s string, d double"
+    own = local_rows(spark, rows, schema)
+    assert own.schema == spark.createDataFrame(rows, schema).schema and [tuple(r) for r in own.collect()] == rows
+    assert local_rows(spark, [], schema).collect() == [] and local_rows(spark, [], schema).schema == own.schema
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more", "ab"[i % 2], "st"[i % 2], 1) for i in range(40)], DOCS)
+
+    def refused(*args, **kw):
+        raise AssertionError("a list went through an RDD")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert language_id.fit(docs) is not None
+    assert M.mixed(docs).count() == 40
