@@ -208,27 +208,39 @@ WINDOWS = 1 << 13
 BANDS, ROWS = 6, 3
 
 
-def looped(tokens: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """For each token whether it lies in a window that holds a token twice."""
+def _inside(n: int, sizes: np.ndarray, width: int) -> np.ndarray:
+    """For each of the first n places of consecutive texts whether a window that starts there lies in one text."""
+    return np.arange(n) + width <= np.repeat(np.cumsum(sizes), sizes)[:n]
+
+
+def looped(tokens: np.ndarray, width: int = WIDTH, sizes: np.ndarray | None = None) -> np.ndarray:
+    """For each token whether it lies in a window that holds a token twice.
+
+    sizes, if given, says how many tokens each of several consecutive texts has.
+    """
     n = len(tokens) - width + 1
     if n < 1:
         return np.zeros(len(tokens), bool)
-    fewer = np.flatnonzero(Side(tokens).distinct(n, width) < width)
+    fewer = Side(tokens).distinct(n, width) < width
+    fewer = np.flatnonzero(fewer if sizes is None else fewer & _inside(n, sizes, width))
     return _covering(fewer, fewer + width - 1, len(tokens)) > 0
 
 
-def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY, circling: np.ndarray | None = None) -> np.ndarray:
+def hopeful(
+    tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY, circling: np.ndarray | None = None, sizes: np.ndarray | None = None, side: Side | None = None
+) -> np.ndarray:
     """For each token whether the window that starts there can be similar to one of another document.
 
     common says which tokens another document has. Two similar windows share `similarity` of the tokens of either at least.
     circling, if given, says which of the common tokens lie anywhere in a window that holds a token twice. A window without
-    those tokens can be similar only to windows of `width` tokens, with which it must share more.
+    those tokens can be similar only to windows of `width` tokens, with which it must share more. sizes, if given, says how
+    many tokens each of several consecutive texts has; a window lies in one. side is Side(tokens), if known.
     """
     n = len(tokens) - width + 1
     out = np.zeros(len(tokens), bool)
     if n < 1:
         return out
-    side = Side(tokens)
+    side = side or Side(tokens)
     own = side.distinct(n, width)
     after = np.full(len(tokens), len(tokens))
     seen = np.flatnonzero(side.before >= 0)
@@ -242,6 +254,8 @@ def hopeful(tokens: np.ndarray, common: np.ndarray, width: int = WIDTH, similari
         out[:n] = shared(common) >= similarity * own - 1e-9
     else:
         out[:n] = (shared(common) >= similarity / (1 + similarity) * (own + width) - 1e-9) | (shared(common & circling) >= similarity * own - 1e-9)
+    if sizes is not None:
+        out[:n] &= _inside(n, sizes, width)
     return out
 
 

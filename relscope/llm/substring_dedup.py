@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ EARLIEST, GROWTH = 4, 4
 PLACE, MOST_COUNTED = 36, 1 << 26
 PLACE_MASK = (1 << PLACE) - 1
 
+#: Bytes of tokens that a batch of regions holds, or those of one region.
+CUT_BYTES = 1 << 22
+#: Bits that keep the centres of a batch's documents apart.
+APART = 40
+
 PAIRS = "doc_id long, first_id long, lo int, hi int, first_lo int, first_hi int"
 FOUND = "doc_id long, first_doc_id long, start_word long, n_words long, first_start_word long, similarity double"
 #: Passages, and centres [from, to] all windows of which have the same tokens as one of an earlier document.
@@ -124,18 +130,50 @@ def merged(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return [tuple(o) for o in out]
 
 
-def _regions_of(pairs: DataFrame, columns: list[str], join) -> DataFrame:
-    """PAIRS of rows (doc_id, first_id, links): join makes the regions of one pair's links."""
-    names = [c.split()[0] for c in PAIRS.split(", ")]
+def aligned_all(links: np.ndarray, sizes: np.ndarray, least: int = LEAST_HASHES) -> np.ndarray:
+    """Rows (pair number, *region) as `aligned` makes them, of the links (k, win, first win) of consecutive pairs.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, f, rows in zip(pdf["doc_id"], pdf["first_id"], pdf["links"], strict=True):
-                out += [(d, f, *r) for r in join([tuple(x[c] for c in columns) for x in rows])]
-            yield pd.DataFrame(out, columns=names)
+    No set of links reaches over a gap between centres, so the links of a pair fall apart there; where all diagonals of what
+    is between two gaps are near each other it is one set. Only the others are looked at one by one.
+    """
+    k, win, first = links.T
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    c, f = win >> 20, first >> 20
+    lo, hi, first_lo, first_hi = c - (win >> 10 & 1023), c + (win & 1023), f - (first >> 10 & 1023), f + (first & 1023)
+    order = np.lexsort((k, first_hi, first_lo, f, hi, lo, c, owner))
+    links, owner, c, way, kinds = links[order], owner[order], c[order], (f - c)[order], 1 << k[order]
+    at = np.flatnonzero(np.concatenate(([True], (np.diff(owner) > 0) | (np.diff(c) > 2 * MIN_WORDS))))
+    turns = np.concatenate(([False], np.abs(np.diff(way)) > 2 * MIN_WORDS))
+    turns[at] = False
+    mixed = np.bitwise_or.reduceat(turns, at)
+    kinds = np.bitwise_or.reduceat(kinds, at)
+    good = ~mixed & (sum(kinds >> j & 1 for j in range(8)) >= least)
+    ends = [g.reduceat(x[order], at)[good] for g, x in ((np.minimum, lo), (np.maximum, hi), (np.minimum, first_lo), (np.maximum, first_hi))]
+    out = [np.stack([owner[at][good], ends[0], ends[1] + 1, ends[2] // SNAP * SNAP, -(-(ends[3] + 1) // SNAP) * SNAP], axis=1)]
+    stops = np.append(at[1:], len(owner))
+    for a, b in zip(at[mixed].tolist(), stops[mixed].tolist(), strict=True):
+        out += [np.array([(owner[a], *r)]) for r in aligned(list(map(tuple, links[a:b].tolist())), least)]
+    return np.concatenate(out)
+
+
+def merged_all(links: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows (pair number, *region) as `merged` makes them, of the regions of consecutive pairs."""
+    parts = np.split(links, np.cumsum(sizes)[:-1])
+    return np.array([(i, *r) for i, part in enumerate(parts) for r in merged(part.tolist())])
+
+
+def _regions_of(pairs: DataFrame, join) -> DataFrame:
+    """PAIRS of rows (doc_id, first_id, links): join makes the regions of all pairs' links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                spans = _spans(batch, 2)
+                rows = join(np.concatenate(spans), np.array([len(x) for x in spans]))
+                if len(rows):
+                    yield _batch(PAIRS, *(batch.column(i).to_numpy()[rows[:, 0]] for i in (0, 1)), *(rows[:, i].astype(np.int32) for i in range(1, 5)))
 
-    return pairs.mapInPandas(run, PAIRS)
+    return pairs.select("doc_id", "first_id", "links").mapInArrow(run, PAIRS)
 
 
 def _wanted(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -147,33 +185,45 @@ def _wanted(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 
 
 REGIONS = "doc_id long, lo int, hi int, tokens binary"
+#: A region's tokens beside the first document's region that they are compared with, or (doc_id = first_id) that one's own.
+SIDES = "first_id long, first_lo int, first_hi int, doc_id long, lo int, hi int, tokens binary"
 
 
 def _spans(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
-    """The (lo, hi) rows of a column of arrays of structs, one array a row."""
+    """The rows of a column of arrays of structs of whole numbers, one array a row."""
     column = batch.column(at)
     flat, ends = column.flatten(), np.cumsum(np.concatenate(([0], np.diff(column.offsets.to_numpy()))))
-    both = np.stack([np.array(flat.field(0)), np.array(flat.field(1))], axis=1).astype(np.int64)
-    return [both[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    fields = np.stack([np.array(flat.field(i)) for i in range(flat.type.num_fields)], axis=1).astype(np.int64)
+    return [fields[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _cut_texts(given: DataFrame, wanted: DataFrame) -> DataFrame:
-    """REGIONS of the whole texts: the tokens of each wanted (doc_id, spans) as binary.
+def _sides(given: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """SIDES of the whole texts for pairs (PAIRS): a row for each pair and one for each region of a first document.
 
-    The spans grow with the texts, so both are shuffled at every size; the spans are the hashed side, texts aren't sorted.
+    A region leaves the texts with the key that it is compared by, so its tokens are shuffled once. The spans grow with the
+    texts, so both are shuffled at every size; the spans are the hashed side, texts aren't sorted.
     """
+    key = ["first_id", "first_lo", "first_hi"]
+    firsts = pairs.select(*(F.col(c).alias(n) for c, n in zip(key, ["doc_id", "lo", "hi"], strict=True)), *key).distinct()
+    spans = pairs.select("doc_id", "lo", "hi", *key).union(firsts)
+    wanted = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "lo", "hi")).alias("spans")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans = batch.column(0).to_numpy(), _spans(batch, 2)
             for rows, tokens, sizes in chunks(batch.column(1)):
-                base, out = np.cumsum(sizes) - sizes, []
+                base, out, size = np.cumsum(sizes) - sizes, [], 0
                 for row, at, n in zip(rows.tolist(), base.tolist(), sizes.tolist(), strict=True):
-                    out += [(ids[row], lo, hi, tokens[at + lo : at + min(hi, n)].tobytes()) for lo, hi in spans[row].tolist()]
+                    for *first, lo, hi in spans[row].tolist():
+                        out.append((*first, ids[row], lo, hi, tokens[at + lo : at + min(hi, n)].tobytes()))
+                        size += len(out[-1][-1])
+                        if size > CUT_BYTES:
+                            yield _batch(SIDES, *map(list, zip(*out, strict=True)))
+                            out, size = [], 0
                 if out:
-                    yield _batch(REGIONS, *map(list, zip(*out, strict=True)))
+                    yield _batch(SIDES, *map(list, zip(*out, strict=True)))
 
-    return given.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, REGIONS)
+    return given.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, SIDES)
 
 
 def _cut_stretches(stretches: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -193,9 +243,9 @@ def _cut_stretches(stretches: DataFrame, wanted: DataFrame, size: int) -> DataFr
 
 
 def _checked(pairs: DataFrame, regions: DataFrame) -> DataFrame:
-    """CHECKED of pairs (PAIRS) whose regions' tokens are in regions (REGIONS): rows of a passage or of equal windows."""
+    """CHECKED of pairs (PAIRS and tokens) with the first documents' regions (REGIONS): rows of a passage or of equal windows."""
     first = regions.select(F.col("doc_id").alias("first_id"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"), F.col("tokens").alias("first_tokens"))
-    both = pairs.join(regions, ["doc_id", "lo", "hi"]).join(first, ["first_id", "first_lo", "first_hi"])
+    both = pairs.join(first, ["first_id", "first_lo", "first_hi"])
     both = both.select("doc_id", "first_id", "lo", "hi", "first_lo", "tokens", "first_tokens")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +274,22 @@ def _passages(checked: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "first_doc_id", "start_word", "n_words").agg(F.min("first_start_word").alias("first_start_word"), F.max("similarity").alias("similarity"))
 
 
-def _told_apart(given: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _told_apart(given: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, bool]:
     """(doc_id, text_hash, own_id) for every text of an id that several texts share, None if there is no such id.
 
-    The text with the least hash keeps the id; the others get ids of their own above all others, so they come last.
+    The text with the least hash keeps the id; the others get ids of their own above all others, so they come last. And
+    whether any id has several rows.
     """
     hashed = given.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"))
-    shared = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").drop("most")
-    shared = scratch.save(shared, "shared-ids")
+    counted = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"), F.count("*").alias("n"))
+    repeated = scratch.save(counted.where("n > 1").drop("n"), "repeated-ids")
+    shared = repeated.where("least <> most").drop("most")
     if shared.isEmpty():
-        return None
+        return None, not repeated.isEmpty()
     top = given.agg(F.max("doc_id")).first()[0]
     rows = hashed.join(shared, "doc_id").distinct()
     # made once, as the table is written
-    return scratch.save(rows.select("doc_id", "text_hash", F.when(F.col("text_hash") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(top + 1)).alias("own_id")), "own-ids")
+    return scratch.save(rows.select("doc_id", "text_hash", F.when(F.col("text_hash") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(top + 1)).alias("own_id")), "own-ids"), True
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,12 +305,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        own = _told_apart(given, scratch)
+        own, repeated = _told_apart(given, scratch)
         if own is not None:
             names = small(own.withColumnRenamed("doc_id", "__id"), own.count() * 40)
             same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("text_hash"))
             given = given.join(names, same, "left").select(F.coalesce("own_id", "doc_id").alias("doc_id"), "text")
-        found = _found(given, scratch)
+        found = _found(given, repeated, scratch)
         if own is None:
             return scratch.keep(found.withColumn("text_hash", F.lit(None).cast("long")), "passages")
         a, b = own.select(F.col("own_id").alias("__own"), F.col("doc_id").alias("__id"), "text_hash"), own.select(F.col("own_id").alias("__first_own"), F.col("doc_id").alias("__first_id"))
@@ -267,26 +319,29 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return scratch.keep(told.select(F.coalesce("__id", "doc_id").alias("doc_id"), F.coalesce("__first_id", "first_doc_id").alias("first_doc_id"), *rest), "passages")
 
 
-def _found(given: DataFrame, scratch: Scratch) -> DataFrame:
-    """FOUND of given (doc_id, text), ids of which stand for one text each."""
+def _found(given: DataFrame, repeated: bool, scratch: Scratch) -> DataFrame:
+    """FOUND of given (doc_id, text), ids of which stand for one text each; repeated: some have several rows."""
     every = scratch.save(window_rows(given), "windows")
     # keys that several documents have; one row a key and task goes over the wire. What is aggregated is written before it
-    # is joined: a join of plain exchanges can split a hot key's partition
-    least = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    many = scratch.save(least.select("key"), "repeated-keys")
-    shared = scratch.save(every.join(many, "key"), "shared-windows")
-    scratch.drop("windows")
-    first = scratch.save(shared.groupBy("key").agg(F.min(F.struct("doc_id", "win")).alias("f")).select("key", F.col("f.doc_id").alias("first_id"), F.col("f.win").alias("first_win")), "first-windows")
-    links = shared.join(first, "key").where("doc_id > first_id")
-    by_pair = links.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct((F.col("key").bitwiseAND(F.lit(7))).cast("int").alias("k"), "win", "first_win")).alias("links"))
-    pairs = scratch.save(_regions_of(by_pair.where(F.size("links") >= LEAST_HASHES), ["k", "win", "first_win"], aligned), "aligned")
-    wanted, _ = _wanted(pairs, scratch)
-    regions = scratch.save(_cut_texts(given, wanted).distinct(), "regions")
-    checked = scratch.save(_checked(pairs, regions), "checked")
-    scratch.drop("regions")
+    # is joined: a join of plain exchanges can split a hot key's partition. The keys are the hashed side: windows aren't sorted
+    least = every.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("most")).where("first_id < most").drop("most")
+    many = scratch.save(least, "repeated-keys")
+    shared = scratch.save(every.join(many.hint("shuffle_hash"), "key"), "shared-windows")
+    for name in ("windows", "repeated-keys"):
+        scratch.drop(name)
+    first = scratch.save(shared.where("doc_id = first_id").groupBy("key").agg(F.min("win").alias("first_win")), "first-windows")
+    links = shared.where("doc_id > first_id").join(first.hint("shuffle_hash"), "key")
+    by_pair = links.groupBy("doc_id", "first_id").agg(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(7)).alias("k"), "win", "first_win")).alias("links"))
+    pairs = scratch.save(_regions_of(by_pair.where(F.size("links") >= LEAST_HASHES), aligned_all), "aligned")
+    scratch.drop("first-windows")
+    sides = _sides(given, pairs, scratch)
+    sides = scratch.save(sides.distinct() if repeated else sides, "regions")
+    checked = scratch.save(_checked(sides.where("doc_id <> first_id"), sides.where("doc_id = first_id")), "checked")
+    for name in ("regions", "aligned", "wanted"):
+        scratch.drop(name)
     found = scratch.save(_passages(checked), "found")
     same = checked.where("same_from is not null").select("doc_id", "same_from", "same_to")
-    for more in _later(given, shared, first, found, same, scratch):
+    for more in _later(given, shared, found, same, scratch):
         found = found.union(more)
     return found
 
@@ -332,15 +387,19 @@ def _asked(shared: DataFrame, open_keys: DataFrame, same: DataFrame, scratch: Sc
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), []
-            for i, d in enumerate(ids.tolist()):
-                spans = batch.column(2)[i].values
-                at = np.zeros((0, 2), np.int64) if spans is None else np.stack([np.array(spans.field(0)), np.array(spans.field(1))], axis=1)
-                c = _centres(np.array(batch.column(1)[i].values), at)
-                if len(c):
-                    rows.append((d, c))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["doc_id", "centres"])
+            if not batch.num_rows:
+                continue
+            ids, near = batch.column(0).to_numpy(), batch.column(1)
+            own = np.repeat(np.arange(len(ids)), pc.list_value_length(near).to_numpy())
+            packed = near.flatten().to_numpy(zero_copy_only=False) + (own << APART + 4)  # documents far apart from each other
+            spans = batch.column(2).flatten()
+            own = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)) << APART
+            at = np.stack([np.array(spans.field(i)).astype(np.int64) + own for i in (0, 1)], axis=1)
+            c = _centres(packed, at)
+            rows, sizes = np.unique(c >> APART, return_counts=True)
+            if len(c):
+                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(c & (1 << APART) - 1, pa.int64()))], ["doc_id", "centres"])
 
     return scratch.save(grouped.join(known, "doc_id", "left").mapInArrow(ask, schema), "open-windows")
 
@@ -381,8 +440,9 @@ def _common_tokens(stretches: DataFrame, scratch: Scratch) -> DataFrame:
             parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
             sizes = np.array([len(p) for p in parts])
             at = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            loops = np.concatenate([looped(p.view(np.uint64)) for p in parts]).astype(np.int32)
-            yield _batch(schema, np.concatenate(parts), *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), at, loops)
+            tokens = np.concatenate(parts)
+            loops = looped(tokens.view(np.uint64), sizes=sizes).astype(np.int32)
+            yield _batch(schema, tokens, *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), at, loops)
 
     every = scratch.save(stretches.select("doc_id", "lo", "tokens").mapInArrow(spread, schema), "tokens")
     common = every.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("loops").alias("looped"), F.count("*").alias("n")).where("least < most")
@@ -407,24 +467,24 @@ def _signed(stretches: DataFrame, common: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             parts = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(2)]
-            wanted, seeks = [], []
-            for part, near in zip(parts, batch.column(3), strict=True):
-                known = np.zeros(len(part), np.int64)
-                packed = near.values.to_numpy(zero_copy_only=False)
-                known[(packed & PLACE_MASK) >> 3] = 8 | packed & 7
-                wanted.append(hopeful(part, known > 0, circling=known & 1 > 0))
-                seeks.append(hopeful(part, known & 2 > 0, circling=known & 1 > 0))
-            ids, starts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.cumsum([len(p) for p in parts])
+            ids, starts, near = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            ends, stops = np.cumsum([len(p) for p in parts]), np.cumsum(pc.list_value_length(near).to_numpy())
+            packed = near.flatten().to_numpy(zero_copy_only=False)
             at = 0
             while at < len(parts):  # about SIGNED tokens at once
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SIGNED)))
                 sizes = np.array([len(p) for p in parts[at:to]])
                 tokens = np.concatenate(parts[at:to])
-                rows = signatures(tokens, sizes, wanted=np.concatenate(wanted[at:to]))
+                own = packed[stops[at - 1] if at else 0 : stops[to - 1]]
+                base = np.repeat(np.cumsum(sizes) - sizes, np.diff(stops[at:to], prepend=stops[at - 1] if at else 0))
+                known = np.zeros(len(tokens), np.int64)
+                known[base + ((own & PLACE_MASK) >> 3)] = 8 | own & 7
+                side = Side(tokens)
+                wanted, seeks = (hopeful(tokens, known & bits > 0, circling=known & 1 > 0, sizes=sizes, side=side) for bits in (8, 2))
+                rows = signatures(tokens, sizes, wanted=wanted)
                 owner = at + rows[:, 0]
                 lo, hi = starts[owner] + rows[:, 2], starts[owner] + rows[:, 3] + WIDTH
-                before = np.concatenate(([0], np.cumsum(np.concatenate(seeks[at:to]))))
+                before = np.concatenate(([0], np.cumsum(seeks)))
                 base = (np.cumsum(sizes) - sizes)[rows[:, 0]]
                 some = before[base + rows[:, 3] + 1] > before[base + rows[:, 2]]
                 run = run_hashes(tokens, base + rows[:, 2], base + rows[:, 3] + WIDTH)
@@ -492,7 +552,7 @@ def _finer(seekers: DataFrame, waiting: DataFrame, stretches: DataFrame, common:
     return seekers, scratch.save(ranked(left, "joint", ["first_id", "first_lo", "first_hi"], scratch, "finer"), "finer-ranked")
 
 
-def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFrame, same: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
+def _later(given: DataFrame, shared: DataFrame, found: DataFrame, same: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
     """Further passages for windows that no passage with the first document of their key settles.
 
     Documents that have the key of such a window meet anew by the signatures of the windows around it: a band of a signature
@@ -503,10 +563,10 @@ def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFra
     and a group of r documents takes about log r rounds; each candidate is read in one round, and no pair of a document and
     region is verified twice.
     """
-    rows = shared.join(first, "key").select("key", "doc_id", F.shiftright("win", 20).cast("int").alias("c"), (F.col("doc_id") > F.col("first_id")).alias("later"))
-    open_keys = scratch.save(_unsettled(rows.where("later"), found, "c").select("key").distinct(), "open-keys")
+    rows = shared.where("doc_id > first_id").select("key", "doc_id", F.shiftright("win", 20).cast("int").alias("c"))
+    open_keys = scratch.save(_unsettled(rows, found, "c").select("key").distinct(), "open-keys")
     stretches = _stretches(given, _asked(shared, open_keys, same, scratch), scratch)
-    for name in ("checked", "open-windows", "open-keys", "shared-windows", "first-windows", "repeated-keys", "wanted", "aligned"):
+    for name in ("checked", "open-windows", "open-keys", "shared-windows"):
         scratch.drop(name)
     common = _common_tokens(stretches, scratch)
     signed = scratch.save(_signed(stretches, common), "signatures")
@@ -554,13 +614,13 @@ def _later(given: DataFrame, shared: DataFrame, first: DataFrame, found: DataFra
 def _compared(met: DataFrame, tested: DataFrame | None, stretches: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:
     """PAIRS of met (doc_id, lo, hi, first_id, first_lo, first_hi) that aren't in tested, and FOUND of those."""
     by_pair = met.groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi", "first_lo", "first_hi")).alias("links"))
-    pairs = _regions_of(by_pair, ["lo", "hi", "first_lo", "first_hi"], merged)
+    pairs = _regions_of(by_pair, merged_all)
     if tested is not None:
         pairs = pairs.join(tested, tested.columns, "left_anti")
     pairs = scratch.save(pairs, f"later-pairs-{turn}")
     cut, n_bytes = _wanted(pairs, scratch)
     regions = scratch.save(_cut_stretches(stretches, cut, n_bytes), "later-regions")
-    return pairs, scratch.save(_passages(_checked(pairs, regions)), f"later-found-{turn}")
+    return pairs, scratch.save(_passages(_checked(pairs.join(regions, ["doc_id", "lo", "hi"]), regions)), f"later-found-{turn}")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -526,6 +526,50 @@ def test_variants_of_one_text_are_not_all_compared(spark, monkeypatch):
     assert len(counted) > 1 and sum(counted) < 12 * n
 
 
+def test_tokens_of_first_regions_are_shuffled_once(spark, monkeypatch):
+    """Texts and spans are shuffled to cut the regions, and each region once to meet the one that it is compared with."""
+    plans, save = {}, common.Scratch.save
+
+    def kept(scratch, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return save(scratch, df, name)
+
+    monkeypatch.setattr(common.Scratch, "save", kept)
+    rows = [(i, " ".join([*filler(60 + i, 20), *passage(41, 200), *filler(80 + i, 20)]), "en", "s", 1) for i in range(6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r["doc_id"], r["first_doc_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(i, 0) for i in range(1, 6)}
+    assert sum(plans[name].count("Exchange hashpartitioning") for name in ("regions", "checked")) == 4
+
+
+def test_links_of_many_pairs_at_once():
+    """All pairs of a batch give the regions that each gives alone."""
+    rng = random.Random(3)
+    win = lambda c: c << 20 | rng.randrange(min(c, 50) + 1) << 10 | rng.randrange(51)
+    for _ in range(60):
+        pairs = []
+        for _ in range(rng.randrange(1, 10)):
+            at = [rng.randrange(rng.choice([200, 2000])) for _ in range(rng.randrange(1, 25))]
+            pairs.append([(rng.randrange(4), win(c), win(c + 300 + rng.choice([0, 3, 90, 150, 400, -70]))) for c in at])
+        got = substring_dedup.aligned_all(np.array([x for p in pairs for x in p]), np.array([len(p) for p in pairs]))
+        assert sorted(map(tuple, got.tolist())) == sorted((i, *r) for i, p in enumerate(pairs) for r in substring_dedup.aligned(p))
+
+
+def test_windows_of_consecutive_texts_lie_in_one():
+    rng = random.Random(11)
+    for _ in range(60):
+        parts = [np.array([rng.randrange(rng.choice([20, 1000])) for _ in range(rng.randrange(90))], np.uint64) for _ in range(rng.randrange(1, 8))]
+        sizes, tokens = np.array([len(p) for p in parts]), np.concatenate(parts)
+        common_, loops = (np.array([rng.random() < share for _ in tokens], bool) for share in (0.9, 0.3))
+        assert passage_tokens.looped(tokens, 12, sizes).tolist() == [x for p in parts for x in passage_tokens.looped(p, 12).tolist()]
+        each = zip(parts, *(np.split(x, np.cumsum(sizes)[:-1]) for x in (common_, loops)), strict=True)
+        want = [x for p, c, l in each for x in passage_tokens.hopeful(p, c, 12, 0.8, l).tolist()]
+        assert passage_tokens.hopeful(tokens, common_, 12, 0.8, loops, sizes).tolist() == want
+
+
 @pytest.mark.parametrize("n", [50, 60, 90])
 def test_recall_of_passages_with_a_changed_word(spark, n):
     """At 50 words one changed word leaves a similarity of 0.80, the threshold."""
