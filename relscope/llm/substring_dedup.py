@@ -45,6 +45,8 @@ PLACE_MASK = (1 << PLACE) - 1
 
 #: Bytes of tokens that a batch of regions holds, or those of one region.
 CUT_BYTES = 1 << 22
+#: Bytes of a row of a few numbers, where it is broadcast.
+ROW_BYTES = 64
 #: Bits that keep the centres of a batch's documents apart.
 APART = 40
 
@@ -176,12 +178,14 @@ def _regions_of(pairs: DataFrame, join) -> DataFrame:
     return pairs.select("doc_id", "first_id", "links").mapInArrow(run, PAIRS)
 
 
-def _wanted(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(doc_id, spans): the distinct regions of each document in pairs, and their size in bytes."""
+def _wanted(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """(doc_id, spans): the distinct regions of each document in pairs, their size in bytes, and that of their tokens."""
     mine = pairs.select("doc_id", "lo", "hi")
     theirs = pairs.select(F.col("first_id").alias("doc_id"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"))
-    grouped = scratch.save(mine.union(theirs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "wanted")
-    return grouped, grouped.agg(F.sum(F.size("spans") * 16 + 40)).first()[0] or 0
+    grouped = scratch.save(mine.union(theirs).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "wanted")
+    tokens = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["hi"] - x["lo"]) * 8 + 60)
+    size = grouped.agg(F.sum(F.size("spans") * 16 + 40), F.sum(tokens)).first()
+    return grouped, size[0] or 0, size[1] or 0
 
 
 REGIONS = "doc_id long, lo int, hi int, tokens binary"
@@ -204,9 +208,9 @@ def _sides(given: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     texts, so both are shuffled at every size; the spans are the hashed side, texts aren't sorted.
     """
     key = ["first_id", "first_lo", "first_hi"]
-    firsts = pairs.select(*(F.col(c).alias(n) for c, n in zip(key, ["doc_id", "lo", "hi"], strict=True)), *key).distinct()
+    firsts = pairs.select(*(F.col(c).alias(n) for c, n in zip(key, ["doc_id", "lo", "hi"], strict=True)), *key)
     spans = pairs.select("doc_id", "lo", "hi", *key).union(firsts)
-    wanted = scratch.save(spans.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "lo", "hi")).alias("spans")), "wanted")
+    wanted = scratch.save(spans.groupBy("doc_id").agg(F.collect_set(F.struct(*key, "lo", "hi")).alias("spans")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -539,7 +543,8 @@ def _finer(seekers: DataFrame, waiting: DataFrame, stretches: DataFrame, common:
     don't meet. Only what has a key of a seeker goes on waiting; waiting is ranked by idx, from 0, in each key.
     """
     most = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), "open-bands")
-    left = scratch.save(waiting.join(most, "joint").where("first_id < most").drop("most"), "waiting-in-bands")
+    left = waiting.join(small(most, most.count() * ROW_BYTES), "joint").where("first_id < most").drop("most")
+    left = scratch.save(left, "waiting-in-bands")
     theirs = left.select(F.col("first_id").alias("doc_id"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"), F.lit(0).alias("seeks"))
     rare = _rare_tokens(stretches, common, seekers.select("doc_id", "lo", "hi", F.lit(1).alias("seeks")).union(theirs), scratch)
     seekers = seekers.join(rare.where("seeks = 1").drop("seeks"), ["doc_id", "lo", "hi"])
@@ -588,8 +593,9 @@ def _later(given: DataFrame, shared: DataFrame, found: DataFrame, same: DataFram
     wanted = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), "seekers-keys")
     rank = F.row_number().over(Window.partitionBy("joint").orderBy("first_id", "first_lo", "first_hi"))
     # of a band only the first rows of each task go over the wire
-    now = waiting.drop("runs", "run").join(wanted, "joint").where("first_id < most").drop("most").withColumn("rank", rank).where(F.col("rank") <= EARLIEST).drop("rank")
-    met = seekers.drop("runs", "run").join(scratch.save(now, "candidates"), "joint").where("first_id < doc_id")
+    now = waiting.drop("runs", "run").join(small(wanted, wanted.count() * ROW_BYTES), "joint").where("first_id < most").drop("most").withColumn("rank", rank).where(F.col("rank") <= EARLIEST).drop("rank")
+    now = scratch.save(now, "candidates")
+    met = seekers.drop("runs", "run").join(small(now, now.count() * ROW_BYTES), "joint").where("first_id < doc_id")
     met = met.unionByName(seekers.join(waiting, ["joint", "runs", "run"]).where("first_id < doc_id").drop("runs", "run"))
     tested, found = _compared(met, None, stretches, scratch, 0)
     yield found
@@ -601,10 +607,12 @@ def _later(given: DataFrame, shared: DataFrame, found: DataFrame, same: DataFram
     while True:
         wanted = scratch.save(seekers.groupBy("joint").agg(F.max("doc_id").alias("most")), f"seekers-keys-{turn % 2}")
         now = waiting.where((F.col("idx") >= done) & (F.col("idx") < done + size)).drop("idx")
-        now = scratch.save(now.join(wanted, "joint").where("first_id < most").drop("most"), f"candidates-{turn % 2}")
-        if now.isEmpty():
+        now = now.join(small(wanted, wanted.count() * ROW_BYTES), "joint").where("first_id < most").drop("most")
+        now = scratch.save(now, f"candidates-{turn % 2}")
+        if not (n := now.count()):
             return
-        pairs, found = _compared(seekers.join(now, "joint").where("first_id < doc_id"), tested, stretches, scratch, turn)
+        met = seekers.join(small(now, n * ROW_BYTES), "joint").where("first_id < doc_id")
+        pairs, found = _compared(met, small(tested, tested.count() * ROW_BYTES), stretches, scratch, turn)
         yield found
         tested = tested.union(pairs)
         seekers = scratch.save(_unsettled(seekers, found, "c"), f"seekers-{turn % 2}")
@@ -618,9 +626,9 @@ def _compared(met: DataFrame, tested: DataFrame | None, stretches: DataFrame, sc
     if tested is not None:
         pairs = pairs.join(tested, tested.columns, "left_anti")
     pairs = scratch.save(pairs, f"later-pairs-{turn}")
-    cut, n_bytes = _wanted(pairs, scratch)
+    cut, n_bytes, n_tokens = _wanted(pairs, scratch)
     regions = scratch.save(_cut_stretches(stretches, cut, n_bytes), "later-regions")
-    return pairs, scratch.save(_passages(_checked(pairs.join(regions, ["doc_id", "lo", "hi"]), regions)), f"later-found-{turn}")
+    return pairs, scratch.save(_passages(_checked(pairs.join(small(regions, n_tokens), ["doc_id", "lo", "hi"]), regions)), f"later-found-{turn}")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
