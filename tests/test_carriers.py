@@ -39,6 +39,23 @@ def test_query_matches_its_sql(spark, db, name):
     assert a == sorted(repr(tuple(plain(r[i]) for i in order)) for r in want.fetchall())
 
 
+def on_rows(spark, folder, name, **tables):
+    """Rows of a query on tables (schema, rows), and those of its SQL."""
+    c = duckdb.connect()
+    for table, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        c.sql(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    got, want = carriers.QUERIES[name](spark, str(folder)), c.sql(carriers.ORACLE[name])
+    return sorted(map(repr, map(tuple, got.select(*want.columns).collect()))), sorted(map(repr, want.fetchall()))
+
+
+def test_orders_are_no_customers(spark, tmp_path):
+    orders = [(0, 3, "1-URGENT"), (1, 1, "2-HIGH"), (-4, 3, "1-URGENT"), (5, None, "1-URGENT")]
+    customers = [(0,), (1,), (3,), (4,), (None,)]
+    got, want = on_rows(spark, tmp_path, "orphan_customers", customer=("c_custkey long", customers), orders=("o_orderkey long, o_custkey long, o_orderpriority string", orders))
+    assert got == want == ["(0,)", "(1,)", "(4,)", "(None,)"]
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
