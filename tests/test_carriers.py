@@ -56,6 +56,13 @@ def test_orders_are_no_customers(spark, tmp_path):
     assert got == want == ["(0,)", "(1,)", "(4,)", "(None,)"]
 
 
+def test_redacted_rows_of_odd_customers(spark, tmp_path):
+    balances = [-0.3, -0.0, 0.4, -0.5, 2.5, -2.5, None, float("nan"), float("inf"), float("-inf")]
+    rows = [(i, f"C{i}", i, b) for i, b in enumerate(balances)] + [(20, None, 1, 1.0), (21, "a;Database=b", 2, 1.0), (22, "x", None, 1.0), (None, "x", 3, 1.0)]
+    got, want = on_rows(spark, tmp_path, "redacted", customer=("c_custkey long, c_name string, c_nationkey int, c_acctbal double", rows))
+    assert got == want and any("'-0.0'" in r for r in got) and any(r.endswith("None)") for r in got)
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
