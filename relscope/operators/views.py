@@ -113,12 +113,21 @@ def lint(m: Model) -> tuple[DataFrame, DataFrame]:
     return rules.by_severity(m.findings).orderBy("severity"), m.findings.orderBy("severity", "rule_id", "object_id", "message")
 
 
+def most_referenced(m: Model) -> DataFrame:
+    return R.top_k(fan(m).select("id", "fan_in"), 15, F.desc("fan_in"), "id")
+
+
+def most_referencing(m: Model) -> DataFrame:
+    return R.top_k(fan(m).select("id", "fan_out"), 15, F.desc("fan_out"), "id")
+
+
+def most_complex(m: Model) -> DataFrame:
+    return R.top_k(R.of_kind(m.objects, *S.PROGRAMMABLE).select("id", "cyclomatic"), 20, F.desc("cyclomatic"), "id")
+
+
 def metrics(m: Model) -> dict[str, DataFrame]:
-    f = fan(m)
-    return {
-        "fan_in": R.top_k(f.select("id", "fan_in"), 15, F.desc("fan_in"), "id"), "fan_out": R.top_k(f.select("id", "fan_out"), 15, F.desc("fan_out"), "id"),
-        "complex": R.top_k(R.of_kind(m.objects, *S.PROGRAMMABLE).select("id", "cyclomatic"), 20, F.desc("cyclomatic"), "id"), "cycles": G.cycles(m.edges), "coupling": coupling(m),
-    }
+    """All parts of the metrics page. The search for cycles runs jobs of its own, so who shows one part asks for that alone."""
+    return {"fan_in": most_referenced(m), "fan_out": most_referencing(m), "complex": most_complex(m), "cycles": G.cycles(m.edges), "coupling": coupling(m)}
 
 
 def activity(m: Model) -> dict[str, DataFrame]:

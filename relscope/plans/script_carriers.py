@@ -319,17 +319,17 @@ def view_coupling(spark: SparkSession, d: str) -> DataFrame:
 
 @query("view_most_referenced", f"WITH {EDGES_SQL}, {FAN2_SQL} SELECT id, fan_in FROM fan ORDER BY fan_in DESC, id LIMIT 15")
 def view_most_referenced(spark: SparkSession, d: str) -> DataFrame:
-    return views.metrics(catalog(spark, d))["fan_in"]
+    return views.most_referenced(catalog(spark, d))
 
 
 @query("view_most_referencing", f"WITH {EDGES_SQL}, {FAN2_SQL} SELECT id, fan_out FROM fan ORDER BY fan_out DESC, id LIMIT 15")
 def view_most_referencing(spark: SparkSession, d: str) -> DataFrame:
-    return views.metrics(catalog(spark, d))["fan_out"]
+    return views.most_referencing(catalog(spark, d))
 
 
 @query("view_most_complex", f"WITH {PARTS_SQL} SELECT id, CAST(CASE WHEN s > 40 THEN 16 ELSE 1 + s % 5 END AS INTEGER) AS cyclomatic FROM o WHERE r = 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def view_most_complex(spark: SparkSession, d: str) -> DataFrame:
-    return views.metrics(catalog(spark, d))["complex"]
+    return views.most_complex(catalog(spark, d))
 
 
 @query("view_severity", f"""WITH {EDGES_SQL}, f(sev, n) AS ({" UNION ALL ".join(f"SELECT {r.severity}, count(*) FROM ({FOUND_SQL[r.id]})" for r in rules.RULES)}) SELECT CAST(sev AS INTEGER) AS severity, CAST(sum(n) AS BIGINT) AS findings FROM f GROUP BY sev""")

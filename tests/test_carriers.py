@@ -63,6 +63,12 @@ def test_redacted_rows_of_odd_customers(spark, tmp_path):
     assert got == want and any("'-0.0'" in r for r in got) and any(r.endswith("None)") for r in got)
 
 
+@pytest.mark.parametrize("name", ["view_most_complex", "view_most_referenced", "view_most_referencing"])
+def test_a_part_of_the_metrics_searches_no_cycles(spark, monkeypatch, name):
+    monkeypatch.setattr(script_carriers.views.G, "cycles", lambda *a: pytest.fail("cycles were searched"))
+    assert carriers.QUERIES[name](spark, SF).count() > 0
+
+
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
