@@ -63,6 +63,17 @@ def test_components_match_brute_force(spark, seed):
     assert got == brute_components([p for p in pairs if p[0] != p[1]])
 
 
+def test_paths_are_folded(spark, monkeypatch):
+    """A chain and a cycle of 300 nodes each, the cycle with a long way round a part of it and a tail: steps grow with the log."""
+    tables = []
+    monkeypatch.setattr(G, "cut", lambda df, cut=G.cut: tables.append(1) or cut(df))
+    chain = [(f"a{i:03}", f"a{i + 1:03}") for i in range(300)]
+    ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)] + [("r010", "s0"), ("s0", "s1"), ("s1", "r200"), ("r050", "t0"), ("t0", "t1"), ("t1", "a200")]
+    got = sorted(tuple(r) for r in G.strong_components(edges(spark, chain + ring)).collect())
+    assert got == [("r000", m, 302) for m in sorted({a for a, _ in ring} - {"t0", "t1"})]
+    assert len(tables) < 90
+
+
 def test_no_components(spark):
     assert G.strong_components(edges(spark, [("a", "b"), ("b", "b")])).count() == 0
     assert G.cycles(edges(spark, [("a", "b"), ("b", "a"), ("c", "a")])).collect()[0]["members"] == ["a", "b"]
