@@ -49,6 +49,27 @@ def test_globs_are_the_single_ones(spark):
     assert R.exclude(df, ["*order*", "1*"], "id", "text").count() == len(kept)
 
 
+@pytest.mark.parametrize("scarce", [search.SCARCE, 0])
+def test_globs_meet_by_their_ends(spark, monkeypatch, scarce):
+    """Keys of a glob's ends find what a scan finds, with few and with many texts a key, and few candidates where grams are frequent."""
+    monkeypatch.setattr(search, "SCARCE", scarce)
+    monkeypatch.setattr(search, "GRAMS", 16 if scarce else 0)
+    rows = [(i, f"Item {'ab'[i % 2]}{'İ' if i % 7 == 0 else ''}.{i}") for i in range(400)] + [(900, None), (901, "ITEM\n.12"), (902, "x")]
+    patterns = [f"item?{'AB'[i % 2]}*.{i}" for i in range(0, 400, 3)] + ["*.1?", "??em*7", "it?m*", "*?2", "item a.10", "item?a.??", "*tem*b.3*", "?", "**", "i*m*.*9", "?????aİ*"]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(tuple(r) for r in search.glob_matches(df, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect())
+    glob = lambda p: re.compile("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p), re.I | re.S)
+    assert got == sorted((i, p) for p in patterns for i, t in rows if glob(p).fullmatch(t or ""))
+
+
+def test_globs_that_end_apart_ask_for_no_grams(spark, monkeypatch):
+    """Numbers of five digits share their grams, so a gram gives each glob a hundred texts or more, its end one."""
+    monkeypatch.setattr(search, "index", lambda *a: pytest.fail("texts were cut into grams"))
+    df = spark.range(3000).selectExpr("id", "concat('name.', 10000 + id) text")
+    globs = df.selectExpr("concat('NA?*.', 10000 + id) pattern")
+    assert search.glob_matches(df, globs).count() == 3000 and search.excluding(df, globs, "id", "text").count() == 0
+
+
 def test_index_pairs_of_a_hot_table(spark):
     rng = random.Random(3)
     rows = [("t" if i % 2 else "u", f"ix{i}", [rng.choice("abAB") for _ in range(rng.randrange(5))]) for i in range(160)]
