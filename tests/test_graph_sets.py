@@ -169,3 +169,12 @@ def test_a_long_cycle_takes_few_steps(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [tuple(r) for r in got] == [(0, n, n)]
     assert 0 < jobs < n / 2, jobs  # an uncut search takes a few jobs for each of n steps
+
+
+def test_seeds_of_one_part_share_a_block(spark):
+    """Two rings of 64 nodes: the seeds of a ring are one block, so each node has rows in one block."""
+    ring = spark.range(128).selectExpr("id src", "if(id % 64 = 63, id - 63, id + 1) dst")
+    seeds = spark.createDataFrame([(i % 2 * 64 + i // 2,) for i in range(128)], "seed long")
+    found = S.closures(ring, seeds, max_depth=3, words=1)
+    assert found.levels.select("block", "id").distinct().count() == 128
+    assert sorted(tuple(r) for r in found.pairs().where("seed = 62").collect()) == [(62, 0, 2), (62, 1, 3), (62, 63, 1)]
